@@ -1,0 +1,45 @@
+"""Composition of the core operators for all products at once.
+
+    scored reviews -> gate -> sufficiency -> (cells, medians) -> evidence -> report rows
+
+Shuffles: one count per product (sufficiency), the median refinement passes (bounded per
+group), one (product, sub) aggregation, and the top-k windows. Dimension joins broadcast.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+
+from revidence import dims
+from revidence.operators import evidence as ev
+from revidence.operators import predict, report
+
+
+@dataclass
+class Analysis:
+    gated: DataFrame          # gated reviews of every product
+    status: DataFrame         # (product_id, n_gated, status)
+    gated_ok: DataFrame       # gated reviews of products with enough evidence
+    cells: DataFrame          # 29 decoded cells per gated_ok review
+    medians: DataFrame        # (product_id, med_c, med_u)
+    evidence: DataFrame       # (product_id, sub_idx, ... confidence)
+    sub_rows: DataFrame       # report rows per (product, sub)
+
+
+def analyze(spark: SparkSession, scored: DataFrame, products: DataFrame | None = None,
+            agreement: str = "aggregated", taxonomy=None) -> Analysis:
+    gated = report.evidence_gate(scored)
+    status = report.evidence_sufficiency(products if products is not None else scored, gated)
+    gated_ok = report.sufficient(gated, status)
+    keep = tuple(c for c in ("product_id", "usefulness") if c in gated_ok.columns)
+    cells = predict.decode_cells(gated_ok, taxonomy=taxonomy, keep=keep)
+    medians = ev.product_medians(gated_ok)
+    evid = ev.sub_evidence(cells, medians, agreement=agreement)
+    rows = report.sub_aspect_rows(spark, evid, taxonomy)
+    return Analysis(gated, status, gated_ok, cells, medians, evid, rows)
+
+
+def default_taxonomy():
+    return dims.TAXONOMY
