@@ -145,3 +145,118 @@ def core_prefix(agreement: str = "aggregated") -> str:
     return with_(V_SCORED, gate_ctes(), cells_ctes("gok"), evidence_ctes(agreement),
                  f"pp AS (SELECT sub_idx, min(top_idx) AS top_idx FROM {taxonomy_sql()} GROUP BY sub_idx)",
                  f"dtop AS {dim_top_sql()}", f"dsub AS {dim_sub_sql()}")
+
+
+# --- text functions (twins of revidence.functions.text) -------------------------------------
+
+from revidence.functions import text as _T  # noqa: E402
+
+
+def rx(x: str, pat: str, rep: str) -> str:
+    return f"regexp_replace({x}, {str_lit(pat)}, {str_lit(rep)}, 'g')"
+
+
+def ws_trim(x: str) -> str:
+    return rx(x, "^" + _T.WS + "+|" + _T.WS + "+$", "")
+
+
+def clean_text(x: str, strict: bool = False) -> str:
+    y = ws_trim(x)
+    y = rx(y, _T.URL_RE, "")
+    y = rx(y, _T.EMOJI_RE_STRICT if strict else _T.EMOJI_RE, "")
+    for pat, rep in _T.CLEAN_RULES:
+        y = rx(y, pat, rep)
+    y = rx(y, _T.WS + "+", " ")
+    return ws_trim(y)
+
+
+def word_count(x: str) -> str:
+    t = ws_trim(x)
+    return f"(CASE WHEN {t} = '' THEN 0 ELSE len(regexp_split_to_array({t}, {str_lit(_T.WS + '+')})) END)"
+
+
+def normalize_key(x: str) -> str:
+    return f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
+
+
+def token_weight(t: str) -> str:
+    return (f"(CASE WHEN regexp_full_match({t}, '[0-9]+') THEN 0.1::DOUBLE "
+            f"WHEN regexp_full_match({t}, '[a-z]*[0-9]+[a-z]*') THEN 0.2::DOUBLE "
+            f"WHEN length({t}) <= 2 THEN 0.2::DOUBLE ELSE 1.0::DOUBLE END)")
+
+
+def toks(n: str) -> str:
+    return f"(CASE WHEN {n} = '' THEN []::VARCHAR[] ELSE string_split({n}, ' ') END)"
+
+
+def match_score_norm(tn: str, nn: str) -> str:
+    nt, tt = toks(nn), toks(tn)
+    matched_w = (f"list_sum(list_transform(list_filter(range(1, len({nt}) + 1), "
+                 f"lambda i: list_position({nt}, {nt}[i]) = i AND list_contains({tt}, {nt}[i])), "
+                 f"lambda i: {token_weight(nt + '[i]')}))")
+    n_matched = (f"len(list_filter(range(1, len({nt}) + 1), "
+                 f"lambda i: list_position({nt}, {nt}[i]) = i AND list_contains({tt}, {nt}[i])))")
+    total = f"list_sum(list_transform({nt}, lambda t: {token_weight('t')}))"
+    cov = f"(coalesce({matched_w}, 0.0) / {total})"
+    return (f"(CASE WHEN {tn} = '' OR {nn} = '' THEN 0.0::DOUBLE WHEN strpos({tn}, {nn}) > 0 THEN 1.0::DOUBLE "
+            f"WHEN {n_matched} = 0 THEN 0.0::DOUBLE WHEN {cov} >= 0.75 THEN 0.9::DOUBLE "
+            f"WHEN {cov} >= 0.5 THEN 0.7::DOUBLE WHEN {cov} >= 0.3 THEN 0.45::DOUBLE "
+            f"WHEN {cov} > 0 THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END)")
+
+
+def raw_text(doc_id: str, text: str) -> str:
+    from revidence.sources.bridges import DECORATIONS
+
+    def lit(s):
+        out = []
+        for ch in s:
+            if ord(ch) > 127:
+                out.append(f"chr({ord(ch)})")
+            else:
+                out.append(None)
+        if all(o is None for o in out):
+            return str_lit(s)
+        parts, buf = [], ""
+        for ch, o in zip(s, out):
+            if o is None:
+                buf += ch
+            else:
+                if buf:
+                    parts.append(str_lit(buf))
+                    buf = ""
+                parts.append(o)
+        if buf:
+            parts.append(str_lit(buf))
+        return " || ".join(parts)
+    whens = " ".join(f"WHEN {doc_id} % 8 = {i} THEN {lit(pre) if pre else chr(39)*2} || {text} || {lit(suf) if suf else chr(39)*2}"
+                     for i, (pre, suf) in enumerate(DECORATIONS))
+    return f"(CASE {whens} END)"
+
+
+V_REVIEWS = f"""v_reviews AS (
+  SELECT source AS product_id, doc_id AS review_id,
+         CASE WHEN doc_id % 3 <> 0 THEN 'comment' ELSE 'review' END AS origin, doc_id AS pos,
+         {raw_text('doc_id', 'text')} AS raw_text,
+         (CASE WHEN doc_id % 3 <> 0 THEN n_chars % 101 END)::BIGINT AS likes
+  FROM documents
+)"""
+
+
+def v_products_sql() -> str:
+    from revidence.sources.bridges import PRODUCT_NAMES
+    return values_table([(f"src{i}", n) for i, n in enumerate(PRODUCT_NAMES)], ["product_id", "name"])
+
+
+V_CATALOG = """v_catalog AS (
+  SELECT p_partkey AS corpus_idx, 'k_' || p_partkey::VARCHAR AS key, left(md5('k_' || p_partkey::VARCHAR), 24) AS oid,
+         CASE p_partkey % 8
+           WHEN 0 THEN 'Apple iPhone ' || (p_partkey % 17)::VARCHAR || ' Pro Max'
+           WHEN 1 THEN 'Apple iPhone ' || (p_partkey % 17)::VARCHAR || ' Pro'
+           WHEN 2 THEN 'Apple iPhone ' || (p_partkey % 17)::VARCHAR || ' Plus'
+           WHEN 3 THEN 'Apple iPhone ' || (p_partkey % 17)::VARCHAR || ' Mini'
+           WHEN 4 THEN 'Samsung Galaxy S' || (p_partkey % 19)::VARCHAR
+           WHEN 5 THEN 'Google Pixel ' || (p_partkey % 13)::VARCHAR || 'a'
+           WHEN 6 THEN 'Nokia ' || p_name
+           ELSE p_name || ' ' || p_brand END AS name
+  FROM part
+)"""

@@ -58,3 +58,77 @@ def v_label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = table(spark, sf_dir, "embeddings")
     return emb.select(F.col("vec_id").alias("review_id"),
                       F.when(F.col("label") < 9, F.col("label")).alias("y_top"))
+
+
+# --- reviews and products (from documents) --------------------------------------------------
+
+# Fixture product names, one per document source (FIXTURES.md: every match tier occurs).
+PRODUCT_NAMES = [
+    "The And", "with that 17", "est que le 5", "de la que", "und der die", "on 12 pro",
+    "Nokia the 3310", "Galaxy of the", "zzz of qqq www", "qqq zzz", "in the", "for and with 15",
+    "the the zzz", "la les des", "ing tion", "of", "el que 7a", "die und zzz", "que", "",
+]
+
+# Decorations by doc_id % 8 so that every cleaner rule fires: (prefix, suffix).
+DECORATIONS = [
+    ("https://a.example/x?y=1 ", ""),
+    ("", " www.b.example/z"),
+    ("\"it's\" ", ""),
+    ("", " a/b \\/ c"),
+    ("\U0001F600 ", ""),
+    ("", " , ,, , end"),
+    ("日本 ", "\\n\\ntail"),
+    ("\u00a0", ""),
+]
+
+
+def raw_text_col(doc_id: Column, text: Column) -> Column:
+    m = doc_id % 8
+    out = None
+    for i, (pre, suf) in enumerate(DECORATIONS):
+        v = F.concat(F.lit(pre), text, F.lit(suf))
+        out = F.when(m == i, v) if out is None else out.when(m == i, v)
+    return out
+
+
+def v_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw review items: (product_id, review_id, origin, pos, raw_text, likes)."""
+    d = table(spark, sf_dir, "documents")
+    is_comment = (F.col("doc_id") % 3) != 0
+    return d.select(
+        F.col("source").alias("product_id"),
+        F.col("doc_id").alias("review_id"),
+        F.when(is_comment, F.lit("comment")).otherwise(F.lit("review")).alias("origin"),
+        F.col("doc_id").alias("pos"),
+        raw_text_col(F.col("doc_id"), F.col("text")).alias("raw_text"),
+        F.when(is_comment, F.col("n_chars") % 101).cast("bigint").alias("likes"),
+    )
+
+
+def v_products(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(f"src{i}", n) for i, n in enumerate(PRODUCT_NAMES)],
+                                 "product_id STRING, name STRING")
+
+
+# --- catalog (from part) ---------------------------------------------------------------------
+
+def catalog_name_col(k: Column, p_name: Column, p_brand: Column) -> Column:
+    m = k % 8
+    k17, k19, k13 = (k % 17).cast("string"), (k % 19).cast("string"), (k % 13).cast("string")
+    return (F.when(m == 0, F.concat(F.lit("Apple iPhone "), k17, F.lit(" Pro Max")))
+            .when(m == 1, F.concat(F.lit("Apple iPhone "), k17, F.lit(" Pro")))
+            .when(m == 2, F.concat(F.lit("Apple iPhone "), k17, F.lit(" Plus")))
+            .when(m == 3, F.concat(F.lit("Apple iPhone "), k17, F.lit(" Mini")))
+            .when(m == 4, F.concat(F.lit("Samsung Galaxy S"), k19))
+            .when(m == 5, F.concat(F.lit("Google Pixel "), k13, F.lit("a")))
+            .when(m == 6, F.concat(F.lit("Nokia "), p_name))
+            .otherwise(F.concat(p_name, F.lit(" "), p_brand)))
+
+
+def v_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalog entries: (corpus_idx, key, oid, name)."""
+    p = table(spark, sf_dir, "part")
+    key = F.concat(F.lit("k_"), F.col("p_partkey").cast("string"))
+    return p.select(F.col("p_partkey").alias("corpus_idx"), key.alias("key"),
+                    F.substring(F.md5(key), 1, 24).alias("oid"),
+                    catalog_name_col(F.col("p_partkey"), F.col("p_name"), F.col("p_brand")).alias("name"))
