@@ -87,3 +87,119 @@ def sub_aspect_rows(spark: SparkSession, evidence: DataFrame, taxonomy=None) ->
                     .alias("sub_aspect_sentiment"),
                     F.bround("confidence", 0).cast("bigint").alias("sub_aspect_confidence"),
                     F.round("confidence", 6).alias("confidence")))
+
+
+def _pad_tops() -> F.Column:
+    return F.sequence(F.lit(0), F.lit(dims.N_TOP - 1))
+
+
+def report_parts(spark: SparkSession, a, flat_specs: DataFrame | None):
+    """Shared pieces of the report: top reviews, supporting reviews, sub rows, spec fusion."""
+    top = top_reviews(a.gated_ok)
+    support = supporting_reviews(a.cells).join(a.sub_rows.select("product_id", "sub_idx"),
+                                               ["product_id", "sub_idx"], "left_semi")
+    specs = None
+    if flat_specs is not None:
+        ds = dims.dim_spec(spark)
+        specs = flat_specs.join(F.broadcast(ds), "spec_key").select("product_id", "top_idx", "ord", "spec_key",
+                                                                     "spec_value")
+    return top, support, specs
+
+
+def build_report(spark: SparkSession, a, flat_specs: DataFrame | None = None,
+                 names: DataFrame | None = None, product_type: str = "Latest Smartphones") -> DataFrame:
+    """One nested row per product. Every collect below is bounded (<= 5 top reviews,
+    <= 29 subs x 3 supporting reviews, <= 11 spec keys per aspect, 9 aspects)."""
+    top, support, specs = report_parts(spark, a, flat_specs)
+    sup = (support.groupBy("product_id", "sub_idx")
+           .agg(F.sort_array(F.collect_list(F.struct("rank", "review_id", "usefulness"))).alias("sr")))
+    subs = (a.sub_rows.join(sup, ["product_id", "sub_idx"], "left")
+            .groupBy("product_id", "top_idx")
+            .agg(F.sort_array(F.collect_list(F.struct(
+                "sub_idx", "sub_aspect_name", "sub_aspect_sentiment", "sub_aspect_confidence",
+                F.coalesce(F.transform("sr", lambda x: x.dropFields("rank")),
+                           F.array().cast("array<struct<review_id:bigint,usefulness:double>>"))
+                .alias("supporting_reviews")))).alias("subs")))
+    status = a.status
+    ok = status.where(F.col("status") == STATUS_OK).select("product_id")
+    grid = ok.select("product_id", F.explode(_pad_tops()).alias("top_idx"))
+    tnames = dims.dim_top(spark).select("top_idx", F.col("top_name").alias("top_aspect_name"))
+    g = grid.join(F.broadcast(tnames), "top_idx").join(subs, ["product_id", "top_idx"], "left")
+    if specs is not None:
+        sp = (specs.groupBy("product_id", "top_idx")
+              .agg(F.map_from_entries(F.transform(F.sort_array(F.collect_list(F.struct("ord", "spec_key", "spec_value"))),
+                                                  lambda x: F.struct(x["spec_key"], x["spec_value"]))).alias("specifications")))
+        g = g.join(sp, ["product_id", "top_idx"], "left")
+    else:
+        g = g.withColumn("specifications", F.lit(None).cast("map<string,string>"))
+    by_top = lambda l, r: F.when(l["top_idx"] < r["top_idx"], -1).when(l["top_idx"] > r["top_idx"], 1).otherwise(0)  # noqa: E731,E741
+    summary = (g.groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct(
+        "top_idx", "top_aspect_name",
+        F.coalesce(F.transform("subs", lambda x: x.dropFields("sub_idx")),
+                   F.array().cast("array<struct<sub_aspect_name:string,sub_aspect_sentiment:string,"
+                                  "sub_aspect_confidence:bigint,supporting_reviews:array<struct<review_id:bigint,"
+                                  "usefulness:double>>>>")).alias("sub_aspects"),
+        F.coalesce("specifications", F.create_map().cast("map<string,string>")).alias("specifications"))), by_top).alias("ps")))
+    tops = (top.groupBy("product_id").agg(F.sort_array(F.collect_list(F.struct("rank", "review_id", "usefulness")))
+                                          .alias("tr")))
+    out = (status.join(summary, "product_id", "left").join(tops, "product_id", "left"))
+    if names is not None:
+        out = out.join(names, "product_id", "left")
+    else:
+        out = out.withColumn("name", F.col("product_id").cast("string"))
+    return out.select(
+        "product_id",
+        F.struct(F.col("name").alias("product_name"), F.lit(product_type).alias("product_type")).alias("product_info"),
+        F.coalesce(F.transform("tr", lambda x: x.dropFields("rank")),
+                   F.array().cast("array<struct<review_id:bigint,usefulness:double>>")).alias("top_reviews"),
+        F.coalesce(F.transform("ps", lambda x: x.dropFields("top_idx")),
+                   F.array().cast("array<struct<top_aspect_name:string,sub_aspects:array<struct<sub_aspect_name:string,"
+                                  "sub_aspect_sentiment:string,sub_aspect_confidence:bigint,supporting_reviews:array<"
+                                  "struct<review_id:bigint,usefulness:double>>>>,specifications:map<string,string>>>"))
+        .alias("product_summary"),
+        "status")
+
+
+def report_long(spark: SparkSession, a, flat_specs: DataFrame | None) -> DataFrame:
+    """Flat, hashable form of the report: 9 rows per ok product, one row per other product."""
+    top, support, specs = report_parts(spark, a, flat_specs)
+    sup = (support.groupBy("product_id", "sub_idx")
+           .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "review_id"))),
+                                         lambda x: x["review_id"].cast("string")), ",").alias("sr")))
+    sub_txt = F.concat_ws(":", "sub_aspect_name", "sub_aspect_sentiment",
+                          F.col("sub_aspect_confidence").cast("string"), F.coalesce("sr", F.lit("")))
+    subs = (a.sub_rows.join(sup, ["product_id", "sub_idx"], "left")
+            .groupBy("product_id", "top_idx")
+            .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sub_idx", sub_txt.alias("t")))),
+                                          lambda x: x["t"]), "|").alias("sub_aspects")))
+    sp = (specs.groupBy("product_id", "top_idx")
+          .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(
+              "ord", F.concat_ws("=", "spec_key", "spec_value").alias("t")))), lambda x: x["t"]), ";")
+               .alias("specifications")))
+    ntop = top.groupBy("product_id").agg(F.count("*").alias("n_top_reviews"))
+    ok = a.status.where(F.col("status") == STATUS_OK).select("product_id")
+    grid = ok.select("product_id", F.explode(_pad_tops()).alias("top_idx"))
+    tnames = dims.dim_top(spark).select("top_idx", F.col("top_name").alias("top_aspect_name"))
+    rows_ok = (grid.join(F.broadcast(tnames), "top_idx")
+               .join(subs, ["product_id", "top_idx"], "left").join(sp, ["product_id", "top_idx"], "left")
+               .join(ntop, "product_id", "left")
+               .select("product_id", F.lit(STATUS_OK).alias("status"), F.col("top_idx").cast("int").alias("top_idx"),
+                       "top_aspect_name", F.coalesce("sub_aspects", F.lit("")).alias("sub_aspects"),
+                       F.coalesce("specifications", F.lit("")).alias("specifications"),
+                       F.coalesce("n_top_reviews", F.lit(0)).cast("bigint").alias("n_top_reviews")))
+    rows_other = a.status.where(F.col("status") != STATUS_OK).select(
+        "product_id", "status", F.lit(None).cast("int").alias("top_idx"), F.lit(None).cast("string").alias("top_aspect_name"),
+        F.lit(None).cast("string").alias("sub_aspects"), F.lit(None).cast("string").alias("specifications"),
+        F.lit(0).cast("bigint").alias("n_top_reviews"))
+    return rows_ok.unionByName(rows_other)
+
+
+def compare_products(sub_rows: DataFrame, product_ids: list) -> DataFrame:
+    """Chosen reports side by side per sub-aspect (pivot over a given, bounded id list)."""
+    sel = sub_rows.where(F.col("product_id").isin(product_ids))
+    signed = F.when(F.col("sub_aspect_sentiment") == "positive", F.col("sub_aspect_confidence")).otherwise(
+        -F.col("sub_aspect_confidence"))
+    p = (sel.groupBy("sub_idx", "sub_aspect_name").pivot("product_id", product_ids)
+         .agg(F.first(signed)))
+    return p.select("sub_idx", "sub_aspect_name",
+                    *[F.col(str(pid)).cast("bigint").alias(f"p{pid}_signed_conf") for pid in product_ids])

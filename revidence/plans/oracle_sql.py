@@ -260,3 +260,22 @@ V_CATALOG = """v_catalog AS (
            ELSE p_name || ' ' || p_brand END AS name
   FROM part
 )"""
+
+
+FLAT_SPECS = """flat_specs AS (
+  SELECT p_partkey::VARCHAR AS product_id, 'Battery_Type' AS spec_key, trim(p_type) AS spec_value FROM part
+  UNION ALL SELECT p_partkey::VARCHAR, 'Battery_Charging', p_size::VARCHAR || 'W' FROM part
+  UNION ALL SELECT p_partkey::VARCHAR, 'Body_Weight', (p_partkey % 150 + 100)::VARCHAR || ' g' FROM part
+  UNION ALL SELECT p_partkey::VARCHAR, 'Body_SIM', 'Nano-SIM' FROM part
+  UNION ALL SELECT p_partkey::VARCHAR, 'Main_Camera_Single', (p_size % 50)::VARCHAR || ' MP f/1.8' FROM part
+  UNION ALL SELECT p_partkey::VARCHAR, 'Platform_OS',
+                   CASE WHEN p_partkey % 5 = 3 THEN 'Updated OS' ELSE 'OS ' || (p_partkey % 7)::VARCHAR END FROM part
+  UNION ALL SELECT p_partkey::VARCHAR, 'Our_Tests_Battery_Life', 'Endurance ' || (p_partkey % 90)::VARCHAR || 'h'
+            FROM part WHERE p_partkey % 5 = 0
+  UNION ALL SELECT p_partkey::VARCHAR, 'Launch', 'Announced ' || (p_partkey % 25 + 2000)::VARCHAR
+            FROM part WHERE p_partkey % 5 = 2
+)"""
+
+
+def drop_keys_sql() -> str:
+    return "(" + ", ".join(str_lit(k) for k in dims.DROP_SPEC_KEYS) + ")"

@@ -132,3 +132,50 @@ def v_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("corpus_idx"), key.alias("key"),
                     F.substring(F.md5(key), 1, 24).alias("oid"),
                     catalog_name_col(F.col("p_partkey"), F.col("p_name"), F.col("p_brand")).alias("name"))
+
+
+# --- specification documents (from part) -----------------------------------------------------
+
+def _j(s: Column) -> Column:
+    """JSON list leaf ["s"] (escaped by to_json)."""
+    return F.to_json(F.array(s))
+
+
+def _jstr(s: Column) -> Column:
+    """JSON string literal "s" (escaped by to_json)."""
+    return F.regexp_extract(F.to_json(F.struct(s.alias("n"))), r'^\{"n":(.*)\}$', 1)
+
+
+def _sec(title: str, body: Column) -> Column:
+    return F.concat(F.lit('{"title":"' + title + '","data":'), body, F.lit("}"))
+
+
+def _obj(*secs: Column) -> Column:
+    return F.concat(F.lit("["), F.concat_ws(",", *secs), F.lit("]"))
+
+
+def v_spec_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spec documents as JSON text, one per part. By p_partkey % 5: three-level nesting, empty
+    list, scalar leaf, duplicate key (last wins), plain."""
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    m = k % 5
+    ks = lambda c: c.cast("string")
+    battery = _sec("Battery", _obj(_sec("Type", _j(F.concat(F.lit(" "), F.col("p_type"), F.lit(" ")))),
+                                   _sec("Charging", _j(F.concat(ks(F.col("p_size")), F.lit("W"))))))
+    body = _sec("Body", _obj(_sec("Weight", _j(F.concat(ks(k % 150 + 100), F.lit(" g")))),
+                             _sec("SIM", _j(F.lit("Nano-SIM")))))
+    camera = _sec("Main Camera", _obj(_sec("Single", F.to_json(F.array(
+        F.concat(ks(F.col("p_size") % 50), F.lit(" MP")), F.lit(" f/1.8"))))))
+    platform = _sec(" Platform ", _obj(_sec("OS", _j(F.concat(F.lit("OS "), ks(k % 7))))))
+    extra = (F.when(m == 0, _sec("Our Tests", _obj(_sec("Battery", _obj(_sec("Life", _j(
+                 F.concat(F.lit("Endurance "), ks(k % 90), F.lit("h")))))))))
+             .when(m == 1, _sec("Misc", F.lit("[]")))
+             .when(m == 2, _sec("Launch", _jstr(F.concat(F.lit("Announced "), ks(k % 25 + 2000)))))
+             .when(m == 3, _sec("Platform", _obj(_sec("OS", _j(F.lit("Updated OS"))))))
+             .otherwise(None))
+    secs = F.concat(F.lit("["), F.concat_ws(",", battery, body, camera, platform, extra), F.lit("]"))
+    doc = F.concat(F.lit('{"_id":{"$oid":"'), ks(k), F.lit('"},"key":"k_'), ks(k), F.lit('","name":'),
+                   _jstr(catalog_name_col(k, F.col("p_name"), F.col("p_brand"))),
+                   F.lit(',"specification":{"key":"k_'), ks(k), F.lit('","more_specification":'), secs, F.lit("}}"))
+    return p.select(k.alias("corpus_idx"), doc.alias("json"))
