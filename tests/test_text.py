@@ -45,7 +45,8 @@ def test_word_count_boundary(spark):
     ("bathe andy", "the and", 1.0),                  # substring mid-word
     ("pro phone 15 iphone", "iPhone 15 Pro", 0.9),   # full coverage, not contiguous
     ("iphone pro", "iPhone 15 Pro", 0.9),            # 2.0 / 2.1 >= 0.75
-    ("iphone 15", "iPhone 15 Pro", 0.45),            # 1.1 / 2.1
+    ("iphone 15", "iPhone 15 Pro", 0.7),             # 1.1 / 2.1 >= 0.5
+    ("pro", "iPhone 15 Pro Max", 0.45),              # 1.0 / 3.1 >= 0.3
     ("15 only", "iPhone 15 Pro", 0.2),
     ("nothing here", "iPhone 15 Pro", 0.0),
     ("the zzz", "the the zzz", 0.7),                 # repeated token counts twice in total
