@@ -279,3 +279,26 @@ FLAT_SPECS = """flat_specs AS (
 
 def drop_keys_sql() -> str:
     return "(" + ", ".join(str_lit(k) for k in dims.DROP_SPEC_KEYS) + ")"
+
+
+def sdiv(n: str, d: str) -> str:
+    return f"(CASE WHEN ({d}) = 0 THEN 0.0::DOUBLE ELSE ({n})::DOUBLE / ({d}) END)"
+
+
+def v_labels_sql() -> str:
+    return f"""v_labels AS (
+  SELECT vec_id AS review_id, t.top_idx, t.sub_idx, ((vec_id + t.sub_idx) % 2)::INTEGER AS y_sent,
+         ((vec_id + 2 * t.sub_idx) % 5 = 0)::INTEGER AS y_comp
+  FROM embeddings JOIN {taxonomy_sql()} t ON embeddings.label = t.top_idx
+  WHERE embeddings.label < 9 AND (vec_id + t.sub_idx) % 3 <> 0
+)"""
+
+
+def eval_prefix(extra: tuple = ()) -> str:
+    """CTEs: v_scored, cells over ALL reviews, v_labels, ec (cells + labels)."""
+    return with_(V_SCORED, cells_ctes("v_scored"), v_labels_sql(), """ec AS (
+  SELECT c.*, (l.review_id IS NOT NULL)::INTEGER AS y, coalesce(l.y_sent, -1) AS y_sent3, coalesce(l.y_comp, 0) AS y_comp,
+         CASE WHEN c.delta > 0 THEN 1 WHEN c.delta < 0 THEN 0 ELSE -1 END AS p_sent3,
+         CASE WHEN c.pred_sub THEN (CASE WHEN c.delta > 0 THEN 1 WHEN c.delta < 0 THEN 0 ELSE -1 END) ELSE -1 END AS joint
+  FROM cells c LEFT JOIN v_labels l ON l.review_id = c.review_id AND l.sub_idx = c.sub_idx
+)""", *extra)

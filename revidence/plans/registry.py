@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["q_core", "q_text", "q_report"]
+_MODULES = ["q_core", "q_text", "q_report", "q_eval"]
 
 
 def _load():
