@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["q_core", "q_text", "q_report", "q_eval"]
+_MODULES = ["q_core", "q_text", "q_report", "q_eval", "q_lab"]
 
 
 def _load():
