@@ -9,7 +9,7 @@ and resolves duplicate keys with ``max_by(value, path)`` = last in document orde
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revidence import dims
@@ -91,17 +91,17 @@ def specs_wide(flat: DataFrame, id_col: str = "product_id", keys=None) -> DataFr
 
 
 def spec_lookup(queries: DataFrame, docs: DataFrame, q_col: str = "query") -> DataFrame:
-    """H4: compact-key containment either way on the name, or query inside the doc key; first
-    match in catalog order (``ord``); no match -> null doc (the reference's empty doc).
-
-    The theta join is bounded by queries x catalog; callers run it on exact-lookup misses only.
-    """
-    q = queries.select("qid", q_col, T.compact_key(F.col(q_col)).alias("cq"))
-    d = docs.select("ord", "doc_id", T.compact_key(F.col("name")).alias("cn"), T.compact_key(F.col("key")).alias("ck"))
-    cond = ((F.instr("cn", F.col("cq")) > 0) | (F.instr("cq", F.col("cn")) > 0) | (F.instr("ck", F.col("cq")) > 0))
-    j = q.join(d, cond, "left")
-    w = Window.partitionBy("qid").orderBy(F.col("ord").asc_nulls_last())
-    return j.withColumn("rk", F.row_number().over(w)).where("rk = 1").select("qid", q_col, "doc_id")
+    """H4: first doc (lowest ``corpus_idx``) whose compact name contains the compact query or is
+    contained in it, or whose compact key contains the query; no match -> null (the
+    reference's empty doc). Uses the exact trigram-blocked containment join, no theta join."""
+    from revidence.operators.catalog import contains_join
+    q = queries.select("qid", T.compact_key(F.col(q_col)).alias("cq")).where(F.col("cq") != "")
+    d = docs.select("corpus_idx", T.compact_key(F.col("name")).alias("cn"), T.compact_key(F.col("key")).alias("ck"))
+    a = contains_join(q, d.where(F.col("cn") != ""), "cq", "cn").select("qid", "corpus_idx")
+    b = contains_join(d.where(F.col("cn") != ""), q, "cn", "cq").select("qid", "corpus_idx")
+    c = contains_join(q, d.where(F.col("ck") != ""), "cq", "ck").select("qid", "corpus_idx")
+    best = a.unionByName(b).unionByName(c).groupBy("qid").agg(F.min("corpus_idx").alias("doc_id"))
+    return queries.select("qid").join(best, "qid", "left")
 
 
 def spec_fusion(flat: DataFrame, id_col: str = "product_id") -> DataFrame:

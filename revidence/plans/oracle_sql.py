@@ -302,3 +302,50 @@ def eval_prefix(extra: tuple = ()) -> str:
          CASE WHEN c.pred_sub THEN (CASE WHEN c.delta > 0 THEN 1 WHEN c.delta < 0 THEN 0 ELSE -1 END) ELSE -1 END AS joint
   FROM cells c LEFT JOIN v_labels l ON l.review_id = c.review_id AND l.sub_idx = c.sub_idx
 )""", *extra)
+
+
+V_QUERIES = f"""v_queries AS (
+  SELECT corpus_idx AS qid, CASE
+    WHEN corpus_idx % 7 = 0 THEN name
+    WHEN corpus_idx % 11 = 0 THEN regexp_replace({normalize_key('name')}, '^(apple|samsung|google) +', '')
+    WHEN corpus_idx % 13 = 0 THEN substring({normalize_key('name')}, 2, 6)
+    WHEN corpus_idx % 17 = 0 THEN 'zz' || corpus_idx::VARCHAR || 'qq'
+    WHEN corpus_idx % 19 = 0 THEN '' END AS query
+  FROM v_catalog
+  WHERE corpus_idx % 7 = 0 OR corpus_idx % 11 = 0 OR corpus_idx % 13 = 0 OR corpus_idx % 17 = 0 OR corpus_idx % 19 = 0
+)"""
+
+
+def aliases_sql(name: str, key: str, compat: bool = False) -> str:
+    from revidence.operators.catalog import BRAND_RE, GALAXY_PIXEL_BRAND_RE
+    n = normalize_key(name)
+    k = normalize_key(f"coalesce({key}, '')")
+    nb = f"regexp_replace({n}, {str_lit(BRAND_RE)}, '')"
+    ni = f"trim(replace({n}, 'iphone', ''))"
+    if not compat:
+        ni = f"trim(regexp_replace({ni}, ' +', ' ', 'g'))"
+    num = f"regexp_extract({n}, '(\\d+)', 1)"
+    has = lambda s: f"(strpos({n}, '{s}') > 0)"
+    base = f"({has('iphone')} AND {num} <> '')"
+    pm, pro, plus, mini = has("pro max"), has("pro"), has("plus"), has("mini")
+    gp = f"regexp_replace({n}, {str_lit(GALAXY_PIXEL_BRAND_RE)}, '')"
+    items = [
+        f"CASE WHEN {n} <> '' THEN {n} END", f"CASE WHEN {k} <> '' THEN {k} END",
+        f"CASE WHEN {nb} <> '' AND {nb} <> {n} THEN {nb} END",
+        f"CASE WHEN {has('iphone')} AND {ni} <> '' THEN {ni} END",
+        f"CASE WHEN {base} AND {pm} THEN {num} || ' pro max' END", f"CASE WHEN {base} AND {pm} THEN {num} || 'pm' END",
+        f"CASE WHEN {base} AND {pm} THEN 'pro max ' || {num} END",
+        f"CASE WHEN {base} AND NOT {pm} AND {pro} THEN {num} || ' pro' END",
+        f"CASE WHEN {base} AND NOT {pm} AND {pro} THEN 'pro ' || {num} END",
+        f"CASE WHEN {base} AND NOT {pm} AND {pro} THEN {num} || 'p' END",
+        f"CASE WHEN {base} AND NOT {pm} AND NOT {pro} AND {plus} THEN {num} || ' plus' END",
+        f"CASE WHEN {base} AND NOT {pm} AND NOT {pro} AND {plus} THEN 'plus ' || {num} END",
+        f"CASE WHEN {base} AND NOT {pm} AND NOT {pro} AND NOT {plus} AND {mini} THEN {num} || ' mini' END",
+        f"CASE WHEN {base} AND NOT {pm} AND NOT {pro} AND NOT {plus} AND {mini} THEN 'mini ' || {num} END",
+        f"CASE WHEN ({has('galaxy')} OR {has('pixel')}) AND {gp} <> '' THEN {gp} END",
+    ]
+    return f"list_sort(list_distinct(list_filter([{', '.join(items)}], lambda x: x IS NOT NULL)))"
+
+
+CAT_ALIAS = f"""al AS (SELECT corpus_idx, unnest({aliases_sql('name', 'key')}) AS alias FROM v_catalog),
+aidx AS (SELECT alias, min(corpus_idx) AS corpus_idx FROM al GROUP BY alias)"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["q_core", "q_text", "q_report", "q_eval", "q_lab"]
+_MODULES = ["q_core", "q_text", "q_report", "q_eval", "q_lab", "q_catalog"]
 
 
 def _load():

@@ -179,3 +179,18 @@ def v_spec_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
                    _jstr(catalog_name_col(k, F.col("p_name"), F.col("p_brand"))),
                    F.lit(',"specification":{"key":"k_'), ks(k), F.lit('","more_specification":'), secs, F.lit("}}"))
     return p.select(k.alias("corpus_idx"), doc.alias("json"))
+
+
+def v_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lookup probes from the catalog: every 7th name exact, every 11th an alias, every 13th a
+    mid-word fragment, every 17th a miss, every 19th an empty string."""
+    from revidence.functions.text import normalize_key
+    c = v_catalog(spark, sf_dir)
+    k = F.col("corpus_idx")
+    n = normalize_key(F.col("name"))
+    q = (F.when(k % 7 == 0, F.col("name"))
+         .when(k % 11 == 0, F.regexp_replace(n, "^(apple|samsung|google) +", ""))
+         .when(k % 13 == 0, F.substring(n, 2, 6))
+         .when(k % 17 == 0, F.concat(F.lit("zz"), k.cast("string"), F.lit("qq")))
+         .when(k % 19 == 0, F.lit("")))
+    return c.select(k.alias("qid"), q.alias("query")).where(F.col("query").isNotNull())
