@@ -194,3 +194,68 @@ def v_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
          .when(k % 17 == 0, F.concat(F.lit("zz"), k.cast("string"), F.lit("qq")))
          .when(k % 19 == 0, F.lit("")))
     return c.select(k.alias("qid"), q.alias("query")).where(F.col("query").isNotNull())
+
+
+# --- forum posts, comments and review bundles (from conversations) -------------------------------
+
+def _conv_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    return c.groupBy("conv_id").agg(F.min_by("text", "turn").alias("t0"), F.min("turn").alias("t_min"))
+
+
+def v_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = _conv_heads(spark, sf_dir)
+    return h.select(F.col("conv_id").alias("post_id"), (F.col("conv_id") % 2).alias("product_id"),
+                    F.col("conv_id").alias("pos"),
+                    F.array_join(F.slice(F.split("t0", " "), 1, 8), " ").alias("title"),
+                    F.when(F.col("conv_id") % 3 != 0, F.col("t0")).otherwise(F.lit("")).alias("selftext"))
+
+
+def v_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    h = _conv_heads(spark, sf_dir)
+    p = v_posts(spark, sf_dir).select("post_id", "product_id", "title")
+    j = c.join(h, "conv_id").where(F.col("turn") > F.col("t_min")).join(p, F.col("conv_id") == F.col("post_id"))
+    return j.select("post_id", "product_id", F.col("turn").alias("c_pos"), F.col("text").alias("body"),
+                    F.when(F.col("turn") == 5, F.lit(None)).otherwise(F.col("turn") * 3).cast("bigint").alias("ups"),
+                    "title")
+
+
+def v_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON review bundle per conversation: union-typed product ({"$oid"} or a key string),
+    name, comments with body/text and ups/upvotes variants, and the first turn as review text."""
+    cm = v_comments(spark, sf_dir)
+    t = F.col("c_pos")
+    with_title = F.when(t % 2 == 0, F.col("title"))
+    js = F.when(t % 3 == 0, F.to_json(F.struct(F.col("body").alias("text"), t.alias("upvotes"), with_title.alias("post_title")))) \
+        .otherwise(F.to_json(F.struct(F.col("body").alias("body"), F.col("ups").alias("ups"), with_title.alias("post_title"))))
+    per = cm.groupBy("post_id").agg(F.sort_array(F.collect_list(F.struct(t.alias("k"), js.alias("j")))).alias("cs"))
+    h = _conv_heads(spark, sf_dir)
+    b = h.join(per, h.conv_id == per.post_id, "left")
+    cid = F.col("conv_id")
+    product = F.when(cid % 2 == 0, F.concat(F.lit('{"$oid":"'), (cid % 40).cast("string"), F.lit('"}'))) \
+        .otherwise(F.concat(F.lit('"k_'), (cid % 50).cast("string"), F.lit('"')))
+    name = F.when(cid % 5 == 1, F.concat(F.lit("Apple iPhone "), (((cid % 30) * 8) % 17).cast("string"), F.lit(" Pro Max"))) \
+        .otherwise(F.concat(F.lit("Product "), (cid % 13).cast("string")))
+    comments = F.concat(F.lit("["), F.coalesce(F.array_join(F.transform("cs", lambda x: x["j"]), ","), F.lit("")), F.lit("]"))
+    doc = F.concat(F.lit('{"product":'), product, F.lit(',"name":'), F.to_json(F.array(name)).substr(F.lit(2), F.length(F.to_json(F.array(name))) - 2),
+                   F.lit(',"comments":'), comments, F.lit(',"review_texts":'), F.to_json(F.array("t0")), F.lit("}"))
+    return b.select(cid.alias("bundle_ord"), doc.alias("json"))
+
+
+def v_spec_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spec pages rendered as tables (th / td.ttl / td.nfo); an untitled continuation row when
+    p_partkey % 4 = 0."""
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    s = lambda c: c.cast("string")
+    cont = F.when(k % 4 == 0, F.lit('<tr><td class="ttl"></td><td class="nfo">continued</td></tr>')).otherwise(F.lit(""))
+    html = F.concat(
+        F.lit('<html><body><table><tr><th>Battery</th><td class="ttl">Type</td><td class="nfo"> '), F.col("p_type"),
+        F.lit(' </td></tr><tr><td class="ttl">Charging</td><td class="nfo">'), s(F.col("p_size")), F.lit("W</td></tr>"), cont,
+        F.lit('</table><table><tr><th>Body</th><td class="ttl">Weight</td><td class="nfo">'), s(k % 150 + 100),
+        F.lit(' g</td></tr><tr><td class="ttl">SIM</td><td class="nfo">Nano-SIM</td></tr></table>'
+              '<table><tr><th>Main Camera</th><td class="ttl">Single</td><td class="nfo">'), s(F.col("p_size") % 50),
+        F.lit(' MP<br>f/1.8</td></tr></table><table><tr><th>Platform</th><td class="ttl">OS</td><td class="nfo">OS '),
+        s(k % 7), F.lit("</td></tr></table></body></html>"))
+    return p.select(k.alias("page_id"), html.alias("html"))
