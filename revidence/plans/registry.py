@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["q_core", "q_text", "q_report", "q_eval", "q_lab", "q_catalog", "q_sources", "q_scoring"]
+_MODULES = ["q_core", "q_text", "q_report", "q_eval", "q_lab", "q_catalog", "q_sources", "q_scoring", "q_stream"]
 
 
 def _load():
