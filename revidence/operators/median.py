@@ -5,7 +5,7 @@ aggregation buffer, so one hot product (a third of all rows) would land in one t
 Here the median is found by histogram refinement instead:
 
 1. one aggregation per group: count, min, max (map-side combined);
-2. ``passes`` rounds: bucket the still-possible values into ``buckets`` equal-width
+2. ``passes`` rounds (default 2): bucket the still-possible values into ``buckets`` equal-width
    buckets (a monotone map, so bucket order = value order), count per bucket with
    map-side combine, and keep the bucket that holds the wanted rank;
 3. a last round counts the distinct values left in the chosen range and picks the rank.
@@ -22,14 +22,15 @@ from pyspark.sql import functions as F
 
 
 def _pick(state: DataFrame, hist: DataFrame, keys: list[str], order_col: str) -> DataFrame:
-    w = Window.partitionBy(*keys, "which").orderBy(order_col)
-    j = state.join(hist, keys + ["lo", "hi"])
-    j = j.withColumn("cum", F.sum("c").over(w))
+    # cumulative counts on the histogram itself (partitioned like the join that follows)
+    w = Window.partitionBy(*keys, "lo", "hi").orderBy(order_col)
+    h = hist.withColumn("cum", F.sum("c").over(w))
+    j = state.join(h, keys + ["lo", "hi"])
     return j.where((F.col("cum") - F.col("c") <= F.col("k")) & (F.col("k") < F.col("cum")))
 
 
 def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median",
-                 passes: int = 3, buckets: int = 1 << 16) -> DataFrame:
+                 passes: int = 2, buckets: int = 1 << 16) -> DataFrame:
     vals = df.select(*keys, F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
     stats = vals.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     state = stats.select(

@@ -82,15 +82,22 @@ def candidate_pairs(doc_tokens: DataFrame, products: DataFrame) -> DataFrame:
 
 def attribution_pairs(reviews: DataFrame, products: DataFrame, text_col: str = "text",
                       threshold: float = 0.7) -> DataFrame:
-    """All (review_id, product_id, score) with score > threshold (threshold >= 0.7)."""
+    """All (review_id, product_id, score) with score > threshold (threshold >= 0.7).
+
+    The normalised text and its distinct tokens are computed once and hash-partitioned by
+    review_id; candidate generation and verification both read that one exchange (reused),
+    and the verification join only shuffles the small candidate pairs.
+    """
     if threshold < 0.7:
         raise ValueError("candidate generation is exact only for thresholds >= 0.7")
-    r = reviews.select("review_id", T.normalize_key(F.col(text_col)).alias("tn")).where(F.col("tn") != "")
-    doc_tokens = r.select("review_id", F.explode(F.array_distinct(F.split("tn", " "))).alias("tok"))
+    r = (reviews.select("review_id", T.normalize_key(F.col(text_col)).alias("tn")).where(F.col("tn") != "")
+         .withColumn("tt", F.array_distinct(F.split("tn", " "))).repartition("review_id"))
+    doc_tokens = r.select("review_id", F.explode("tt").alias("tok"))
     cand = candidate_pairs(doc_tokens, products)
     p = products.select("product_id", T.normalize_key(F.col("name")).alias("nn"))
     scored = (cand.join(r, "review_id").join(p, "product_id")
-              .select("review_id", "product_id", T.match_score_norm(F.col("tn"), F.col("nn")).alias("score")))
+              .select("review_id", "product_id",
+                      T.match_score_norm(F.col("tn"), F.col("nn"), F.col("tt")).alias("score")))
     return scored.where(F.col("score") > F.lit(float(threshold)))
 
 

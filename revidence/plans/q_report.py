@@ -73,8 +73,13 @@ def _analysis(spark, d):
     return analyze(spark, v_scored(spark, d))
 
 
-def _flat_bigint(spark, d):
-    return specs.drop_spec_keys(flat(spark, d)).withColumn("product_id", F.col("product_id").cast("bigint"))
+def _flat_bigint(spark, d, products=None):
+    """Flat specs keyed like the scored products; with ``products`` given, only their documents
+    are flattened (semi join before the explode levels)."""
+    docs = specs.parse_spec_docs(v_spec_docs(spark, d)).withColumn("product_id", F.col("product_id").cast("bigint"))
+    if products is not None:
+        docs = docs.join(products.select("product_id").distinct(), "product_id", "left_semi")
+    return specs.drop_spec_keys(specs.flatten_specs(docs))
 
 
 TOPREV_SQL = O.core_prefix() + """SELECT product_id, rank::INTEGER AS rank, review_id, round(usefulness, 6) AS usefulness FROM (
@@ -164,13 +169,15 @@ SELECT product_id, status, NULL::INTEGER, NULL::VARCHAR, NULL::VARCHAR, NULL::VA
 
 @register("product_report", _report_sql())
 def q_product_report(spark, d):
-    return report.report_long(spark, _analysis(spark, d), _flat_bigint(spark, d))
+    a = _analysis(spark, d)
+    return report.report_long(spark, a, _flat_bigint(spark, d, a.status.where("status = 'ok'")))
 
 
 @register("report_json")
 def q_report_json(spark, d):
     """Nested report (one row per product) as written by the JSON sink."""
-    return report.build_report(spark, _analysis(spark, d), _flat_bigint(spark, d))
+    a = _analysis(spark, d)
+    return report.build_report(spark, a, _flat_bigint(spark, d, a.status.where("status = 'ok'")))
 
 
 CMP = [0, 1, 2]
