@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revidence.functions import text as T
+from revidence.functions.columns import computed
 
 
 def relevance_known(reviews: DataFrame, products: DataFrame, text_col: str = "text") -> DataFrame:
@@ -90,8 +91,9 @@ def attribution_pairs(reviews: DataFrame, products: DataFrame, text_col: str = "
     """
     if threshold < 0.7:
         raise ValueError("candidate generation is exact only for thresholds >= 0.7")
-    r = (reviews.select("review_id", T.normalize_key(F.col(text_col)).alias("tn")).where(F.col("tn") != "")
-         .withColumn("tt", F.array_distinct(F.split("tn", " "))).repartition("review_id"))
+    r = computed(reviews.select("review_id", text_col), tn=T.normalize_key(F.col(text_col)))
+    r = (computed(r.where(F.col("tn") != "").select("review_id", "tn"), tt=F.array_distinct(F.split("tn", " ")))
+         .repartition("review_id"))
     doc_tokens = r.select("review_id", F.explode("tt").alias("tok"))
     cand = candidate_pairs(doc_tokens, products)
     p = products.select("product_id", T.normalize_key(F.col("name")).alias("nn"))

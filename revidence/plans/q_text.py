@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from revidence.functions import text as T
+from revidence.functions.columns import computed
 from revidence.operators import relevance as rel
 from revidence.plans import oracle_sql as O
 from revidence.plans.q_core import R6  # noqa: F401
@@ -28,7 +29,7 @@ REV = O.with_(O.V_REVIEWS, f"cl AS (SELECT *, {CLEAN} AS text FROM v_reviews)")
 
 
 def cleaned(spark, d, strict=False):
-    return v_reviews(spark, d).withColumn("text", T.clean_text(F.col("raw_text"), strict))
+    return computed(v_reviews(spark, d), text=T.clean_text(F.col("raw_text"), strict))
 
 
 @register("clean_text", REV + "SELECT review_id, text FROM cl")

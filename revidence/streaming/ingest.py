@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from revidence import dims
 from revidence.functions import text as TX
+from revidence.functions.columns import computed
 from revidence.operators import evidence as ev
 from revidence.operators import predict
 
@@ -33,7 +34,7 @@ def ingest_stream(spark: SparkSession, landing: str, schema: T.StructType = REVI
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     s = r.parquet(landing)
-    c = s.select("product_id", "review_id", TX.clean_text(F.col("raw_text")).alias("text"))
+    c = computed(s.select("product_id", "review_id", "raw_text"), text=TX.clean_text(F.col("raw_text")))
     c = c.where(TX.word_count(F.col("text")) > 15)
     c = c.withColumn("text_hash", F.sha2(F.col("text"), 256))
     return c.dropDuplicates(["product_id", "text_hash"]).select("product_id", "text_hash", "text")
