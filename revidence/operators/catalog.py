@@ -4,7 +4,7 @@ The reference keeps a Python dict ``alias -> corpus position`` and falls back to
 substring scan. Here the alias index is a table, the exact lookup is an equi join, and the
 substring fallback is ``contains_join``: an exact containment join that never forms the
 full needle x haystack product. Needles of >= 3 characters join haystack trigrams on their
-first trigram (every haystack that contains the needle contains that trigram); needles of
+rarest trigram (every haystack that contains the needle contains that trigram); needles of
 1-2 characters form a set bounded by 37^2 + 37 strings by construction and are broadcast.
 """
 
@@ -84,10 +84,21 @@ def _tri(c: Column) -> Column:
 
 
 def contains_join(needles: DataFrame, hay: DataFrame, n_col: str = "needle", h_col: str = "hay") -> DataFrame:
-    """All (needle row, hay row) with needle a substring of hay (needle non-empty). Exact."""
-    nl = needles.where(F.length(n_col) >= 3).withColumn("_tri", F.substring(n_col, 1, 3))
+    """All (needle row, hay row) with needle a substring of hay (needle non-empty). Exact.
+
+    Needles of >= 3 characters are blocked on their rarest trigram (document frequency over the
+    hay side; a needle with a trigram absent from every hay row matches nothing). Every hay row
+    containing the needle contains that trigram, so the equi join is an exact superset that
+    the ``instr`` check then verifies.
+    """
     ht = hay.where(F.length(h_col) >= 3).select("*", F.explode(_tri(F.col(h_col))).alias("_tri"))
-    long_hits = ht.join(nl, "_tri").where(F.instr(F.col(h_col), F.col(n_col)) > 0).drop("_tri")
+    df = ht.groupBy("_tri").agg(F.count("*").alias("_df"))
+    nl = needles.where(F.length(n_col) >= 3)
+    nvals = nl.select(F.col(n_col).alias("_nv")).distinct()
+    ng = nvals.select("_nv", F.explode(_tri(F.col("_nv"))).alias("_tri")).join(df, "_tri", "left")
+    key = ng.groupBy("_nv").agg(F.min_by("_tri", F.coalesce(F.col("_df"), F.lit(0))).alias("_tri"))
+    nk = nl.join(key, F.col(n_col) == F.col("_nv")).drop("_nv")
+    long_hits = ht.join(nk, "_tri").where(F.instr(F.col(h_col), F.col(n_col)) > 0).drop("_tri")
     short = needles.where((F.length(n_col) > 0) & (F.length(n_col) < 3))
     short_vals = short.select(F.col(n_col).alias("_sv")).distinct()        # <= 37^2 + 37 strings
     sh = hay.join(F.broadcast(short_vals), F.instr(F.col(h_col), F.col("_sv")) > 0)
