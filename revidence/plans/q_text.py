@@ -8,7 +8,6 @@ from revidence.functions import text as T
 from revidence.functions.columns import computed
 from revidence.operators import relevance as rel
 from revidence.plans import oracle_sql as O
-from revidence.plans.q_core import R6  # noqa: F401
 from revidence.sources.bridges import v_catalog, v_products, v_reviews
 
 QUERIES: dict = {}
