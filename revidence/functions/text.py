@@ -17,6 +17,11 @@ from pyspark.sql import functions as F
 WS = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 NON_WS = r"[^\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
+# The same set as characters (for character-set trims).
+WS_RANGES = [(0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A),
+             (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)]
+WS_CHARS = "".join(chr(c) for a, b in WS_RANGES for c in range(a, b + 1))
+
 URL_RE = r"https?://" + NON_WS + r"+|www\." + NON_WS + "+"
 
 # Emoji / symbol ranges deleted by the cleaner, in the reference's order. The last range
@@ -47,12 +52,10 @@ CLEAN_RULES = [
     (r"^[^a-zA-Z0-9]+", ""),        # strip leading non-ASCII-alnum
 ]
 
-BRAND_PREFIX_RE = r"^(apple|samsung|google|sony|oneplus|xiaomi|motorola|realme|vivo|oppo|asus) +"
-
 
 def ws_trim(c: Column) -> Column:
-    """Python ``str.strip()``: trim the full Unicode whitespace class."""
-    return F.regexp_replace(c, "^" + WS + "+|" + WS + "+$", "")
+    """Python ``str.strip()``: trim the full Unicode whitespace set (a character-set trim, no regex)."""
+    return F.trim(c, F.lit(WS_CHARS))
 
 
 def clean_text(c: Column, strict_emoji: bool = False) -> Column:

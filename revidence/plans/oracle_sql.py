@@ -157,7 +157,8 @@ def rx(x: str, pat: str, rep: str) -> str:
 
 
 def ws_trim(x: str) -> str:
-    return rx(x, "^" + _T.WS + "+|" + _T.WS + "+$", "")
+    chars = " || ".join(f"chr({ord(c)})" for c in _T.WS_CHARS)
+    return f"trim({x}, {chars})"
 
 
 def clean_text(x: str, strict: bool = False) -> str:
