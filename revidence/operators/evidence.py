@@ -54,7 +54,8 @@ def reliability_col(sub_idx: Column) -> Column:
     return F.get(dims.lit_doubles(dims.SUB_RELIABILITY), sub_idx)
 
 
-def product_medians(gated: DataFrame, temperature: float = dims.SENTIMENT_TEMPERATURE) -> DataFrame:
+def product_medians(gated: DataFrame, temperature: float = dims.SENTIMENT_TEMPERATURE,
+                    checkpoint: bool = True) -> DataFrame:
     """Per product: median sentiment confidence over all N x 29 cells, median usefulness over N.
 
     Both medians run in the same refinement passes (grouped by product and metric).
@@ -67,7 +68,7 @@ def product_medians(gated: DataFrame, temperature: float = dims.SENTIMENT_TEMPER
             F.array(F.struct(F.lit("u").alias("m"), F.col("usefulness").alias("v"))),
         )).alias("x"),
     ).select("product_id", F.col("x.m").alias("metric"), F.col("x.v").alias("v"))
-    med = exact_median(stacked, ["product_id", "metric"], "v", out="med")
+    med = exact_median(stacked, ["product_id", "metric"], "v", out="med", checkpoint=checkpoint)
     return med.groupBy("product_id").agg(
         F.max(F.when(F.col("metric") == "c", F.col("med"))).alias("med_c"),
         F.max(F.when(F.col("metric") == "u", F.col("med"))).alias("med_u"),

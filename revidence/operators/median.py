@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from revidence.session import cut_lineage
+
 
 def _pick(state: DataFrame, hist: DataFrame, keys: list[str], order_col: str) -> DataFrame:
     # cumulative counts on the histogram itself (partitioned like the join that follows)
@@ -30,7 +32,13 @@ def _pick(state: DataFrame, hist: DataFrame, keys: list[str], order_col: str) ->
 
 
 def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median",
-                 passes: int = 2, buckets: int = 1 << 16) -> DataFrame:
+                 passes: int = 2, buckets: int = 1 << 16, checkpoint: bool = True) -> DataFrame:
+    """Exact median of ``value`` per ``keys`` group.
+
+    The per-group search state (two rows per group) is checkpointed after every round, so each
+    round's plan is one scan of ``df`` plus a small table instead of a tree that doubles per round.
+    """
+    cut = cut_lineage if checkpoint else (lambda x: x)
     vals = df.select(*keys, F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
     stats = vals.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     state = stats.select(
@@ -40,6 +48,7 @@ def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median"
             F.struct(F.lit(1).alias("which"), F.floor(F.col("n") / 2).cast("bigint").alias("k")),
         )).alias("t"),
     ).select(*keys, "lo", "hi", "t.which", "t.k")
+    state = cut(state)
 
     nb = F.lit(buckets)
     for _ in range(passes):
@@ -52,8 +61,8 @@ def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median"
         hist = (cand.groupBy(*keys, "lo", "hi", bucket.alias("b"))
                 .agg(F.count("*").alias("c"), F.min("v").alias("bmin"), F.max("v").alias("bmax")))
         picked = _pick(state, hist, keys, "b")
-        state = picked.select(*keys, F.col("bmin").alias("lo"), F.col("bmax").alias("hi"), "which",
-                              (F.col("k") - (F.col("cum") - F.col("c"))).alias("k"))
+        state = cut(picked.select(*keys, F.col("bmin").alias("lo"), F.col("bmax").alias("hi"), "which",
+                                  (F.col("k") - (F.col("cum") - F.col("c"))).alias("k")))
 
     ranges = state.select(*keys, "lo", "hi").distinct()
     cand = vals.join(ranges, keys).where(F.col("v").between(F.col("lo"), F.col("hi")))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from revidence import dims
 from revidence.operators import evidence as ev
 from revidence.operators import predict, report
+from revidence.session import cut_lineage
 
 
 @dataclass
@@ -29,14 +30,18 @@ class Analysis:
 
 
 def analyze(spark: SparkSession, scored: DataFrame, products: DataFrame | None = None,
-            agreement: str = "aggregated", taxonomy=None) -> Analysis:
+            agreement: str = "aggregated", taxonomy=None, checkpoint: bool = True) -> Analysis:
+    """Small per-product results (status, medians, evidence: at most products x 29 rows) are
+    checkpointed, so every consumer (report rows, supporting reviews, report assembly) reads
+    them instead of re-planning the median rounds and aggregations."""
+    cut = cut_lineage if checkpoint else (lambda x: x)
     gated = report.evidence_gate(scored)
-    status = report.evidence_sufficiency(products if products is not None else scored, gated)
+    status = cut(report.evidence_sufficiency(products if products is not None else scored, gated))
     gated_ok = report.sufficient(gated, status)
     keep = tuple(c for c in ("product_id", "usefulness") if c in gated_ok.columns)
     cells = predict.decode_cells(gated_ok, taxonomy=taxonomy, keep=keep)
-    medians = ev.product_medians(gated_ok)
-    evid = ev.sub_evidence(cells, medians, agreement=agreement)
+    medians = cut(ev.product_medians(gated_ok, checkpoint=checkpoint))
+    evid = cut(ev.sub_evidence(cells, medians, agreement=agreement))
     rows = report.sub_aspect_rows(spark, evid, taxonomy)
     return Analysis(gated, status, gated_ok, cells, medians, evid, rows)
 
