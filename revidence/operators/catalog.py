@@ -10,7 +10,7 @@ rarest trigram (every haystack that contains the needle contains that trigram);
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revidence.functions import text as T
@@ -170,13 +170,13 @@ def lookup_product(queries: DataFrame, index: DataFrame, corpus: DataFrame) -> D
 
 
 def corpus_append(corpus: DataFrame, new_items: DataFrame) -> DataFrame:
-    """Append new products with id = slug and a dense index after the current maximum."""
+    """Append new products (name, new_ord) with id = slug and dense positions after the
+    current maximum (distributed dense index over the batch, no global window)."""
+    from revidence.sources.ingest import dense_index
     mx = corpus.agg(F.coalesce(F.max("corpus_idx"), F.lit(-1)).alias("mx"))
-    w = Window.orderBy("new_ord")
-    # the window orders only the appended batch (bounded by the batch size)
-    n = new_items.withColumn("rn", F.row_number().over(w))
-    n = n.join(F.broadcast(mx), how="inner", on=F.lit(True))
-    add = n.select((F.col("mx") + F.col("rn")).alias("corpus_idx"),
+    n = dense_index(new_items, ["new_ord"], out="rn")
+    n = n.join(F.broadcast(mx), how="inner", on=F.lit(True))      # one-row table
+    add = n.select((F.col("mx") + F.col("rn") + 1).alias("corpus_idx"),
                    T.slug_id(F.col("name")).alias("id"), "name", F.lit("").alias("key"))
     return corpus.select("corpus_idx", "id", "name", "key").unionByName(add)
 

@@ -306,14 +306,14 @@ def eval_prefix(extra: tuple = ()) -> str:
 
 
 V_QUERIES = f"""v_queries AS (
-  SELECT corpus_idx AS qid, CASE
-    WHEN corpus_idx % 7 = 0 THEN name
-    WHEN corpus_idx % 11 = 0 THEN regexp_replace({normalize_key('name')}, '^(apple|samsung|google) +', '')
-    WHEN corpus_idx % 13 = 0 THEN substring({normalize_key('name')}, 2, 6)
-    WHEN corpus_idx % 17 = 0 THEN 'zz' || corpus_idx::VARCHAR || 'qq'
-    WHEN corpus_idx % 19 = 0 THEN '' END AS query
+  SELECT corpus_idx AS qid, CASE corpus_idx % 6
+    WHEN 0 THEN name
+    WHEN 1 THEN regexp_replace({normalize_key('name')}, '^(apple|samsung|google) +', '')
+    WHEN 2 THEN substring({normalize_key('name')}, 2, 6)
+    WHEN 3 THEN 'zz' || corpus_idx::VARCHAR || 'qq'
+    WHEN 4 THEN ''
+    ELSE upper(name) || '!!' END AS query
   FROM v_catalog
-  WHERE corpus_idx % 7 = 0 OR corpus_idx % 11 = 0 OR corpus_idx % 13 = 0 OR corpus_idx % 17 = 0 OR corpus_idx % 19 = 0
 )"""
 
 

@@ -47,8 +47,24 @@ def q_alias_index(spark, d):
     return cat.alias_index(cat.alias_rows(v_catalog(spark, d)))
 
 
-@register("alias_upsert", CATQ + f""", newp AS (SELECT corpus_idx + 100000 AS corpus_idx, name, replace({O.normalize_key('name')}, ' ', '_') AS id
-  FROM v_catalog WHERE corpus_idx % 9 = 0),
+def new_products(spark, d):
+    """Products arriving from the review bundles (every conversation), in name order."""
+    from revidence.plans.q_sources import bundles
+    b = bundles(spark, d).select("product_name").distinct()
+    return b.select(F.col("product_name").alias("name"), F.col("product_name").alias("new_ord"))
+
+
+def appended(spark, d):
+    return cat.corpus_append(corpus(spark, d), new_products(spark, d))
+
+
+NEWP = f"""newp AS (SELECT (SELECT max(corpus_idx) FROM v_catalog) + row_number() OVER (ORDER BY name) AS corpus_idx, name,
+  replace({O.normalize_key('name')}, ' ', '_') AS id FROM (SELECT DISTINCT
+    CASE WHEN conv_id % 5 = 1 THEN 'Apple iPhone ' || (((conv_id % 30) * 8) % 17)::VARCHAR || ' Pro Max'
+         ELSE 'Product ' || (conv_id % 13)::VARCHAR END AS name FROM conversations) x)"""
+
+
+@register("alias_upsert", CATQ + ", " + NEWP + f""",
 nk AS (SELECT DISTINCT corpus_idx, k AS alias FROM (
   SELECT corpus_idx, {O.normalize_key('name')} AS k FROM newp UNION ALL SELECT corpus_idx, id FROM newp) z WHERE k <> ''),
 both_k AS (SELECT alias, corpus_idx, 0 AS prio FROM aidx UNION ALL SELECT alias, corpus_idx, 1 FROM nk)
@@ -56,8 +72,8 @@ SELECT alias, arg_max(corpus_idx, prio * 10000000 + corpus_idx) AS corpus_idx FR
 def q_alias_upsert(spark, d):
     c = v_catalog(spark, d)
     idx = cat.alias_index(cat.alias_rows(c))
-    new = c.where(F.col("corpus_idx") % 9 == 0).select((F.col("corpus_idx") + 100000).alias("corpus_idx"), "name",
-                                                      T.slug_id(F.col("name")).alias("id"))
+    mx = c.agg(F.max("corpus_idx").alias("mx"))
+    new = appended(spark, d).join(mx, F.col("corpus_idx") > F.col("mx")).select("corpus_idx", "name", "id")
     return cat.alias_upsert(idx, new)
 
 
@@ -89,16 +105,10 @@ def q_lookup_product(spark, d):
     return cat.lookup_product(v_queries(spark, d), idx, corpus(spark, d))
 
 
-@register("corpus_append", O.with_(O.V_CATALOG) + f"""SELECT corpus_idx, key AS id, name, key FROM v_catalog
-UNION ALL
-SELECT (SELECT max(corpus_idx) FROM v_catalog) + row_number() OVER (ORDER BY corpus_idx) AS corpus_idx,
-       replace({O.normalize_key("'New ' || name")}, ' ', '_') AS id, 'New ' || name AS name, '' AS key
-FROM v_catalog WHERE corpus_idx % 97 = 0""")
+@register("corpus_append", O.with_(O.V_CATALOG, NEWP) + """SELECT corpus_idx, key AS id, name, key FROM v_catalog
+UNION ALL SELECT corpus_idx, id, name, '' AS key FROM newp""")
 def q_corpus_append(spark, d):
-    c = corpus(spark, d)
-    new = v_catalog(spark, d).where(F.col("corpus_idx") % 97 == 0).select(
-        F.col("corpus_idx").alias("new_ord"), F.concat(F.lit("New "), F.col("name")).alias("name"))
-    return cat.corpus_append(c, new)
+    return appended(spark, d)
 
 
 @register("alias_coverage", CATQ + """SELECT c.corpus_idx, coalesce(n.n, 0)::BIGINT AS n_aliases FROM v_catalog c

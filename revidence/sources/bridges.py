@@ -182,18 +182,20 @@ def v_spec_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lookup probes from the catalog: every 7th name exact, every 11th an alias, every 13th a
-    mid-word fragment, every 17th a miss, every 19th an empty string."""
+    """One lookup probe per catalog row, by corpus_idx % 6: exact name, alias (brand dropped),
+    mid-word fragment, miss, empty string, upper-cased name with punctuation."""
     from revidence.functions.text import normalize_key
     c = v_catalog(spark, sf_dir)
     k = F.col("corpus_idx")
     n = normalize_key(F.col("name"))
-    q = (F.when(k % 7 == 0, F.col("name"))
-         .when(k % 11 == 0, F.regexp_replace(n, "^(apple|samsung|google) +", ""))
-         .when(k % 13 == 0, F.substring(n, 2, 6))
-         .when(k % 17 == 0, F.concat(F.lit("zz"), k.cast("string"), F.lit("qq")))
-         .when(k % 19 == 0, F.lit("")))
-    return c.select(k.alias("qid"), q.alias("query")).where(F.col("query").isNotNull())
+    m = k % 6
+    q = (F.when(m == 0, F.col("name"))
+         .when(m == 1, F.regexp_replace(n, "^(apple|samsung|google) +", ""))
+         .when(m == 2, F.substring(n, 2, 6))
+         .when(m == 3, F.concat(F.lit("zz"), k.cast("string"), F.lit("qq")))
+         .when(m == 4, F.lit(""))
+         .otherwise(F.concat(F.upper(F.col("name")), F.lit("!!"))))
+    return c.select(k.alias("qid"), q.alias("query"))
 
 
 # --- forum posts, comments and review bundles (from conversations) -------------------------------
