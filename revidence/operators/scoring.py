@@ -36,9 +36,8 @@ TOKEN_RE = re.compile(r"[a-z0-9]+")
 class HashedLinearScorer:
     """Hashed bag of words -> linear heads. Deterministic (crc32 hashing, seeded weights)."""
 
-    def __init__(self, n_features: int = 1 << 14, seed: int = 7, max_chars: int = 4000):
+    def __init__(self, n_features: int = 1 << 14, seed: int = 7):
         self.n_features = n_features
-        self.max_chars = max_chars   # scorer-side truncation, like the models' max sequence length
         rng = np.random.default_rng(seed)
         self.w_use = rng.normal(0, 0.05, n_features)
         self.w_asp = rng.normal(0, 0.05, (n_features, dims.N_TOP + 2 * dims.N_SUB + 2 * dims.N_SUB))
@@ -46,7 +45,7 @@ class HashedLinearScorer:
     def _features(self, texts) -> np.ndarray:
         x = np.zeros((len(texts), self.n_features), dtype=np.float64)
         for i, t in enumerate(texts):
-            toks = TOKEN_RE.findall((t or "")[: self.max_chars].lower())
+            toks = TOKEN_RE.findall((t or "").lower())     # whole text, no truncation
             if not toks:
                 continue
             idx = np.fromiter((zlib.crc32(tok.encode()) % self.n_features for tok in toks), dtype=np.int64)
@@ -56,7 +55,7 @@ class HashedLinearScorer:
 
     def usefulness(self, texts) -> np.ndarray:
         z = self._features(texts) @ self.w_use
-        return 10.0 / (1.0 + np.exp(-4.0 * z))
+        return 10.0 / (1.0 + np.exp(-25.0 * z))
 
     def aspects(self, texts):
         z = self._features(texts) @ self.w_asp * 8.0

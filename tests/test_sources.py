@@ -91,3 +91,16 @@ def test_contains_join_exact(spark):
     brute = {(q, h) for q, n in [(1, "ab"), (2, "abc"), (3, "zzz"), (4, "c")]
              for h, s in [(10, "xabcx"), (11, "ab"), (12, "cc")] if n in s}
     assert got == brute
+
+
+def test_load_bundles_from_json_files(spark, tmp_path):
+    docs = [{"product": {"$oid": "abc"}, "name": "Pixel 9", "comments": [{"body": "great phone " * 10, "ups": 2}],
+             "review_texts": ["solid battery life " * 6]},
+            {"product": "k_2", "product_name": "Galaxy S24", "comments": [], "review_texts": []}]
+    (tmp_path / "a.json").write_text(json.dumps(docs))
+    (tmp_path / "b.json").write_text(json.dumps({"product": "k_3", "name": "Solo", "comments": [], "review_texts": []}))
+    b = ing.load_bundles(spark, str(tmp_path))
+    got = sorted((r.product_oid, r.product_is_str, r.product_name) for r in b.collect())
+    assert got == [("abc", False, "Pixel 9"), ("k_2", True, "Galaxy S24"), ("k_3", True, "Solo")]
+    reviews = ing.assemble_bundle_reviews(b.withColumn("bundle_ord", F.lit(0)), key="product_oid").collect()
+    assert sorted((r.origin_ord, r.likes) for r in reviews) == [(0, 2), (1, None)]
