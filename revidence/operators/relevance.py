@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from revidence.functions import text as T
 from revidence.functions.columns import computed
+from revidence.session import cut_lineage
 
 
 def relevance_known(reviews: DataFrame, products: DataFrame, text_col: str = "text") -> DataFrame:
@@ -85,15 +86,15 @@ def attribution_pairs(reviews: DataFrame, products: DataFrame, text_col: str = "
                       threshold: float = 0.7) -> DataFrame:
     """All (review_id, product_id, score) with score > threshold (threshold >= 0.7).
 
-    The normalised text and its distinct tokens are computed once and hash-partitioned by
-    review_id; candidate generation and verification both read that one exchange (reused),
-    and the verification join only shuffles the small candidate pairs.
+    The normalised text and its distinct tokens are computed once and written as a reliable
+    checkpoint (the regex cleaner is the dominant cost and every branch below reads the table:
+    column pruning gives each consumer a different projection, so exchanges are not reused).
     """
     if threshold < 0.7:
         raise ValueError("candidate generation is exact only for thresholds >= 0.7")
     r = computed(reviews.select("review_id", text_col), tn=T.normalize_key(F.col(text_col)))
-    r = (computed(r.where(F.col("tn") != "").select("review_id", "tn"), tt=F.array_distinct(F.split("tn", " ")))
-         .repartition("review_id"))
+    r = cut_lineage(computed(r.where(F.col("tn") != "").select("review_id", "tn"),
+                             tt=F.array_distinct(F.split("tn", " "))))
     doc_tokens = r.select("review_id", F.explode("tt").alias("tok"))
     cand = candidate_pairs(doc_tokens, products)
     p = products.select("product_id", T.normalize_key(F.col("name")).alias("nn"))

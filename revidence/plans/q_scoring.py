@@ -11,6 +11,7 @@ from revidence.operators import report, scoring
 from revidence.plans import oracle_sql as O
 from revidence.plans.pipeline import analyze
 from revidence.plans.q_text import cleaned
+from revidence.session import cut_lineage
 from revidence.sources.bridges import table, v_products, v_scored
 
 QUERIES: dict = {}
@@ -107,7 +108,7 @@ def q_pipeline_end_to_end(spark, d):
     """Raw review items -> clean -> length filter -> relevance -> usefulness -> gate -> aspects
     -> decode -> evidence -> report rows, for all products at once, with statuses."""
     prods = v_products(spark)
-    scored = native_scored(spark, d)
+    scored = cut_lineage(native_scored(spark, d))      # every branch of the analysis reads this stage
     a = analyze(spark, scored, products=prods)
     nrev = scored.groupBy("product_id").agg(F.count("*").alias("n_rev"))
     st = (a.status.join(nrev, "product_id", "left")
