@@ -149,15 +149,22 @@ def lookup_exact(queries: DataFrame, index: DataFrame) -> DataFrame:
 
 def lookup_fuzzy(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """For each query, the lowest corpus position with norm in name, name in norm, or norm in
-    id (normalised). Empty names are excluded (the reference lets them match everything)."""
+    id (normalised). Empty names are excluded (the reference lets them match everything).
+
+    Only the minimum position matters, so both sides are pre-aggregated before the containment
+    join: distinct query strings, and distinct names / ids carrying their lowest position. The
+    join then enumerates distinct-string matches, not row pairs.
+    """
     q = queries.select("qid", T.normalize_key(F.col("query")).alias("norm")).where(F.col("norm") != "")
+    qd = q.select("norm").distinct()
     c = corpus.select("corpus_idx", T.normalize_key(F.col("name")).alias("nn"), T.normalize_key(F.col("id")).alias("ni"))
-    names = c.where(F.col("nn") != "")
-    a = contains_join(q, names, "norm", "nn").select("qid", "corpus_idx")
-    b = contains_join(names, q, "nn", "norm").select("qid", "corpus_idx")
-    ids = c.where(F.col("ni") != "")
-    i = contains_join(q, ids, "norm", "ni").select("qid", "corpus_idx")
-    return a.unionByName(b).unionByName(i).groupBy("qid").agg(F.min("corpus_idx").alias("corpus_idx"))
+    names = c.where(F.col("nn") != "").groupBy("nn").agg(F.min("corpus_idx").alias("ci"))
+    ids = c.where(F.col("ni") != "").groupBy("ni").agg(F.min("corpus_idx").alias("ci"))
+    a = contains_join(qd, names, "norm", "nn").select("norm", "ci")
+    b = contains_join(names, qd, "nn", "norm").select("norm", "ci")
+    i = contains_join(qd, ids, "norm", "ni").select("norm", "ci")
+    best = a.unionByName(b).unionByName(i).groupBy("norm").agg(F.min("ci").alias("corpus_idx"))
+    return q.join(best, "norm").select("qid", "corpus_idx")
 
 
 def lookup_product(queries: DataFrame, index: DataFrame, corpus: DataFrame) -> DataFrame:

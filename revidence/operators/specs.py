@@ -96,12 +96,15 @@ def spec_lookup(queries: DataFrame, docs: DataFrame, q_col: str = "query") -> Da
     reference's empty doc). Uses the exact trigram-blocked containment join, no theta join."""
     from revidence.operators.catalog import contains_join
     q = queries.select("qid", T.compact_key(F.col(q_col)).alias("cq")).where(F.col("cq") != "")
+    qd = q.select("cq").distinct()
     d = docs.select("corpus_idx", T.compact_key(F.col("name")).alias("cn"), T.compact_key(F.col("key")).alias("ck"))
-    a = contains_join(q, d.where(F.col("cn") != ""), "cq", "cn").select("qid", "corpus_idx")
-    b = contains_join(d.where(F.col("cn") != ""), q, "cn", "cq").select("qid", "corpus_idx")
-    c = contains_join(q, d.where(F.col("ck") != ""), "cq", "ck").select("qid", "corpus_idx")
-    best = a.unionByName(b).unionByName(c).groupBy("qid").agg(F.min("corpus_idx").alias("doc_id"))
-    return queries.select("qid").join(best, "qid", "left")
+    names = d.where(F.col("cn") != "").groupBy("cn").agg(F.min("corpus_idx").alias("ci"))
+    keys = d.where(F.col("ck") != "").groupBy("ck").agg(F.min("corpus_idx").alias("ci"))
+    a = contains_join(qd, names, "cq", "cn").select("cq", "ci")
+    b = contains_join(names, qd, "cn", "cq").select("cq", "ci")
+    c = contains_join(qd, keys, "cq", "ck").select("cq", "ci")
+    best = a.unionByName(b).unionByName(c).groupBy("cq").agg(F.min("ci").alias("doc_id"))
+    return queries.select("qid").join(q.join(best, "cq").select("qid", "doc_id"), "qid", "left")
 
 
 def spec_fusion(flat: DataFrame, id_col: str = "product_id") -> DataFrame:

@@ -26,6 +26,7 @@ def get_session(master: str | None = None, app: str = "revidence", shuffle_parti
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("REVIDENCE_DRIVER_MEMORY", "16g"))
         .getOrCreate()
     )
