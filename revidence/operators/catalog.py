@@ -5,7 +5,7 @@ substring scan. Here the alias index is a table, the exact lookup is an equi joi
 substring fallback is ``contains_join``: an exact containment join that never forms the
 full needle x haystack product. Needles of >= 3 characters join haystack trigrams on their
 rarest trigram (every haystack that contains the needle contains that trigram); needles of
-1-2 characters form a set bounded by 37^2 + 37 strings by construction and are broadcast.
+1-2 characters equi-join the haystack's distinct 1- and 2-grams. No nested-loop join.
 """
 
 from __future__ import annotations
@@ -78,6 +78,14 @@ def alias_upsert(index: DataFrame, new_entries: DataFrame) -> DataFrame:
     return both.groupBy("alias").agg(F.max_by("corpus_idx", F.struct("prio", "corpus_idx")).alias("corpus_idx"))
 
 
+def short_grams(c: Column) -> Column:
+    """Distinct 1- and 2-character substrings: a 1-2 character needle is contained in ``c``
+    exactly when it equals one of them."""
+    one = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.substring(c, i, 1))
+    two = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, 2))
+    return F.array_distinct(F.filter(F.concat(one, two), lambda g: g != ""))
+
+
 def _tri(c: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))),
                                         lambda i: F.substring(c, i, 3)))
@@ -100,9 +108,8 @@ def contains_join(needles: DataFrame, hay: DataFrame, n_col: str = "needle", h_c
     nk = nl.join(key, F.col(n_col) == F.col("_nv")).drop("_nv")
     long_hits = ht.join(nk, "_tri").where(F.instr(F.col(h_col), F.col(n_col)) > 0).drop("_tri")
     short = needles.where((F.length(n_col) > 0) & (F.length(n_col) < 3))
-    short_vals = short.select(F.col(n_col).alias("_sv")).distinct()        # <= 37^2 + 37 strings
-    sh = hay.join(F.broadcast(short_vals), F.instr(F.col(h_col), F.col("_sv")) > 0)
-    short_hits = sh.join(short, F.col("_sv") == F.col(n_col)).drop("_sv")
+    hg = hay.select("*", F.explode(short_grams(F.col(h_col))).alias("_sg"))
+    short_hits = hg.join(short, F.col("_sg") == F.col(n_col)).drop("_sg")
     return long_hits.unionByName(short_hits)
 
 

@@ -13,8 +13,8 @@ join. Only pairs that can score > 0.7 matter: a substring hit (1.0) or token cov
   first middle token is a key;
 * substring path, names of 1-2 tokens (can match mid-word): the longest name token must lie
   inside some text token. That containment is computed once on the vocabulary (distinct text
-  tokens): trigram equi join for probes of >= 3 characters; probes of 1-2 characters are a
-  set bounded by 36^2 + 36 strings by construction, so that side is broadcast.
+  tokens): trigram equi join for probes of >= 3 characters, equi join on the tokens' distinct
+  1- and 2-grams for shorter probes. No nested-loop join.
 
 Candidates are then verified with the exact score; the best product per review is a
 ``row_number`` window.
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revidence.functions import text as T
+from revidence.operators.catalog import short_grams
 from revidence.functions.columns import computed
 from revidence.session import cut_lineage
 
@@ -75,9 +76,8 @@ def candidate_pairs(doc_tokens: DataFrame, products: DataFrame) -> DataFrame:
     hits_long = (vtri.join(long_p, "tri").where(F.instr(F.col("tok"), F.col("probe")) > 0)
                  .select("tok", "product_id"))
     short_p = probes.where(F.length("probe") < 3)
-    short_vals = short_p.select("probe").distinct()   # at most 36^2 + 36 strings: safe to broadcast
-    hits_short = (vocab.join(F.broadcast(short_vals), F.instr(F.col("tok"), F.col("probe")) > 0)
-                  .join(short_p, "probe").select("tok", "product_id"))
+    vgrams = vocab.select("tok", F.explode(short_grams(F.col("tok"))).alias("probe"))
+    hits_short = vgrams.join(short_p, "probe").select("tok", "product_id")
     by_contain = doc_tokens.join(hits_long.unionByName(hits_short), "tok").select("review_id", "product_id")
     return by_token.unionByName(by_contain).distinct()
 

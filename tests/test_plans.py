@@ -25,7 +25,7 @@ def formatted(df) -> str:
 def test_no_python_and_no_cartesian(spark, name):
     p = formatted(E.queries()[name](spark, SF))
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p and "MapInPandas" not in p
-    assert "CartesianProduct" not in p
+    assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
 
 
 def test_only_scoring_and_html_use_python(spark):
