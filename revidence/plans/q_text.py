@@ -176,3 +176,18 @@ def q_attribution_pairs(spark, d):
 ) x WHERE rk = 1""")
 def q_attribute_products(spark, d):
     return rel.attribute_products(cleaned(spark, d), v_products(spark))
+
+
+@register("sql_functions", PROD + f"""SELECT cl.review_id, cl.text, {O.word_count('cl.text')}::INTEGER AS n_words,
+  {O.normalize_key('cl.raw_text')} AS norm_key, {MS} AS score
+FROM cl JOIN vp USING (product_id)""")
+def q_sql_functions(spark, d):
+    """The SQL surface (2.12): the same operators called as temporary SQL functions."""
+    from revidence.functions.sql import register_sql_functions
+    register_sql_functions(spark)
+    v_reviews(spark, d).createOrReplaceTempView("rv_reviews")
+    v_products(spark).createOrReplaceTempView("rv_products")
+    return spark.sql("""
+        SELECT r.review_id, clean_text(r.raw_text) AS text, word_count(clean_text(r.raw_text)) AS n_words,
+               normalize_key(r.raw_text) AS norm_key, match_score(clean_text(r.raw_text), p.name) AS score
+        FROM rv_reviews r JOIN rv_products p USING (product_id)""")

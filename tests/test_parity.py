@@ -44,3 +44,19 @@ def test_match_score_matches_duckdb(spark, pairs):
     exp = [r[0] for r in con.execute(
         f"SELECT {O.match_score_norm(O.normalize_key('t'), O.normalize_key('n'))} FROM p ORDER BY i").fetchall()]
     assert got == exp
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.tuples(texts, names), min_size=1, max_size=6))
+def test_sql_functions_equal_column_functions(spark, rows):
+    from revidence.functions.sql import register_sql_functions
+    register_sql_functions(spark)
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(rows)], "i INT, x STRING, n STRING")
+    df.createOrReplaceTempView("parity_rows")
+    via_sql = spark.sql("SELECT i, clean_text(x) AS c, clean_text_strict(x) AS cs, word_count(x) AS w, "
+                        "normalize_key(x) AS k, compact_key(x) AS ck, match_score(x, n) AS m FROM parity_rows ORDER BY i").collect()
+    via_col = df.orderBy("i").select(
+        "i", T.clean_text(F.col("x")).alias("c"), T.clean_text(F.col("x"), True).alias("cs"), T.word_count(F.col("x")).alias("w"),
+        T.normalize_key(F.col("x")).alias("k"), T.compact_key(F.col("x")).alias("ck"),
+        T.match_score(F.col("x"), F.col("n")).alias("m")).collect()
+    assert [tuple(r) for r in via_sql] == [tuple(r) for r in via_col]
