@@ -55,10 +55,12 @@ def reliability_col(sub_idx: Column) -> Column:
 
 
 def product_medians(gated: DataFrame, temperature: float = dims.SENTIMENT_TEMPERATURE,
-                    checkpoint: bool = True) -> DataFrame:
+                    checkpoint: bool = True, method: str = "exact", accuracy: int = 100000) -> DataFrame:
     """Per product: median sentiment confidence over all N x 29 cells, median usefulness over N.
 
-    Both medians run in the same refinement passes (grouped by product and metric).
+    ``method="exact"`` (default): both medians run in the same histogram-refinement passes
+    (grouped by product and metric). ``method="approx"``: ``percentile_approx`` sketches
+    (bounded memory per group, rank error <= n / accuracy), one aggregation.
     """
     stacked = gated.select(
         "product_id",
@@ -68,7 +70,12 @@ def product_medians(gated: DataFrame, temperature: float = dims.SENTIMENT_TEMPER
             F.array(F.struct(F.lit("u").alias("m"), F.col("usefulness").alias("v"))),
         )).alias("x"),
     ).select("product_id", F.col("x.m").alias("metric"), F.col("x.v").alias("v"))
-    med = exact_median(stacked, ["product_id", "metric"], "v", out="med", checkpoint=checkpoint)
+    if method == "approx":
+        med = stacked.groupBy("product_id", "metric").agg(F.percentile_approx("v", 0.5, accuracy).alias("med"))
+    elif method == "exact":
+        med = exact_median(stacked, ["product_id", "metric"], "v", out="med", checkpoint=checkpoint)
+    else:
+        raise ValueError("method must be 'exact' or 'approx'")
     return med.groupBy("product_id").agg(
         F.max(F.when(F.col("metric") == "c", F.col("med"))).alias("med_c"),
         F.max(F.when(F.col("metric") == "u", F.col("med"))).alias("med_u"),

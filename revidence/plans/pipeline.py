@@ -12,7 +12,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revidence import dims
 from revidence.operators import evidence as ev
 from revidence.operators import predict, report
 from revidence.session import cut_lineage
@@ -44,7 +43,3 @@ def analyze(spark: SparkSession, scored: DataFrame, products: DataFrame | None =
     evid = cut(ev.sub_evidence(cells, medians, agreement=agreement))
     rows = report.sub_aspect_rows(spark, evid, taxonomy)
     return Analysis(gated, status, gated_ok, cells, medians, evid, rows)
-
-
-def default_taxonomy():
-    return dims.TAXONOMY

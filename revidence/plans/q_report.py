@@ -175,9 +175,14 @@ def q_product_report(spark, d):
 
 @register("report_json")
 def q_report_json(spark, d):
-    """Nested report (one row per product) as written by the JSON sink."""
+    """Nested report (one row per product) written by the JSON sink (A12) under the shared
+    checkpoint dir and read back with its schema."""
+    from revidence.sources.ingest import scratch_path, write_report
     a = _analysis(spark, d)
-    return report.build_report(spark, a, _flat_bigint(spark, d, a.status.where("status = 'ok'")))
+    rep = report.build_report(spark, a, _flat_bigint(spark, d, a.status.where("status = 'ok'")))
+    path = scratch_path(spark, "report-json")
+    write_report(rep, path, "json")
+    return spark.read.schema(rep.schema).json(path)
 
 
 CMP = [0, 1, 2]

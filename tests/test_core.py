@@ -125,3 +125,13 @@ def test_volume_never_drops_when_adding_review(spark):
         s = df.limit(n).agg(F.sum(ev.h_useful(u)).alias("v")).first().v
         vols.append(1 - math.exp(-s / dims.CONFIDENCE_GAMMA))
     assert vols == sorted(vols)
+
+
+def test_approx_medians_close_to_exact(spark):
+    from revidence.sources.bridges import v_scored
+    g = report.evidence_gate(v_scored(spark, "/root/testdata/sf0.01"))
+    ex = {r.product_id: (r.med_c, r.med_u) for r in ev.product_medians(g).collect()}
+    ap = {r.product_id: (r.med_c, r.med_u) for r in ev.product_medians(g, method="approx").collect()}
+    assert ex.keys() == ap.keys()
+    for k in ex:
+        assert abs(ex[k][0] - ap[k][0]) < 0.05 and abs(ex[k][1] - ap[k][1]) < 0.5
