@@ -58,13 +58,29 @@ def ws_trim(c: Column) -> Column:
     return F.trim(c, F.lit(WS_CHARS))
 
 
+def _guarded(x: Column, pattern: str, rep: str, *needles: str) -> Column:
+    """regexp_replace only on rows containing one of the literals the pattern needs
+    (byte-level ``instr`` is far cheaper than the regex and its string conversion).
+    Each guard references ``x`` three times, so guards are used sparingly: nesting many of
+    them multiplies the expression tree and defeats code generation."""
+    cond = None
+    for n in needles:
+        t = F.instr(x, n) > 0
+        cond = t if cond is None else cond | t
+    return F.when(cond, F.regexp_replace(x, pattern, rep)).otherwise(x)
+
+
+# Literals without which a rule cannot match (rules in CLEAN_RULES order; None = unguarded).
+_RULE_GUARDS = [("\"", "'"), ("/",), None, None, None, None]
+
+
 def clean_text(c: Column, strict_emoji: bool = False) -> Column:
     """B1: the reference cleaner, rule by rule in its order (input is stripped first)."""
     x = ws_trim(c)
-    x = F.regexp_replace(x, URL_RE, "")
+    x = _guarded(x, URL_RE, "", "http", "www.")
     x = F.regexp_replace(x, EMOJI_RE_STRICT if strict_emoji else EMOJI_RE, "")
-    for pat, rep in CLEAN_RULES:
-        x = F.regexp_replace(x, pat, rep)
+    for (pat, rep), guard in zip(CLEAN_RULES, _RULE_GUARDS):
+        x = _guarded(x, pat, rep, *guard) if guard else F.regexp_replace(x, pat, rep)
     x = F.regexp_replace(x, WS + "+", " ")
     return ws_trim(x)
 
