@@ -28,15 +28,25 @@ REVIEW_SCHEMA = T.StructType([
 
 
 def ingest_stream(spark: SparkSession, landing: str, schema: T.StructType = REVIEW_SCHEMA,
-                  max_files_per_trigger: int | None = None) -> DataFrame:
-    """K1 transformation: streaming DataFrame of cleaned, deduplicated review items."""
+                  max_files_per_trigger: int | None = None, event_time: str | None = None,
+                  delay: str = "7 days") -> DataFrame:
+    """K1 transformation: streaming DataFrame of cleaned, deduplicated review items.
+
+    Without ``event_time`` every (product, text) is kept once forever (state grows with the
+    distinct reviews, keyed and spread over executors). With an event-time column, duplicates are
+    dropped within the watermark (``dropDuplicatesWithinWatermark``), so state stays bounded.
+    """
     r = spark.readStream.schema(schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     s = r.parquet(landing)
-    c = computed(s.select("product_id", "review_id", "raw_text"), text=TX.clean_text(F.col("raw_text")))
+    keep = ["product_id", "review_id", "raw_text"] + ([event_time] if event_time else [])
+    c = computed(s.select(*keep), text=TX.clean_text(F.col("raw_text")))
     c = c.where(TX.word_count(F.col("text")) > 15)
     c = c.withColumn("text_hash", F.sha2(F.col("text"), 256))
+    if event_time:
+        c = c.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["product_id", "text_hash"])
+        return c.select("product_id", "text_hash", "text", event_time)
     return c.dropDuplicates(["product_id", "text_hash"]).select("product_id", "text_hash", "text")
 
 
