@@ -29,3 +29,18 @@ def test_skyline_matches_brute_force(spark, pts):
     got_nd = {r.trial for r in th.pareto_front(df, ["a", "b"]).collect()}
     brute = {i for i, a, b in rows if not any(a2 >= a and b2 >= b and (a2 > a or b2 > b) for _, a2, b2 in rows)}
     assert got == brute == got_nd
+
+
+@pytest.mark.skipif(not os.path.exists(CSV), reason="published trials CSV not available")
+def test_chosen_trial_equals_shipped_thresholds(spark):
+    from revidence import dims
+    t = th.load_trials_csv(spark, CSV)
+    long = {r.class_idx: r.thr for r in th.trials_long(t).where("trial = 296").collect()}
+    assert len(long) == 38
+    for i, v in enumerate(dims.TOP_THRESHOLDS):
+        assert long[i] == pytest.approx(v, abs=1e-12)
+    for i, v in enumerate(dims.SUB_THRESHOLDS):
+        assert long[9 + i] == pytest.approx(v, abs=1e-12)
+    row = t.where("trial = 296").first()
+    assert row.aspect_precision == pytest.approx(0.6735, abs=1e-4) and row.aspect_recall == pytest.approx(0.7747, abs=1e-4)
+    assert 0.2 < row.duration_s < 0.5
