@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from revidence import dims
 from revidence.operators import evidence as ev
 from revidence.operators import predict, report
 from revidence.session import cut_lineage
@@ -43,3 +44,44 @@ def analyze(spark: SparkSession, scored: DataFrame, products: DataFrame | None =
     evid = cut(ev.sub_evidence(cells, medians, agreement=agreement))
     rows = report.sub_aspect_rows(spark, evid, taxonomy)
     return Analysis(gated, status, gated_ok, cells, medians, evid, rows)
+
+
+def end_to_end(spark: SparkSession, reviews: DataFrame, products: DataFrame, flat_specs: DataFrame | None = None,
+               scorer="native", text_col: str = "raw_text") -> tuple[Analysis, DataFrame, DataFrame]:
+    """Raw review items -> report for every product at once (the reference's per-product pipeline).
+
+    reviews:  (product_id, review_id, raw_text) - comments and review texts, any number per product
+    products: (product_id, name)
+    scorer:   "native" (deterministic stand-in, SQL-checkable) or a scorer factory for the
+              Arrow-batched ``mapInPandas`` stage (see ``operators.scoring``)
+
+    Returns (analysis, status with ``no_reviews_found``, nested report rows). The relevance gate is
+    applied before the aspect scorer runs (nothing is pushed through a Python stage), and the
+    scored stage is checkpointed because every branch of the analysis reads it.
+    """
+    from pyspark.sql import functions as F
+
+    from revidence.functions import text as T
+    from revidence.functions.columns import computed
+    from revidence.operators import scoring
+
+    r = computed(reviews.select("product_id", "review_id", text_col), text=T.clean_text(F.col(text_col)))
+    r = r.where((T.word_count(F.col("text")) > 15) & (T.ws_trim(F.col("text")) != ""))
+    j = r.join(products.select("product_id", "name"), "product_id")
+    j = j.select("review_id", "product_id", "text", T.prompt_text(F.col("name"), F.col("text")).alias("prompt"),
+                 T.match_score(F.col("text"), F.col("name")).alias("relevance"))
+    if scorer == "native":
+        scored = j.select("review_id", "product_id", "relevance", *scoring.native_scores(F.col("prompt")))
+    else:
+        u = scoring.score_usefulness(j.select("review_id", "product_id", "relevance", "prompt"), "prompt", scorer)
+        gated_in = u.where((F.col("relevance") > dims.RELEVANCE_THRESHOLD) & (F.col("usefulness") > dims.USEFULNESS_GATE))
+        scored = scoring.score_aspects(gated_in, "prompt", scorer).drop("prompt")
+    scored = cut_lineage(scored)
+    a = analyze(spark, scored, products=products.select("product_id"))
+    nrev = j.groupBy("product_id").agg(F.count("*").alias("n_rev"))
+    status = (a.status.join(nrev, "product_id", "left")
+              .withColumn("status", F.when(F.coalesce("n_rev", F.lit(0)) == 0, F.lit(report.STATUS_NO_REVIEWS))
+                          .otherwise(F.col("status"))).drop("n_rev"))
+    a.status = status
+    rep = report.build_report(spark, a, flat_specs, names=products.select("product_id", "name"))
+    return a, status, rep

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from revidence.functions import text as T
 from revidence.operators import catalog as cat
 from revidence.operators import specs as sp
 from revidence.plans import oracle_sql as O

@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 from revidence import dims
 from revidence.functions import text as T
 from revidence.operators import evidence as ev
-from revidence.operators import report, scoring
+from revidence.operators import scoring
 from revidence.plans import oracle_sql as O
 from revidence.plans.pipeline import analyze
 from revidence.plans.q_text import cleaned
-from revidence.session import cut_lineage
 from revidence.sources.bridges import table, v_products, v_scored
 
 QUERIES: dict = {}
@@ -107,16 +106,12 @@ LEFT JOIN (SELECT ev.* FROM evidence ev JOIN pp USING (sub_idx) WHERE ev.confide
 def q_pipeline_end_to_end(spark, d):
     """Raw review items -> clean -> length filter -> relevance -> usefulness -> gate -> aspects
     -> decode -> evidence -> report rows, for all products at once, with statuses."""
-    prods = v_products(spark)
-    scored = cut_lineage(native_scored(spark, d))      # every branch of the analysis reads this stage
-    a = analyze(spark, scored, products=prods)
-    nrev = scored.groupBy("product_id").agg(F.count("*").alias("n_rev"))
-    st = (a.status.join(nrev, "product_id", "left")
-          .withColumn("status", F.when(F.coalesce("n_rev", F.lit(0)) == 0, F.lit(report.STATUS_NO_REVIEWS))
-                      .otherwise(F.col("status"))))
+    from revidence.plans.pipeline import end_to_end
+    from revidence.sources.bridges import v_reviews
+    a, status, _ = end_to_end(spark, v_reviews(spark, d), v_products(spark))
     rows = a.sub_rows.select("product_id", "sub_idx", "sub_aspect_sentiment", "sub_aspect_confidence")
-    return st.join(rows, "product_id", "left").select("product_id", "status", "n_gated", "sub_idx", "sub_aspect_sentiment",
-                                                      "sub_aspect_confidence")
+    return status.join(rows, "product_id", "left").select("product_id", "status", "n_gated", "sub_idx",
+                                                          "sub_aspect_sentiment", "sub_aspect_confidence")
 
 
 def _cells_weights(select: str) -> str:
