@@ -36,16 +36,23 @@ def get_session(master: str | None = None, app: str = "revidence", shuffle_parti
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return ``spark.checkpoint.dir``; set a scratch one only when the session has none (tests)."""
-    sc = spark.sparkContext
-    current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    """Return ``spark.checkpoint.dir``; set a scratch one only when the session has none (tests).
+
+    Under Spark Connect there is no SparkContext: the server-side setting is used as is.
+    """
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect
+        sc = None
+    current = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc else None)
     if current:
-        if not sc.getCheckpointDir():
+        if sc is not None and not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
     path = tempfile.mkdtemp(prefix="revidence-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
-    sc.setCheckpointDir(path)
+    if sc is not None:
+        sc.setCheckpointDir(path)
     return path
 
 
