@@ -8,7 +8,7 @@ from revidence import dims
 from revidence.operators import evidence as ev
 from revidence.operators import predict, report
 from revidence.plans import oracle_sql as O
-from revidence.plans.pipeline import analyze
+from revidence.plans.analysis import analyze
 from revidence.sources.bridges import v_scored
 
 QUERIES: dict = {}

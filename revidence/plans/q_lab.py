@@ -9,7 +9,7 @@ from revidence.operators import predict
 from revidence.operators import robust as rb
 from revidence.operators import thresholds as th
 from revidence.plans import oracle_sql as O
-from revidence.plans.pipeline import analyze
+from revidence.plans.analysis import analyze
 from revidence.sources.bridges import v_labels, v_scored
 
 QUERIES: dict = {}

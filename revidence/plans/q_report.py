@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from revidence import dims
 from revidence.operators import report, specs
 from revidence.plans import oracle_sql as O
-from revidence.plans.pipeline import analyze
+from revidence.plans.analysis import analyze
 from revidence.sources.bridges import v_scored, v_spec_docs
 
 QUERIES: dict = {}

@@ -9,7 +9,7 @@ from revidence.functions import text as T
 from revidence.operators import evidence as ev
 from revidence.operators import scoring
 from revidence.plans import oracle_sql as O
-from revidence.plans.pipeline import analyze
+from revidence.plans.analysis import analyze
 from revidence.plans.q_text import cleaned
 from revidence.sources.bridges import table, v_products, v_scored
 
@@ -73,7 +73,7 @@ def _md5_vals_sql(prompt: str, tag: str, n: int) -> str:
     return f"list_transform(range({n}), lambda i: ('0x' || substr({hexes}, i * 2 + 1, 2))::INTEGER::DOUBLE / 255.0 * 8.0 - 4.0)"
 
 
-def _pipeline_sql() -> str:
+def _end_to_end_sql() -> str:
     clean = O.clean_text("raw_text")
     ms = O.match_score_norm(O.normalize_key("r.text"), O.normalize_key("vp.name"))
     scored = f"""v_scored AS (
@@ -102,11 +102,11 @@ LEFT JOIN (SELECT ev.* FROM evidence ev JOIN pp USING (sub_idx) WHERE ev.confide
 """
 
 
-@register("pipeline_end_to_end", _pipeline_sql())
-def q_pipeline_end_to_end(spark, d):
+@register("end_to_end_report", _end_to_end_sql())
+def q_end_to_end_report(spark, d):
     """Raw review items -> clean -> length filter -> relevance -> usefulness -> gate -> aspects
     -> decode -> evidence -> report rows, for all products at once, with statuses."""
-    from revidence.plans.pipeline import end_to_end
+    from revidence.plans.analysis import end_to_end
     from revidence.sources.bridges import v_reviews
     a, status, _ = end_to_end(spark, v_reviews(spark, d), v_products(spark))
     rows = a.sub_rows.select("product_id", "sub_idx", "sub_aspect_sentiment", "sub_aspect_confidence")

@@ -12,7 +12,7 @@ from revidence import dims
 from revidence.operators import evidence as ev
 from revidence.operators import predict, report
 from revidence.operators.median import exact_median
-from revidence.plans.pipeline import analyze
+from revidence.plans.analysis import analyze
 
 
 def scored_rows(spark, rows):

@@ -21,7 +21,7 @@ def formatted(df) -> str:
 
 
 @pytest.mark.parametrize("name", ["product_report", "sub_aspect_rows", "attribute_products", "lookup_product",
-                                  "trial_scores", "pipeline_end_to_end", "flatten_specs"])
+                                  "trial_scores", "end_to_end_report", "flatten_specs"])
 def test_no_python_and_no_cartesian(spark, name):
     p = formatted(E.queries()[name](spark, SF))
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p and "MapInPandas" not in p
