@@ -40,7 +40,7 @@ def analyze(spark: SparkSession, scored: DataFrame, products: DataFrame | None =
     gated_ok = report.sufficient(gated, status)
     keep = tuple(c for c in ("product_id", "usefulness") if c in gated_ok.columns)
     cells = predict.decode_cells(gated_ok, taxonomy=taxonomy, keep=keep)
-    medians = cut(ev.product_medians(gated_ok, checkpoint=checkpoint))
+    medians = ev.product_medians(gated_ok, checkpoint=checkpoint)   # read once, by the evidence below
     evid = cut(ev.sub_evidence(cells, medians, agreement=agreement))
     rows = report.sub_aspect_rows(spark, evid, taxonomy)
     return Analysis(gated, status, gated_ok, cells, medians, evid, rows)
