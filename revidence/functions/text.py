@@ -85,6 +85,25 @@ def clean_text(c: Column, strict_emoji: bool = False) -> Column:
     return ws_trim(x)
 
 
+def relevance_form(c: Column) -> Column:
+    """``normalize_key(clean_text(c))`` with fewer regex passes.
+
+    Normalisation maps every run of characters outside [a-z0-9] to one space, so the cleaner's
+    slash, comma and whitespace rewrites (non-alphanumerics into non-alphanumerics) and its trims
+    cannot change the normalised result. The steps that can are kept in order: URL, emoji and quote
+    deletion (they join or remove letters), the newline rule (it removes the 'n' of a literal
+    backslash-n) and the leading strip (it removes e.g. a leading 'İ', which lowercases to ASCII).
+    Equality with the full chain is a property test (tests/test_parity.py).
+    """
+    x = _guarded(c, URL_RE, "", "http", "www.")
+    x = F.regexp_replace(x, EMOJI_RE, "")
+    (q_pat, q_rep), _, (n_pat, n_rep) = CLEAN_RULES[0], CLEAN_RULES[1], CLEAN_RULES[2]
+    x = _guarded(x, q_pat, q_rep, "\"", "'")
+    x = F.regexp_replace(x, n_pat, n_rep)
+    x = F.regexp_replace(x, CLEAN_RULES[5][0], CLEAN_RULES[5][1])
+    return normalize_key(x)
+
+
 def word_count(c: Column) -> Column:
     """B2: ``len(text.split())`` with Unicode whitespace."""
     t = ws_trim(c)

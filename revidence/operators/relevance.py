@@ -83,16 +83,20 @@ def candidate_pairs(doc_tokens: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def attribution_pairs(reviews: DataFrame, products: DataFrame, text_col: str = "text",
-                      threshold: float = 0.7) -> DataFrame:
+                      threshold: float = 0.7, raw: bool = False) -> DataFrame:
     """All (review_id, product_id, score) with score > threshold (threshold >= 0.7).
 
+    ``raw=True``: ``text_col`` holds raw text; its normalised cleaned form is computed with
+    ``relevance_form`` (same result as cleaning then normalising, fewer regex passes).
+
     The normalised text and its distinct tokens are computed once and written as a reliable
     checkpoint (the regex cleaner is the dominant cost and every branch below reads the table:
     column pruning gives each consumer a different projection, so exchanges are not reused).
     """
     if threshold < 0.7:
         raise ValueError("candidate generation is exact only for thresholds >= 0.7")
-    r = computed(reviews.select("review_id", text_col), tn=T.normalize_key(F.col(text_col)))
+    norm = T.relevance_form(F.col(text_col)) if raw else T.normalize_key(F.col(text_col))
+    r = computed(reviews.select("review_id", text_col), tn=norm)
     r = cut_lineage(computed(r.where(F.col("tn") != "").select("review_id", "tn"),
                              tt=F.array_distinct(F.split("tn", " "))))
     doc_tokens = r.select("review_id", F.explode("tt").alias("tok"))
@@ -105,8 +109,8 @@ def attribution_pairs(reviews: DataFrame, products: DataFrame, text_col: str = "
 
 
 def attribute_products(reviews: DataFrame, products: DataFrame, text_col: str = "text",
-                       threshold: float = 0.7) -> DataFrame:
+                       threshold: float = 0.7, raw: bool = False) -> DataFrame:
     """Best product per review among pairs above the threshold (ties: smallest product_id)."""
-    pairs = attribution_pairs(reviews, products, text_col, threshold)
+    pairs = attribution_pairs(reviews, products, text_col, threshold, raw)
     w = Window.partitionBy("review_id").orderBy(F.col("score").desc(), F.col("product_id"))
     return pairs.withColumn("rk", F.row_number().over(w)).where("rk = 1").drop("rk")

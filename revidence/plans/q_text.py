@@ -168,14 +168,14 @@ def _attr_prefix():
 
 @register("attribution_pairs", _attr_prefix() + "SELECT review_id, product_id, score FROM pairs WHERE score > 0.7")
 def q_attribution_pairs(spark, d):
-    return rel.attribution_pairs(cleaned(spark, d), v_products(spark))
+    return rel.attribution_pairs(v_reviews(spark, d), v_products(spark), "raw_text", raw=True)
 
 
 @register("attribute_products", _attr_prefix() + """SELECT review_id, product_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY score DESC, product_id) AS rk FROM pairs WHERE score > 0.7
 ) x WHERE rk = 1""")
 def q_attribute_products(spark, d):
-    return rel.attribute_products(cleaned(spark, d), v_products(spark))
+    return rel.attribute_products(v_reviews(spark, d), v_products(spark), "raw_text", raw=True)
 
 
 @register("sql_functions", PROD + f"""SELECT cl.review_id, cl.text, {O.word_count('cl.text')}::INTEGER AS n_words,

@@ -60,3 +60,15 @@ def test_sql_functions_equal_column_functions(spark, rows):
         T.normalize_key(F.col("x")).alias("k"), T.compact_key(F.col("x")).alias("ck"),
         T.match_score(F.col("x"), F.col("n")).alias("m")).collect()
     assert [tuple(r) for r in via_sql] == [tuple(r) for r in via_col]
+
+
+HARD = PIECES + ["İ", "K", "\\", "\\n", "n", "\\/n", "\\'n", "É", "ß", "ﬁ", "1", "a", " \t", "​", "Ⓜ", "©"]
+hard_texts = st.lists(st.sampled_from(HARD), min_size=0, max_size=30).map("".join)
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.lists(hard_texts, min_size=1, max_size=10))
+def test_relevance_form_equals_normalized_clean(spark, xs):
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i INT, x STRING")
+    rows = df.select(T.normalize_key(T.clean_text(F.col("x"))).alias("a"), T.relevance_form(F.col("x")).alias("b")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows]
