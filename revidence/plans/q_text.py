@@ -140,8 +140,7 @@ def q_relevance_known(spark, d):
 
 
 CTX_SQL = O.with_(O.V_REVIEWS, f"cl AS (SELECT *, {CLEAN} AS text FROM v_reviews)", f"vp AS {O.v_products_sql()}",
-                  "ctx AS (SELECT doc_id - 1 AS review_id, array_to_string(string_split(text, ' ')[1:8], ' ') AS context "
-                  "FROM documents)")
+                  "ctx AS (SELECT doc_id - 1 AS review_id, text AS context FROM documents)")
 
 
 @register("relevance_ctx", CTX_SQL + f"""SELECT cl.review_id, cl.product_id,
@@ -152,8 +151,7 @@ FROM cl JOIN vp USING (product_id) LEFT JOIN ctx ON ctx.review_id = cl.review_id
 def q_relevance_ctx(spark, d):
     from revidence.sources.bridges import table
     docs = table(spark, d, "documents")
-    ctx = docs.select((F.col("doc_id") - 1).alias("review_id"),
-                      F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("context"))
+    ctx = docs.select((F.col("doc_id") - 1).alias("review_id"), F.col("text").alias("context"))   # the whole next document
     c = cleaned(spark, d).join(v_products(spark), "product_id").join(ctx, "review_id", "left")
     context = F.when(F.col("review_id") % 4 == 0, F.col("context")).otherwise(F.lit(""))
     return c.select("review_id", "product_id", T.relevance(F.col("text"), F.col("name"), context).alias("relevance"))
