@@ -163,3 +163,15 @@ def normalize_label_vector(v: Column, n: int = dims.N_SUB) -> Column:
 def dense_from_indices(idx: Column, n: int = dims.N_SUB) -> Column:
     """Index list -> dense 0/1 vector."""
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.array_contains(idx, i).cast("int"))
+
+
+def weighted_sample(df: DataFrame, id_col: str, weight_col: str, fraction: float, seed: int = 42) -> DataFrame:
+    """J10 sampler: keep each row with probability min(1, fraction * w / mean(w)).
+
+    The uniform draw is a hash of (id, seed), so reruns and recomputation after executor loss
+    keep the same rows; the mean weight is one aggregate joined back as a one-row table.
+    """
+    mean_w = df.agg(F.avg(weight_col).alias("_mw"))
+    u = (F.xxhash64(F.col(id_col), F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1))).cast("double") / F.lit(float(1 << 53))
+    p = F.least(F.lit(1.0), F.lit(float(fraction)) * F.col(weight_col) / F.col("_mw"))
+    return df.join(F.broadcast(mean_w), how="inner", on=F.lit(True)).where(u < p).drop("_mw")

@@ -46,3 +46,14 @@ def test_penalty_and_front(spark):
 def test_skyline_keeps_equal_points(spark):
     df = spark.createDataFrame([(0, 1.0, 1.0), (1, 1.0, 1.0), (2, 0.5, 2.0), (3, 0.5, 1.0)], "trial INT, a DOUBLE, b DOUBLE")
     assert {r.trial for r in th.pareto_front_2d(df, "a", "b").collect()} == {0, 1, 2}
+
+
+def test_weighted_sample_is_stable_and_weighted(spark):
+    from pyspark.sql import functions as F
+    df = spark.range(0, 20000).select(F.col("id"), F.when(F.col("id") % 10 == 0, 5.0).otherwise(1.0).alias("w"))
+    a = ev.weighted_sample(df, "id", "w", 0.1)
+    b = ev.weighted_sample(df, "id", "w", 0.1)
+    assert a.exceptAll(b).count() == 0
+    heavy = a.where("w = 5.0").count() / 2000
+    light = a.where("w = 1.0").count() / 18000
+    assert 3.5 < heavy / light < 7.0
