@@ -79,10 +79,17 @@ def pos_weights(df: DataFrame, keys: list[str], y: str = "y") -> DataFrame:
         *keys, ((F.col("n_rows") - F.col("n_pos")) / (F.col("n_pos") + F.lit(1e-6))).alias("pos_weight"))
 
 
+HASH_PRIME = 1000003            # ids are reduced modulo this prime first: no 64-bit overflow for any id
+
+
+def id_hash(id_col: Column, seed: int = 0) -> Column:
+    """Multiplicative hash of an integer id in [0, 2^32) (identical in SQL)."""
+    return ((id_col % F.lit(HASH_PRIME)) * F.lit(2654435761) + F.lit(seed * 40503)) % F.lit(4294967296)
+
+
 def holdout_flag(id_col: Column, pct: int = 10) -> Column:
-    """Stable hash split (multiplicative hash on the id), ``pct`` percent validation."""
-    h = (id_col * F.lit(2654435761)) % F.lit(4294967296)
-    return (h % 100) < pct
+    """Stable hash split on the id, ``pct`` percent validation."""
+    return (id_hash(id_col) % 100) < pct
 
 
 def focal_terms(logit: Column, y: Column, alpha: float = 0.25, gamma: float = 1.5, eps: float = 1e-8) -> Column:
@@ -172,6 +179,6 @@ def weighted_sample(df: DataFrame, id_col: str, weight_col: str, fraction: float
     keep the same rows; the mean weight is one aggregate joined back as a one-row table.
     """
     mean_w = df.agg(F.avg(weight_col).alias("_mw"))
-    u = (F.xxhash64(F.col(id_col), F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1))).cast("double") / F.lit(float(1 << 53))
+    u = id_hash(F.col(id_col), seed).cast("double") / F.lit(4294967296.0)
     p = F.least(F.lit(1.0), F.lit(float(fraction)) * F.col(weight_col) / F.col("_mw"))
     return df.join(F.broadcast(mean_w), how="inner", on=F.lit(True)).where(u < p).drop("_mw")

@@ -27,7 +27,9 @@ def lab_weight(sconf: Column, usefulness: Column, alpha: float = 1.0, beta: floa
 
 
 def keep_u(review_id: Column, trial: Column, p_idx: Column) -> Column:
-    return ((review_id * 7919 + trial * 104729 + p_idx * 15485863) % KEEP_MOD).cast("double") / F.lit(float(KEEP_MOD))
+    """Uniform in [0, 1) from (review, trial, rate); the id is reduced first so no id overflows."""
+    return (((review_id % KEEP_MOD) * 7919 + trial * 104729 + p_idx * 15485863) % KEEP_MOD).cast("double") \
+        / F.lit(float(KEEP_MOD))
 
 
 def raw_and_weighted(cells: DataFrame, keys: list[str], alpha: float = 1.0, beta: float = 1.0) -> DataFrame:

@@ -168,7 +168,7 @@ def q_pos_weights(spark, d):
     return ev.pos_weights(eval_cells(spark, d), ["sub_idx"]).select("sub_idx", R6("pos_weight").alias("pos_weight"))
 
 
-@register("holdout_split", "SELECT vec_id AS review_id, ((vec_id * 2654435761) % 4294967296) % 100 < 10 AS is_valid FROM embeddings")
+@register("holdout_split", "SELECT vec_id AS review_id, (((vec_id % 1000003) * 2654435761) % 4294967296) % 100 < 10 AS is_valid FROM embeddings")
 def q_holdout_split(spark, d):
     e = table(spark, d, "embeddings")
     return e.select(F.col("vec_id").alias("review_id"), ev.holdout_flag(F.col("vec_id")).alias("is_valid"))
@@ -366,3 +366,15 @@ def q_map_sentiments(spark, d):
     m = F.create_map(*[x for k, v in SENT_MAP.items() for x in (F.lit(k), F.lit(v))])
     return (lab.select("review_id", F.col("sub_idx").cast("int").alias("sub_idx"), m[raw].alias("y"))
             .where(F.col("y").isNotNull()))
+
+
+@register("weighted_sample", O.with_(O.v_labels_sql()) + """, w AS (
+  SELECT l.review_id, max(1.0 / n.n) AS w FROM v_labels l JOIN (SELECT sub_idx, count(*) AS n FROM v_labels GROUP BY 1) n
+  USING (sub_idx) GROUP BY l.review_id)
+SELECT review_id FROM w, (SELECT avg(w) AS mw FROM w) m
+WHERE ((((review_id % 1000003) * 2654435761 + 42 * 40503) % 4294967296)::DOUBLE / 4294967296.0) < least(1.0, 0.3 * w / mw)""")
+def q_weighted_sample(spark, d):
+    lab = v_labels(spark, d)
+    n = lab.groupBy("sub_idx").agg(F.count("*").alias("n"))
+    w = lab.join(n, "sub_idx").groupBy("review_id").agg(F.max(F.lit(1.0) / F.col("n")).alias("w"))
+    return ev.weighted_sample(w, "review_id", "w", 0.3, seed=42).select("review_id")
