@@ -104,3 +104,17 @@ def test_load_bundles_from_json_files(spark, tmp_path):
     assert got == [("abc", False, "Pixel 9"), ("k_2", True, "Galaxy S24"), ("k_3", True, "Solo")]
     reviews = ing.assemble_bundle_reviews(b.withColumn("bundle_ord", F.lit(0)), key="product_oid").collect()
     assert sorted((r.origin_ord, r.likes) for r in reviews) == [(0, 2), (1, None)]
+
+
+def test_flatten_keeps_documents_deeper_than_the_cap(spark):
+    node = {"title": "L9", "data": ["deep value"]}
+    for i in range(8, 0, -1):
+        node = {"title": f"L{i}", "data": [node]}
+    doc = {"_id": {"$oid": "d"}, "specification": {"more_specification": [node, {"title": "Top", "data": ["x"]}]}}
+    df = spark.createDataFrame([(json.dumps(doc),)], "json STRING")
+    flat = {r.spec_key: r.spec_value for r in specs.flatten_specs(specs.parse_spec_docs(df), max_depth=4).collect()}
+    assert flat["Top"] == "x"
+    deep = [k for k in flat if k.startswith("L1_L2_L3_L4")]
+    assert len(deep) == 1 and "deep value" in flat[deep[0]]
+    full = {r.spec_key: r.spec_value for r in specs.flatten_specs(specs.parse_spec_docs(df), max_depth=10).collect()}
+    assert full["L1_L2_L3_L4_L5_L6_L7_L8_L9"] == "deep value"
