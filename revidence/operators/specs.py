@@ -66,18 +66,17 @@ def flatten_specs(docs: DataFrame, id_col: str = "product_id", max_depth: int =
                .when(is_section, children)
                .otherwise(F.array(leaf))).cast(f"array<{node_t}>")
         rows = rows.select(id_col, F.explode(nxt).alias("n"))
-    done = rows.where(F.col("n.k").isNotNull()).select(
-        id_col, F.col("n.path").alias("path"), F.regexp_replace("n.k", "^_+|_+$", "").alias("spec_key"),
-        F.col("n.spec_value").alias("spec_value"))
     # Nodes still unresolved after the last level (documents deeper than max_depth) are kept, not
     # dropped: their key is the path so far and their value the remaining subtree as JSON text.
+    # One projection handles both cases, so the level chain is evaluated once.
     e = F.col("n.e")
     title = F.replace(T.ws_trim(F.coalesce(F.try_variant_get(e, "$.title", "string"), F.lit(""))), F.lit(" "), F.lit("_"))
-    deep = rows.where(F.col("n.k").isNull()).select(
-        id_col, F.col("n.path").alias("path"),
-        F.regexp_replace(F.concat_ws("_", F.col("n.parent"), title), "^_+|_+$", "").alias("spec_key"),
-        F.to_json(F.try_variant_get(e, "$.data", "variant")).alias("spec_value"))
-    return done.unionByName(deep).groupBy(id_col, "spec_key").agg(F.max_by("spec_value", "path").alias("spec_value"))
+    resolved = F.col("n.k").isNotNull()
+    key = F.when(resolved, F.col("n.k")).otherwise(F.concat_ws("_", F.col("n.parent"), title))
+    value = F.when(resolved, F.col("n.spec_value")).otherwise(F.to_json(F.try_variant_get(e, "$.data", "variant")))
+    out = rows.select(id_col, F.col("n.path").alias("path"), F.regexp_replace(key, "^_+|_+$", "").alias("spec_key"),
+                      value.alias("spec_value"))
+    return out.groupBy(id_col, "spec_key").agg(F.max_by("spec_value", "path").alias("spec_value"))
 
 
 def drop_spec_keys(flat: DataFrame, keys=None) -> DataFrame:
