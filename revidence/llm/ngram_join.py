@@ -2,14 +2,14 @@
 
 1. Sets: distinct ``n``-word shingles of every text, hashed to 64 bits. Documents with equal sets form a class; only its member with
    the smallest id goes on.
-2. First sieve: a set's smallest hashes (as many as any partner must meet one of) are counted over all documents; a set none of
-   whose prefix keys occurs twice has no partner.
+2. First sieve: a set's smallest hashes, so many that any partner must meet a tenth of the set among them, are counted over all
+   documents; a set with fewer keys there that occur twice has no partner.
 3. Order: the shingles of the sets left are counted exactly. Rare first, every set is put in the one global order.
 4. Adaptive prefixes: a partner shares at least l shingles with the first |x| - ceil(t |x|) + l ones, for every l. Each set
    takes the l whose estimated cost (postings read, candidates / l verified) is least.
-5. Candidates: sets that hold one prefix shingle are first compared with the first of them only; sets that this puts in one
-   component need no further comparison, the other pairs of a list follow. A pair is verified when it shares min(l_x, l_y) prefix
-   shingles and the sizes allow it.
+5. Candidates: sets that hold one prefix shingle are first compared with one of them only, that with the smallest share of
+   shingles of its own; sets that this puts in one component need no further comparison, the other pairs of a list follow. A
+   pair is verified when sizes and the numbers of shingles that any other set has allow it and it shares min(l_x, l_y) prefix shingles.
 6. Components by alternating large and small stars.
 
 Rows: null, empty and wordless texts have the empty set and link with nothing; texts of fewer than n words are one shingle.
@@ -99,12 +99,18 @@ def _least(size: int, percent: int) -> int:
     return (percent * size + 99) // 100
 
 
+def _sieve(size: int, percent: int) -> tuple[int, int]:
+    """(l, prefix length) of the first sieve: a tenth of the set must be met."""
+    l = max(1, size // 10)
+    return l, min(size, size - _least(size, percent) + l)
+
+
 def _counted(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(h, return_counts=True)
 
 
 SETS = "kind long, doc_id long, size long, hi long, lo long, " + B.KEYS
-PREFIXES = "doc_id long, size long, l long, prefix long, live array<long>, ordered binary"
+PREFIXES = "doc_id long, size long, matched long, l long, prefix long, live array<long>, ordered binary"
 
 
 def class_of(docs: DataFrame, *, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -119,7 +125,7 @@ def class_of(docs: DataFrame, *, n: int, percent: int) -> tuple[DataFrame, DataF
         for i, doc_id in enumerate(ids):
             run = h[cut[i]:cut[i + 1]]
             out.append((0, int(doc_id), len(run), *(_signature(run) if len(run) else (0, 0)), None, None, None, None))
-            prefixes.append(run[:len(run) - _least(len(run), percent) + 1] if len(run) else run)
+            prefixes.append(run[:_sieve(len(run), percent)[1]])
         keys, counts = _counted(np.concatenate(prefixes)) if prefixes else (h[:0], h[:0])
         return B.table([*out, *((1, None, None, None, None, *r) for r in B.packed(block, keys, counts, buckets))], SETS)
     made = written(rows.groupBy("block").applyInArrow(first, SETS), "jaccard-sets")
@@ -142,7 +148,8 @@ def class_of(docs: DataFrame, *, n: int, percent: int) -> tuple[DataFrame, DataF
         h, cut, ids = _sets(t, n)
         for i, doc_id in enumerate(ids):
             run = h[cut[i]:cut[i + 1]]
-            if len(run) and B.look_up(run[:len(run) - _least(len(run), percent) + 1], shared, np.ones(len(shared), np.uint8), 0).any():
+            l, size = _sieve(len(run), percent)
+            if len(run) and B.look_up(run[:size], shared, np.ones(len(shared), np.uint8), 0).sum(dtype=np.int64) >= l:
                 me = (int(doc_id), _signature(run)[0])
                 if me in reps:
                     reps.discard(me)
@@ -158,12 +165,15 @@ def class_of(docs: DataFrame, *, n: int, percent: int) -> tuple[DataFrame, DataF
             known, total = B.sent(more.filter(pa.array(more["kind"].to_numpy() == 1)))
             for doc_id, run in chosen(t, more):
                 df = B.look_up(run, known, total, 1).astype(np.int64)
+                matched = int((df > 1).sum())
+                if matched < _least(len(run), percent):
+                    continue
                 order = np.lexsort((run, df))
                 run, df = run[order], df[order]
                 l, size = choose(df, percent)
                 live = run[:size][df[:size] > 1]
                 if len(live):
-                    out.append((doc_id, len(run), l, size, live.view(np.int64).tolist(), run.tobytes()))
+                    out.append((doc_id, len(run), matched, l, size, live.view(np.int64).tolist(), run.tobytes()))
         return B.table(out, PREFIXES)
     known = written(reps.unionByName(prefix_totals), "jaccard-told")
     together = lambda extra: rows.groupBy("block").cogroup(extra.groupBy("block"))
@@ -227,19 +237,24 @@ def components(links: DataFrame) -> DataFrame:
 
 def links_of(prefixes: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that connect every component: compares no two sets that earlier links already connect."""
-    fit = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
-    posts = prefixes.select("doc_id", "size", F.explode("live").alias("key"))
-    heads = posts.groupBy("key").agg(F.min(F.struct("doc_id", "size")).alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
-    first = posts.join(heads, "key").where((F.col("doc_id") != F.col("head.doc_id")) & fit(F.col("size"), F.col("head.size")))
+    def fit(x: str, y: str):
+        """Sizes, and shingles that other sets have, allow the similarity."""
+        n, m = [F.col(f"{s}size") for s in (x, y)], F.least(F.col(f"{x}matched"), F.col(f"{y}matched"))
+        return (F.least(*n) * 100 >= F.greatest(*n) * percent) & (m * 100 >= (n[0] + n[1] - m) * percent)
+    posts = prefixes.select("doc_id", "size", "matched", F.explode("live").alias("key"))
+    central = F.struct(((F.col("size") - F.col("matched")) / F.col("size")).alias("own"), "doc_id", "size", "matched")
+    heads = posts.groupBy("key").agg(F.min(central).alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
+    first = posts.join(heads, "key").where((F.col("doc_id") != F.col("head.doc_id")) & fit("", "head."))
     links = written(_verify(first.select(F.col("doc_id").alias("a"), F.col("head.doc_id").alias("b")).distinct(), prefixes, percent), "jaccard-links")
     labels = components(links)
-    posts = posts.join(labels, "doc_id", "left").select("key", "doc_id", "size", F.coalesce("component", "doc_id").alias("component"))
+    posts = posts.join(labels, "doc_id", "left").select("key", "doc_id", "size", "matched", F.coalesce("component", "doc_id").alias("component"))
     open_ = posts.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
     # the head of a list is done; in lists with several components the pairs across them are left
     left = posts.join(open_, "key").join(heads.select("key", F.col("head.doc_id").alias("head")), "key").where("doc_id != head").drop("head")
     left = written(left, "jaccard-open")
-    other = left.select("key", F.col("doc_id").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("component_b"))
-    rest = left.join(other, "key").where((F.col("doc_id") < F.col("b")) & (F.col("component") != F.col("component_b")) & fit(F.col("size"), F.col("size_b")))
+    other = left.select("key", *[F.col(c).alias(f"b_{c}") for c in ("doc_id", "size", "matched", "component")])
+    rest = left.join(other, "key").where((F.col("doc_id") < F.col("b_doc_id")) & (F.col("component") != F.col("b_component")) & fit("", "b_"))
+    rest = rest.withColumnRenamed("b_doc_id", "b")
     more = _verify(rest.select(F.col("doc_id").alias("a"), "b").distinct(), prefixes, percent)
     return links.union(written(more, "jaccard-links"))
 

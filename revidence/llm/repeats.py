@@ -37,6 +37,7 @@ BEFORE = LENGTH - GRAM
 WIDTH = LENGTH + 1 + BEFORE + 1  # suffix, its length, bytes before it backwards, their length
 HOT = 1 << 16
 PIECE = 1 << 18
+BLOCK_BYTES = 3 << 19
 _CODE = B.mixed(np.arange(1, 257, dtype=np.uint64))
 _BASE = 0x9E3779B97F4A7C15
 
@@ -168,6 +169,14 @@ def repeats(m: np.ndarray, smallest: np.ndarray, least: int = LENGTH) -> Iterato
                 yield members, left, right, int(smallest[members].min())
 
 
+def _packed(m: np.ndarray) -> bytes:
+    return pa.compress(m.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, size: int) -> bytes:
+    return pa.decompress(data, size, "zstd", asbytes=True)
+
+
 SENT = "bucket long, block long, suffixes binary, number binary, low binary, high binary"
 TOLD = "block long, kind long, keys binary, counts binary"
 
@@ -175,7 +184,8 @@ TOLD = "block long, kind long, keys binary, counts binary"
 def answers(t: pa.Table) -> pa.Table:
     """For each block: number of its suffix, bytes before, bytes after and smallest document, where larger ones must go."""
     blob = lambda c, kind: np.frombuffer(b"".join(t[c].to_pylist()), kind)
-    m, number, low, high = blob("suffixes", np.uint8).reshape(-1, WIDTH), blob("number", np.int32), blob("low", np.int64), blob("high", np.int64)
+    number, low, high = blob("number", np.int32), blob("low", np.int64), blob("high", np.int64)
+    m = np.frombuffer(b"".join(_unpacked(x, len(n) // 4 * WIDTH) for x, n in zip(t["suffixes"].to_pylist(), t["number"].to_pylist())), np.uint8).reshape(-1, WIDTH)
     block = np.repeat(t["block"].to_numpy(), [len(x.as_py()) // 4 for x in t["number"]])
     order, first = _distinct(m)
     group = np.empty(len(m), np.int64)
@@ -194,12 +204,18 @@ def answers(t: pa.Table) -> pa.Table:
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
         if b - a < 2 or smallest[a:b].min() == smallest[a:b].max():
             continue
-        best: dict[tuple[int, int, int], int] = {}
+        # larger documents of a suffix are covered already, so the smallest one needs the longest strings alone
+        best: dict[int, dict[int, int]] = {}
         for members, left, right, low_doc in repeats(rows[a:b], smallest[a:b]):
             for i in members[smallest[a:b][members] > low_doc].tolist():
-                best[i, left, right] = min(best.get((i, left, right), low_doc), low_doc)
-        for (i, left, right), low_doc in best.items():
-            found += [np.array([[o, left, right, low_doc]]) for o in owner[begin[a + i]:begin[a + i + 1]]]
+                reach = best.setdefault(i, {})
+                reach[left] = max(reach.get(left, 0), right)
+        for i, reach in best.items():
+            furthest = 0
+            for left in sorted(reach, reverse=True):
+                if reach[left] > furthest:
+                    furthest = reach[left]
+                    found += [np.array([[o, left, furthest, smallest[a + i] - 1]]) for o in owner[begin[a + i]:begin[a + i + 1]]]
     found = np.concatenate(found)
     found = found[np.argsort(block[found[:, 0]], kind="stable")]
     out = []
@@ -237,10 +253,10 @@ def _ends(rank: np.ndarray, n: int, docs: np.ndarray) -> tuple[np.ndarray, np.nd
 RESULT = "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary"
 
 
-def without_repeats(docs: DataFrame, *, hot: int = HOT, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+def without_repeats(docs: DataFrame, *, hot: int = HOT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_bytes, starts and ends of the removed runs, kept (the remaining bytes) for each row."""
     rows, count = B.blocked(docs, block_bytes)
-    buckets = max(8, count // 2)
+    buckets = max(8, count)
 
     def first(t: pa.Table) -> pa.Table:
         b = Block(t)
@@ -274,7 +290,7 @@ def without_repeats(docs: DataFrame, *, hot: int = HOT, block_bytes: int = B.BLO
                 bucket = (((b.hashes[order[at]] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
                 for k in np.unique(bucket):
                     i = np.flatnonzero(bucket == k)
-                    out.append((int(k), block, m[order[at[i]]].tobytes(), i.astype(np.int32).tobytes(), low[i].tobytes(), high[i].tobytes()))
+                    out.append((int(k), block, _packed(m[order[at[i]]]), i.astype(np.int32).tobytes(), low[i].tobytes(), high[i].tobytes()))
             if len(z.places):
                 _, row, h = z.stretches()
                 keys, rank = np.unique(h, return_inverse=True)
