@@ -249,11 +249,14 @@ def links_of(prefixes: DataFrame, percent: int) -> DataFrame:
     labels = components(links)
     posts = posts.join(labels, "doc_id", "left").select("key", "doc_id", "size", "matched", F.coalesce("component", "doc_id").alias("component"))
     open_ = posts.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
-    # the head of a list is done; in lists with several components the pairs across them are left
+    # the head of a list is done; in lists with several components the pairs across them are left, each taken from the first list
+    # that holds both, and only if they meet in as many prefix shingles as they must
     left = posts.join(open_, "key").join(heads.select("key", F.col("head.doc_id").alias("head")), "key").where("doc_id != head").drop("head")
-    left = written(left, "jaccard-open")
-    other = left.select("key", *[F.col(c).alias(f"b_{c}") for c in ("doc_id", "size", "matched", "component")])
-    rest = left.join(other, "key").where((F.col("doc_id") < F.col("b_doc_id")) & (F.col("component") != F.col("b_component")) & fit("", "b_"))
+    left = written(left.join(prefixes.select("doc_id", "l", "live"), "doc_id"), "jaccard-open")
+    other = left.select(*[F.col(c).alias(f"b_{c}") for c in ("key", "doc_id", "size", "matched", "component", "l", "live")])
+    met = F.array_intersect("live", "b_live")
+    rest = left.join(other, (F.col("key") == F.col("b_key")) & (F.col("doc_id") < F.col("b_doc_id")) & (F.col("component") != F.col("b_component")) & fit("", "b_")
+                     & (met[0] == F.col("key")) & (F.size(met) >= F.least("l", "b_l")))
     rest = rest.withColumnRenamed("b_doc_id", "b")
     more = _verify(rest.select(F.col("doc_id").alias("a"), "b").distinct(), prefixes, percent)
     return links.union(written(more, "jaccard-links"))
