@@ -9,7 +9,7 @@ left. The shards' best k are merged by a window.
 
 Rows: vectors that are null or hold null or non-finite components take no part; vectors of different length are
 compared over the components both have; ties go to the smaller id. A row is no candidate of a query with its own id;
-rows repeated with one id are candidates each, and queries repeated with one id count once. Null ids take no part. Fewer
+rows repeated with one id are candidates each, and queries repeated with one id count once. Null ids take no part. Fewer than
 than k candidates: all of them. An empty table gives an empty result.
 """
 

@@ -99,19 +99,21 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).otherwise(bound(total, lambda n: F.when(n.both > 0, 2 * n.same / n.both).otherwise(F.lit(0.0))))
 
 
-def with_next(docs: DataFrame, *, carry: list[str], buckets: int | None = None) -> DataFrame:
+def with_next(docs: DataFrame, *, carry: list[str], ids: DataFrame | None = None, buckets: int | None = None) -> DataFrame:
     """Add ``next_<c>`` for every column of ``carry``: its value in the next row in descending (doc_id, text) order.
 
     The order is cut into ``buckets`` ranges at approximate quantiles of doc_id. A range's last rows are repeated in the
-    range above as guests, so one shuffle and a window per range suffice. The driver sees two numbers a range.
+    range above as guests, so one shuffle and a window per range suffice. The driver sees two numbers a range. ``ids`` is the same rows' doc_id where
+    that is cheaper to read than ``docs``.
     """
     spark = docs.sparkSession
+    ids = (docs if ids is None else ids).select("doc_id")
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    found = docs.select(key.alias("k")).agg(F.percentile_approx("k", [i / buckets for i in range(1, buckets)] or [0.5], 100 * buckets).alias("q")).first()
+    found = ids.select(key.alias("k")).agg(F.percentile_approx("k", [i / buckets for i in range(1, buckets)] or [0.5], 100 * buckets).alias("q")).first()
     cuts = sorted(set(found.q or []))
     bucket = F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c < key)) if cuts else F.lit(0)
-    tops = {r.b: r.k for r in docs.select(bucket.alias("b"), key.alias("k")).groupBy("b").agg(F.max("k").alias("k")).collect()}
+    tops = {r.b: r.k for r in ids.select(bucket.alias("b"), key.alias("k")).groupBy("b").agg(F.max("k").alias("k")).collect()}
     order = sorted(tops)
     above = {b: order[(i + 1) % len(order)] for i, b in enumerate(order)}
     # a map literal: bucket -> (its largest id, the bucket that gets those rows as guests)
@@ -131,7 +133,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def edited_likeness(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness (the contract of op6)."""
-    rows = with_next(fingerprints(docs), carry=["text", "vector"])
+    rows = with_next(fingerprints(docs), carry=["text", "vector"], ids=docs)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "vector", "next_vector",

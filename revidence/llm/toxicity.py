@@ -151,7 +151,11 @@ class Restorer:
     def restored(self, text: str | None) -> str:
         """The text with every suspicious token replaced by its reading."""
         spelled = _SPELLED.sub(lambda m: re.sub(r"[ .\-_*]", "", m[0]), text or "")
-        return re.sub(r"\S+", lambda m: m[0] if _PLAIN.match(k := m[0].lower()) else (self.known[k] or (m[0],))[-1], spelled)
+
+        def reading(m: re.Match) -> str:
+            core = m[0].lower().strip(".,;:?!")
+            return m[0] if core.isalpha() and not _RUN.search(core) else (self.known[m[0].lower()] or (m[0],))[-1]
+        return re.sub(r"\S+", reading, spelled)
 
 
 class _Known(dict):
