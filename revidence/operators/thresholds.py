@@ -20,8 +20,9 @@ N_CLASSES = dims.N_TOP + dims.N_SUB
 
 
 def candidate_thr(trial: Column, cls: Column, lo: float = 0.15, hi: float = 0.5) -> Column:
-    """Deterministic uniform in [lo, hi) from (trial, class) arithmetic."""
-    return F.lit(lo) + F.lit(hi - lo) * ((trial * 37 + cls * 101) % 97).cast("double") / F.lit(97.0)
+    """Deterministic uniform in [lo, hi) from a hash of (trial, class), so trials never repeat."""
+    h = F.conv(F.substring(F.md5(F.concat(trial.cast("string"), F.lit(":"), cls.cast("string"))), 1, 8), 16, 10)
+    return F.lit(lo) + F.lit(hi - lo) * h.cast("bigint").cast("double") / F.lit(float(1 << 32))
 
 
 def threshold_candidates(spark: SparkSession, n_trials: int, lo: float = 0.15, hi: float = 0.5) -> DataFrame:

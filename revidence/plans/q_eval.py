@@ -186,7 +186,7 @@ def q_sampling_weights(spark, d):
 GRID = [round(0.05 * i, 2) for i in range(1, 20)]
 
 
-@register("best_thresholds", O.eval_prefix() + f"""SELECT sub_idx, arg_max(t, f1 * 1e6 - t) AS best_thr, round(max(f1), 6) AS best_f1 FROM (
+@register("best_thresholds", O.eval_prefix() + f"""SELECT sub_idx, first(t ORDER BY f1 DESC, t) AS best_thr, round(max(f1), 6) AS best_f1 FROM (
   SELECT sub_idx, t, {D('2 * tp', '2 * tp + fp + fn')} AS f1 FROM (
     SELECT sub_idx, t, sum((y = 1 AND allowed AND p_sub > t)::INTEGER) AS tp, sum((y = 0 AND allowed AND p_sub > t)::INTEGER) AS fp,
            sum((y = 1 AND NOT (allowed AND p_sub > t))::INTEGER) AS fn
@@ -200,7 +200,7 @@ def q_best_thresholds(spark, d):
         F.sum(((F.col("y") == 1) & ~pred).cast("long")).alias("fn"))
     f1 = ev.prf(F.col("tp"), F.col("fp"), F.col("fn"))[2]
     per = cnt.select("sub_idx", "t", f1.alias("f1"))
-    return per.groupBy("sub_idx").agg(F.max_by("t", F.col("f1") * 1e6 - F.col("t")).alias("best_thr"),
+    return per.groupBy("sub_idx").agg(F.max_by("t", F.struct("f1", -F.col("t"))).alias("best_thr"),
                                       R6(F.max("f1")).alias("best_f1"))
 
 

@@ -32,7 +32,7 @@ LO, HI = 0.15, 0.5
 
 
 def _thr_sql(i: str, j: str) -> str:
-    return f"({dbl(LO)} + {dbl(HI - LO)} * (({i} * 37 + {j} * 101) % 97)::DOUBLE / {dbl(97.0)})"
+    return f"({dbl(LO)} + {dbl(HI - LO)} * (('0x' || substr(md5({i}::VARCHAR || ':' || {j}::VARCHAR), 1, 8))::BIGINT)::DOUBLE / {dbl(float(1 << 32))})"
 
 
 def _trial_sql() -> str:

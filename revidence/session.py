@@ -1,7 +1,7 @@
 """Session helpers.
 
 Cluster settings (shuffle partitions, AQE, checkpoint dir) belong to whoever submits the job;
-``get_session`` only fills in what is unset, which is what tests and bench rely on.
+``get_session`` returns the active session as it is and makes a local one only where there is none (tests, bench).
 """
 
 from __future__ import annotations
@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(master: str | None = None, app: str = "revidence", shuffle_partitions: int = 8) -> SparkSession:
+    active = SparkSession.getActiveSession()
+    if active is not None:                     # configured by whoever made it: nothing is overridden
+        ensure_checkpoint_dir(active)
+        return active
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -36,7 +40,7 @@ def get_session(master: str | None = None, app: str = "revidence", shuffle_parti
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return ``spark.checkpoint.dir``; set a scratch one only when the session has none (tests).
+    """Return ``spark.checkpoint.dir``; set a scratch one only in local mode (tests); on a cluster it must be set.
 
     Under Spark Connect there is no SparkContext: the server-side setting is used as is.
     """
@@ -49,6 +53,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if sc is not None and not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if sc is None or not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="revidence-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
     if sc is not None:

@@ -29,7 +29,7 @@ def test_no_python_and_no_cartesian(spark, name):
 
 
 def test_only_scoring_and_html_use_python(spark):
-    assert "MapInPandas" in formatted(E.queries()["spec_html_parse"](spark, SF))
+    assert "MapInPandas" not in formatted(E.queries()["spec_html_parse"](spark, SF))
     assert "MapInPandas" in formatted(E.queries()["score_usefulness"](spark, SF))
 
 

@@ -21,6 +21,28 @@ def test_spec_html_parser_drops_untitled_rows(spark):
     assert flat["Main_Camera_Single"] == "50 MP"
 
 
+def test_dense_index_over_many_partitions(spark):
+    df = spark.range(60_000).select(((F.col("id") * 7919) % 60_000).alias("k"), F.repeat(F.lit("x"), 300).alias("wide")).repartition(24)
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        for adaptive in ("true", "false"):
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+            out = ing.dense_index(df, ["k"]).select("k", "corpus_idx").collect()
+            assert sorted(r.corpus_idx for r in out) == list(range(60_000)) and all(r.k == r.corpus_idx for r in out)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_oversized_bundle_file_is_refused(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.json").write_text('[{"product": "p_1", "name": "n"}]')
+    assert ing.load_bundles(spark, str(tmp_path)).count() == 1
+    monkeypatch.setattr(ing, "MAX_FILE_BYTES", 10)
+    import pytest
+    with pytest.raises(ValueError):
+        ing.load_bundles(spark, str(tmp_path))
+
+
 def test_flatten_specs_cases(spark):
     doc = {"_id": {"$oid": "a1"}, "key": "k", "name": "n", "specification": {"more_specification": [
         {"title": "Body", "data": [{"title": "Weight", "data": [" 200 g "]}]},
