@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 KEYS = "bucket long, block long, keys binary, counts binary"
 TOTALS = "block long, keys binary, counts binary"
 

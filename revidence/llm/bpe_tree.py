@@ -7,7 +7,7 @@ bytes gives these two tokens again; a sequence of tokens all of whose neighbours
 bytes, so nothing outside the window can change. Decoding concatenates the tokens' bytes pairwise up a tree.
 
 Rows: null and empty texts have no tokens and decode to nothing. Whole texts are encoded, in pieces; memory per task is one Arrow
-batch, and a cache of matches that is emptied at ``CACHE`` entries. Repeated rows are encoded each. An empty table gives an empty result.
+batch, and caches that are emptied at ``CACHE`` entries (pairs: three times as many). Repeated rows are encoded each. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -63,7 +63,7 @@ class Tokenizer:
     def fit(self, a: int, b: int) -> bool:
         known = self.compatible.get((a, b))
         if known is None:
-            if len(self.compatible) > 4 * CACHE:
+            if len(self.compatible) > 3 * CACHE:
                 self.compatible.clear()
             known = self.compatible[a, b] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return known
@@ -129,7 +129,7 @@ _loaded: dict[tuple[str, str], Tokenizer] = {}
 
 
 def tokenizer(path: str, pattern: str) -> Tokenizer:
-    """One a worker process."""
+    """One a worker process, until the task that uses it ends."""
     if (path, pattern) not in _loaded:
         _loaded[path, pattern] = Tokenizer(path, pattern)
     return _loaded[path, pattern]
@@ -159,6 +159,7 @@ def encode(docs: DataFrame, *, path: str, pattern: str) -> DataFrame:
             return ids, len(ids) // 4
         for b in _each(batches, "text", ["ids", "n_tokens"], make):
             yield b.select(["doc_id", "ids", "n_tokens"])
+        _loaded.clear()  # the worker process may live on, for other work
     rows = docs.select("doc_id", "text")
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary, n_tokens long")
 
@@ -168,5 +169,6 @@ def decode(encoded: DataFrame, *, path: str, pattern: str) -> DataFrame:
     def run(batches):
         t = tokenizer(path, pattern)
         yield from _each(batches, "ids", ["decoded"], lambda ids: (t.decode(np.frombuffer(ids or b"", "<u4")),))
+        _loaded.clear()
     rows = encoded.select("doc_id", "ids", "n_tokens")
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("decoded", BinaryType())]))

@@ -36,7 +36,7 @@ SAMPLE = 40_000    # labelled rows that are learned from
 FITTED = 8_000     # of them, those that the logistic part is fitted on
 PRIOR = 6.0       # documents at the base rate that are added to every count: rare words are little evidence
 TOP = 3            # strongest words that count one by one
-CACHE = 200_000
+CACHE = 100_000
 LONG = 40          # signs: longer tokens are no words in disguise (hashes, links) unless spelled out
 
 #: What signs are used for (fixed values).
