@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from revidence.llm.common import released_group
+
 BLOCK_BYTES = 1 << 20
 KEYS = "bucket long, block long, keys binary, counts binary"
 TOTALS = "block long, keys binary, counts binary"
@@ -68,7 +70,7 @@ def totals(emitted: DataFrame, at_least: int = 2) -> DataFrame:
                 out.append((int(block), keys[at:at + n][keep].tobytes(), total[at:at + n][keep].tobytes()))
             at += n
         return table(out, TOTALS)
-    return emitted.select("bucket", "block", "keys", "counts").groupBy("bucket").applyInArrow(add, TOTALS)
+    return emitted.select("bucket", "block", "keys", "counts").groupBy("bucket").applyInArrow(released_group(add), TOTALS)
 
 
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "double": pa.float64(), "array<long>": pa.list_(pa.int64()),

@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, StructField, StructType
 
+from revidence.llm.common import released
+
 CACHE = 300_000
 #: Bytes of output that a task gathers before it hands them on.
 CHUNK = 8 << 20
@@ -161,7 +163,7 @@ def encode(docs: DataFrame, *, path: str, pattern: str) -> DataFrame:
             yield b.select(["doc_id", "ids", "n_tokens"])
         _loaded.clear()  # the worker process may live on, for other work
     rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary, n_tokens long")
+    return rows.mapInArrow(released(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary, n_tokens long")
 
 
 def decode(encoded: DataFrame, *, path: str, pattern: str) -> DataFrame:
@@ -171,4 +173,4 @@ def decode(encoded: DataFrame, *, path: str, pattern: str) -> DataFrame:
         yield from _each(batches, "ids", ["decoded"], lambda ids: (t.decode(np.frombuffer(ids or b"", "<u4")),))
         _loaded.clear()
     rows = encoded.select("doc_id", "ids", "n_tokens")
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("decoded", BinaryType())]))
+    return rows.mapInArrow(released(run), StructType([*rows.schema.fields, StructField("decoded", BinaryType())]))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revidence.llm import blocks as B
-from revidence.llm.common import written
+from revidence.llm.common import released, released_group, written
 
 LONGEST = 8  # l goes from 1 to this
 VERIFY, SCAN = 1.0, 4.0  # cost of a shingle in a verification, of a posting
@@ -128,13 +128,13 @@ def class_of(docs: DataFrame, *, n: int, percent: int) -> tuple[DataFrame, DataF
             prefixes.append(run[:_sieve(len(run), percent)[1]])
         keys, counts = _counted(np.concatenate(prefixes)) if prefixes else (h[:0], h[:0])
         return B.table([*out, *((1, None, None, None, None, *r) for r in B.packed(block, keys, counts, buckets))], SETS)
-    made = written(rows.groupBy("block").applyInArrow(first, SETS), "jaccard-sets")
+    made = written(rows.groupBy("block").applyInArrow(released_group(first), SETS), "jaccard-sets")
     sets = made.where("kind = 0").select("doc_id", "size", "hi", "lo")
     classes = sets.where("size > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"))
     # a block is told its classes' representatives (kind 2), then totals of prefix keys (kind 0) and of all keys (kind 1)
     told = "block long, kind long, keys binary, counts binary"
     reps = classes.select(B.block_of(F.col("doc_id"), count).alias("block"), "doc_id", "hi").groupBy("block").agg(F.collect_list(F.struct("doc_id", "hi")).alias("r"))
-    reps = reps.mapInArrow(_pack_reps, told)
+    reps = reps.mapInArrow(released(_pack_reps), told)
     prefix_totals = B.totals(made.where("kind = 1")).select("block", F.lit(0).cast("long").alias("kind"), "keys", "counts")
 
     def chosen(t: pa.Table, more: pa.Table):
@@ -177,8 +177,8 @@ def class_of(docs: DataFrame, *, n: int, percent: int) -> tuple[DataFrame, DataF
         return B.table(out, PREFIXES)
     known = written(reps.unionByName(prefix_totals), "jaccard-told")
     together = lambda extra: rows.groupBy("block").cogroup(extra.groupBy("block"))
-    all_totals = B.totals(together(known).applyInArrow(second, B.KEYS)).select("block", F.lit(1).cast("long").alias("kind"), "keys", "counts")
-    return sets, written(together(known.unionByName(all_totals)).applyInArrow(third, PREFIXES), "jaccard-prefixes")
+    all_totals = B.totals(together(known).applyInArrow(released_group(second), B.KEYS)).select("block", F.lit(1).cast("long").alias("kind"), "keys", "counts")
+    return sets, written(together(known.unionByName(all_totals)).applyInArrow(released_group(third), PREFIXES), "jaccard-prefixes")
 
 
 def _pack_reps(batches):
@@ -213,7 +213,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 if 100 * both >= percent * (len(x) + len(y) - both):
                     keep.append(i)
             yield t.select(["a", "b"]).take(pa.array(keep, pa.int64()))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *[f"{x}_{s}" for s in "ab" for x in ("l", "p", "set")]).mapInArrow(check, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *[f"{x}_{s}" for s in "ab" for x in ("l", "p", "set")]).mapInArrow(released(check), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:

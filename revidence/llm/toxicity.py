@@ -21,14 +21,17 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revidence.llm.common import written
+from revidence.llm.common import released, written
+
+if TYPE_CHECKING:
+    import pandas as pd
 
 SYMBOLS = 64
 BUCKETS = 1 << 21
@@ -72,7 +75,7 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
                     total += np.bincount((i[:-2] * SYMBOLS + i[1:-1]) * SYMBOLS + i[2:], minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["gram", "n"])
-    return docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(released(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -237,7 +240,7 @@ def train(docs: DataFrame, labelled: DataFrame) -> Model:
                 docs_of[y] += 1
         at = np.flatnonzero(n.sum(0))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(n[0][at], docs_of[0])), pa.array(np.append(n[1][at], docs_of[1]))], names=["bucket", "clean", "toxic"])
-    got = rows.select("text", "label").mapInArrow(count, "bucket long, clean long, toxic long").groupBy("bucket").agg(
+    got = rows.select("text", "label").mapInArrow(released(count), "bucket long, clean long, toxic long").groupBy("bucket").agg(
         F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     got = got.where((F.col("bucket") < 0) | (F.col("toxic") * 8 > F.col("clean"))).toPandas()  # at most BUCKETS + 1 rows
     n, totals = got[got.bucket >= 0], got[got.bucket < 0]
@@ -252,7 +255,7 @@ def train(docs: DataFrame, labelled: DataFrame) -> Model:
         r, memo = Restorer(shared_odds.value.speller), Evidence(shared_odds.value.odds)
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([shared_odds.value.summary(r.words(t.as_py()), memo).tolist() for t in b.column("text")], pa.list_(pa.float64())), b.column("label")], names=["x", "label"])
-    part = rows.join(F.broadcast(rows.select("h", "label").orderBy("h", "label").limit(FITTED)), ["h", "label"], "left_semi").select("text", "label").mapInArrow(sums, "x array<double>, label int").toPandas()
+    part = rows.join(F.broadcast(rows.select("h", "label").orderBy("h", "label").limit(FITTED)), ["h", "label"], "left_semi").select("text", "label").mapInArrow(released(sums), "x array<double>, label int").toPandas()
     model.weights = _logistic(np.array(part["x"].tolist(), float).reshape(-1, TOP + 2), part["label"].to_numpy(float))
     return model
 
@@ -284,4 +287,4 @@ def score(docs: DataFrame, model: Model, *, keep: list[str] | None = None) -> Da
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(out)], names=[*keep, "score"])
     rows = docs.select(*dict.fromkeys([*keep, "text"]))
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(run, f"{schema}, score double")
+    return rows.mapInArrow(released(run), f"{schema}, score double")
