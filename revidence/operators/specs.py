@@ -3,20 +3,18 @@
 A spec document is ``{_id:{$oid}, key, name, specification:{key, more_specification:[{title, data}]}}``
 where ``data`` is a list of strings (leaf), a list of ``{title, data}`` objects (a section; an
 empty list is a section with nothing in it), or a scalar (leaf). Flattening walks the tree
-level by level with ``explode`` (depth-bounded loop, no Python), carries the position path,
+level by level with ``explode`` (as many levels as the data has, no Python), carries the position path,
 and resolves duplicate keys with ``max_by(value, path)`` = last in document order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revidence import dims
 from revidence.functions import text as T
 
-MAX_DEPTH = 8
-
 
 def parse_spec_docs(raw: DataFrame, json_col: str = "json") -> DataFrame:
     """(product_id, key, name, entries ARRAY<VARIANT>) from JSON text documents."""
@@ -31,13 +29,26 @@ def parse_spec_docs(raw: DataFrame, json_col: str = "json") -> DataFrame:
     )
 
 
-def flatten_specs(docs: DataFrame, id_col: str = "product_id", max_depth: int = MAX_DEPTH) -> DataFrame:
+def _object_depth(json: Column) -> Column:
+    """How deep objects are nested in a JSON text, an upper bound of the section levels in it."""
+    braces = F.regexp_replace(F.regexp_replace(F.regexp_replace(json, r"\\.", ""), '"[^"]*"', ""), r"[^{}]", "")
+    depth = lambda s, c: s.d + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)
+    return F.aggregate(F.split(braces, ""), F.struct(F.lit(0).alias("d"), F.lit(0).alias("top")),
+                       lambda s, c: F.struct(depth(s, c).alias("d"), F.greatest(s.top, depth(s, c)).alias("top")), lambda s: s.top)
+
+
+def flatten_specs(docs: DataFrame, id_col: str = "product_id", max_depth: int | None = None) -> DataFrame:
     """(id, spec_key, spec_value): title path joined by '_', spaces -> '_'; list leaves joined by
     a space (items stripped); scalar leaves kept; last duplicate wins; outer '_' stripped.
 
+    The chain has as many levels as the deepest document (one aggregate over ``docs``). A smaller ``max_depth`` keeps what lies
+    deeper as JSON text.
+
     One linear chain: each level explodes section rows into their children and passes finished
     leaf rows through unchanged, so no level is recomputed.
     """
+    if max_depth is None:
+        max_depth = max(1, docs.agg(F.max(_object_depth(F.to_json("entries")))).first()[0] or 0)
     node_t = "struct<path:array<int>,parent:string,e:variant,k:string,spec_value:string>"
     rows = docs.select(id_col, F.posexplode("entries").alias("p", "e")).select(
         id_col, F.struct(F.array(F.col("p")).alias("path"), F.lit("").alias("parent"), F.col("e"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from revidence import dims
 from revidence.operators import catalog as cat
 from revidence.operators import specs as sp
 from revidence.plans import oracle_sql as O
@@ -77,7 +78,7 @@ def q_post_comments_kept(spark, d):
 @register("post_cap", O.with_(O.CONV) + """SELECT post_id, product_id, pos, title, selftext FROM (
   SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY pos) AS rk FROM v_posts) x WHERE rk <= 50""")
 def q_post_cap(spark, d):
-    return ing.post_cap(v_posts(spark, d)).select("post_id", "product_id", "pos", "title", "selftext")
+    return ing.post_cap(v_posts(spark, d), dims.MAX_POSTS).select("post_id", "product_id", "pos", "title", "selftext")
 
 
 @register("comment_projection", O.with_(O.CONV) + """SELECT post_id AS bundle_ord,

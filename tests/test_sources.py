@@ -79,7 +79,8 @@ def test_comment_limit_modes(spark):
 def test_post_cap_and_texts(spark):
     rows = [(i % 2, i, i, f"title {i}", "s" * (31 if i % 3 else 30)) for i in range(120)]
     df = spark.createDataFrame(rows, "product_id BIGINT, post_id BIGINT, pos BIGINT, title STRING, selftext STRING")
-    capped = ing.post_cap(df)
+    capped = ing.post_cap(df, 50)
+    assert ing.post_cap(df).count() == df.count()  # no cap unless asked for
     assert capped.count() == 100
     t = {r.post_id: r.review_text for r in ing.post_texts(df).collect()}
     assert t[1] == "title 1. " + "s" * 31 and t[3] == "title 3"
@@ -140,3 +141,14 @@ def test_flatten_keeps_documents_deeper_than_the_cap(spark):
     assert len(deep) == 1 and "deep value" in flat[deep[0]]
     full = {r.spec_key: r.spec_value for r in specs.flatten_specs(specs.parse_spec_docs(df), max_depth=10).collect()}
     assert full["L1_L2_L3_L4_L5_L6_L7_L8_L9"] == "deep value"
+
+
+def test_flatten_specs_has_no_depth_limit(spark):
+    node = {"title": 'quote " and {brace', "data": ["x"]}
+    for i in range(11, 0, -1):
+        node = {"title": f"L{i}", "data": [node]}
+    docs = [{"_id": "deep", "specification": {"more_specification": [node, {"title": "Flat } \\", "data": ["y"]}]}},
+            {"_id": "none", "specification": {"more_specification": []}}]
+    df = spark.createDataFrame([(json.dumps(d),) for d in docs], "json STRING")
+    flat = {r.spec_key: r.spec_value for r in specs.flatten_specs(specs.parse_spec_docs(df)).collect()}
+    assert flat == {"_".join(f"L{i}" for i in range(1, 12)) + '_quote_"_and_{brace': "x", "Flat_}_\\": "y"}
