@@ -7,9 +7,13 @@ paragraphs and pieces can be inserted (``combine``) or deleted (``remove``) with
 The vector has two parts:
 
 * ``TOTALS`` lanes modulo 2**62, nonzero for every paragraph: two texts agree on them when their multisets agree;
-* ``LEVELS`` x ``LANES`` lanes modulo 2**32. A paragraph is nonzero in one of them: level by the trailing zeros of its
-  hash, so level k holds one paragraph in 2**(k+1), lane by four more bits.  Equal lanes tell how much two texts share;
-  the first level that is not crowded decides, whatever the length of the text.
+* up to ``DEEPEST`` levels of ``LANES`` lanes modulo 2**32. A paragraph is nonzero in one of them: level by the trailing zeros
+  of its hash, so level k holds one paragraph in 2**(k+1), lane by four more bits.  Equal lanes tell how much two texts share;
+  the first level that is not crowded decides, whatever the length of the text: a text has less than 2**31 signs, hence at
+  most some 16 paragraphs in the last level.
+
+The first ``LEVELS`` levels are always stored, deeper ones up to the last that is not empty (short texts have none), so equal
+multisets have equal vectors.
 
 Rows: null and empty texts have the empty multiset (all lanes 0); two of them have likeness 1, one of them and another
 text 0. Repeated rows and ids are kept; among equal ids the order is that of the texts. Null ids come last in
@@ -24,7 +28,7 @@ from pyspark.sql import functions as F
 from revidence.functions.columns import computed
 from revidence.llm.common import bound, only
 
-LANES, LEVELS, TOTALS = 16, 7, 2
+LANES, LEVELS, DEEPEST, TOTALS = 16, 7, 28, 2
 SIZE = TOTALS + LANES * LEVELS
 _WIDE, _LANE = (1 << 62) - 1, (1 << 32) - 1
 #: A level with more nonzero lanes than this in both texts is crowded: its lanes mix several paragraphs.
@@ -41,8 +45,8 @@ def _sum(values: Column, mask: int) -> Column:
 
 
 def _level(hashes: Column, k: int) -> Column:
-    """Hashes whose bits 4.. have k trailing zeros (the last level: k or more)."""
-    last = k == LEVELS - 1
+    """Hashes whose bits 4.. have k trailing zeros (the last level: k or more). Bits 32.. are the value in the lane."""
+    last = k == DEEPEST - 1
     width, want = (1 << k) - 1 if last else (1 << (k + 1)) - 1, 0 if last else 1 << k
     return F.filter(hashes, lambda h: F.shiftright(h, 4).bitwiseAND(F.lit(width)) == want)
 
@@ -52,51 +56,77 @@ def _lanes(hashes: Column) -> Column:
         F.transform(F.filter(hashes, lambda h: h.bitwiseAND(F.lit(LANES - 1)) == c), lambda h: F.shiftrightunsigned(h, 32)), _LANE))
 
 
+def _trimmed(v: Column) -> Column:
+    """Without the empty levels at the end, but for the first LEVELS."""
+    used = F.aggregate(F.sequence(F.lit(LEVELS), F.lit(DEEPEST - 1)), F.lit(LEVELS), lambda a, k: F.when(
+        F.exists(F.slice(v, k * LANES + TOTALS + 1, LANES), lambda x: x != 0), k + 1).otherwise(a))
+    return F.when(F.size(v) <= SIZE, v).otherwise(F.slice(v, F.lit(1), used * LANES + TOTALS))
+
+
 def vector(text: Column) -> Column:
-    """array<bigint> of SIZE lanes."""
+    """array<bigint> of SIZE lanes, or more for long texts."""
     def lanes(p: Column) -> Column:
         total = lambda salt: _sum(F.transform(p, lambda x: F.xxhash64(F.lit(salt), x).bitwiseAND(F.lit(_WIDE))), _WIDE)
         totals = F.array(*[total(salt) for salt in range(TOTALS)])
-        cells = bound(F.transform(p, lambda x: F.xxhash64(x)), lambda h: F.concat(*[bound(_level(h, k), _lanes) for k in range(LEVELS)]))
-        return F.concat(totals, cells)
+        levels = lambda h, a, b: F.concat(*[bound(_level(h, k), _lanes) for k in range(a, b)])
+        rest = lambda h: F.filter(h, lambda x: F.shiftright(x, 4).bitwiseAND(F.lit((1 << LEVELS) - 1)) == 0)
+        deep = lambda h: F.when(F.size(h) > 0, levels(h, LEVELS, DEEPEST)).otherwise(F.array().cast("array<bigint>"))
+        cells = bound(F.transform(p, lambda x: F.xxhash64(x)), lambda h: F.concat(levels(h, 0, LEVELS), bound(rest(h), deep)))
+        return bound(F.concat(totals, cells), _trimmed)
     return bound(paragraphs(text), lanes)
 
 
-def _masks() -> Column:
-    return F.concat(F.array_repeat(F.lit(_WIDE), TOTALS), F.array_repeat(F.lit(_LANE), SIZE - TOTALS))
+def _lanewise(a: Column, b: Column, use) -> Column:
+    """Lanes that one side does not store are 0."""
+    at = F.zip_with(a, b, lambda x, y: use(F.coalesce(x, F.lit(0)), F.coalesce(y, F.lit(0))))
+    return bound(F.transform(at, lambda x, i: x.bitwiseAND(F.when(i < TOTALS, F.lit(_WIDE)).otherwise(F.lit(_LANE)))), _trimmed)
 
 
 def combine(a: Column, b: Column) -> Column:
     """Vector of the union (with repetition) of two multisets: insertion."""
-    return F.zip_with(F.zip_with(a, b, lambda x, y: x + y), _masks(), lambda x, m: x.bitwiseAND(m))
+    return _lanewise(a, b, lambda x, y: x + y)
 
 
 def remove(a: Column, b: Column) -> Column:
     """Vector of ``a`` without the paragraphs of ``b``: deletion."""
-    return F.zip_with(F.zip_with(a, b, lambda x, y: x - y), _masks(), lambda x, m: x.bitwiseAND(m))
+    return _lanewise(a, b, lambda x, y: x - y)
 
 
 def as_text(v: Column) -> Column:
-    """Fixed-width hexadecimal text of a vector."""
+    """Hexadecimal text of a vector, each lane in a fixed width."""
     return F.concat(F.array_join(F.transform(F.slice(v, 1, TOTALS), lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), ""),
-                    F.array_join(F.transform(F.slice(v, TOTALS + 1, SIZE - TOTALS), lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), ""))
+                    F.array_join(F.transform(F.slice(v, F.lit(TOTALS + 1), F.size(v) - TOTALS), lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), ""))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Twice the equal lanes over the nonzero lanes of both, over the levels from the first uncrowded one (0 to 1)."""
-    def level(k: int) -> Column:
-        lanes = lambda v: F.slice(v, TOTALS + 1 + k * LANES, LANES)
+    """Share of the paragraphs of both texts that are in common (0 to 1), over the levels from the first uncrowded one.
+
+    Paragraphs meet in a lane, so shares are taken of rates and not of lanes: with x paragraphs a lane on average, e^-x of the lanes are
+    empty. So the paragraphs of a text are -log of its empty lanes and those in one text only -log of the equal lanes, empty or not.
+    The likeness is 1 - (those in one text only) / (those of both).
+    """
+    rate = lambda empty: -F.log(F.greatest(empty, F.lit(0.5)) / LANES)
+
+    def level(k: Column) -> Column:
+        lanes = lambda v: F.slice(v, k * LANES + TOTALS + 1, LANES)
         filled = lambda v: F.size(F.filter(lanes(v), lambda x: x != 0))
-        same = F.size(F.filter(F.zip_with(lanes(a), lanes(b), lambda x, y: F.when((x == y) & (x != 0), 1)), lambda z: z.isNotNull()))
-        return F.struct(same.alias("same"), filled(a).alias("p"), filled(b).alias("q"), F.lit(k == LEVELS - 1).alias("last"))
+        equal = F.zip_with(lanes(a), lanes(b), lambda x, y: bound(F.struct(F.coalesce(x, F.lit(0)).alias("x"), F.coalesce(y, F.lit(0)).alias("y")), lambda z: F.when(
+            z.x == z.y, F.when(z.x != 0, 2).otherwise(1)).otherwise(0)))
+        return F.struct(equal.alias("equal"), filled(a).alias("p"), filled(b).alias("q"))
 
     def add(s: Column, x: Column) -> Column:
-        opened = s.opened | x.last | (F.greatest(x.p, x.q) <= CROWDED)
-        return F.struct(opened.alias("opened"), (s.same + F.when(opened, x.same).otherwise(0)).alias("same"),
-                        (s.both + F.when(opened, x.p + x.q).otherwise(0)).alias("both"))
-    start = F.struct(F.lit(False).alias("opened"), F.lit(0).alias("same"), F.lit(0).alias("both"))
-    total = F.aggregate(F.array(*[level(k) for k in range(LEVELS)]), start, add)
-    return F.when(a == b, F.lit(1.0)).otherwise(bound(total, lambda n: F.when(n.both > 0, 2 * n.same / n.both).otherwise(F.lit(0.0))))
+        same, apart = F.size(F.filter(x.equal, lambda z: z == 2)), F.size(F.filter(x.equal, lambda z: z == 0))
+        opened = s.opened | (F.greatest(x.p, x.q) <= CROWDED)
+        sums = {"same": same.cast("double"), "apart": rate(LANES - apart), "both": rate(LANES - x.p) + rate(LANES - x.q)}
+        # the last level that is not empty is kept for texts without any other
+        last = F.when(x.p + x.q > 0, F.struct(*[v.alias(n) for n, v in sums.items()])).otherwise(s["last"])
+        return F.struct(opened.alias("opened"), *[(s[n] + F.when(opened, v).otherwise(0.0)).alias(n) for n, v in sums.items()], last.alias("last"))
+    none = [F.lit(0.0).alias(n) for n in ("same", "apart", "both")]
+    start = F.struct(F.lit(False).alias("opened"), *none, F.struct(*none).alias("last"))
+    levels = F.sequence(F.lit(0), F.floor((F.greatest(F.size(a), F.size(b)) - TOTALS) / LANES).cast("int") - 1)
+    share = lambda n: F.when(n.same > 0, F.greatest(1 - n.apart / n.both, F.lit(0.0))).otherwise(F.lit(0.0))
+    total = F.aggregate(F.transform(levels, level), start, add)
+    return F.when(a == b, F.lit(1.0)).otherwise(bound(total, lambda n: F.when(n.both > 0, share(n)).otherwise(share(n["last"]))))
 
 
 def with_next(docs: DataFrame, *, carry: list[str], ids: DataFrame | None = None, buckets: int | None = None) -> DataFrame:
