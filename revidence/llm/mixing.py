@@ -4,11 +4,14 @@
    (domain, bucket), at most ``BUCKETS`` x domains numbers whatever the input.
 2. Every document gets posteriors p_k over the domains, a softmax of its mean log-likelihood per word times
    ``SHARPNESS`` plus the log prior.
-3. Projected gradient fits nonnegative rates r_i that minimise
+3. Rates r_i >= floor are fitted that minimise
        sum_k w_k (sum_i r_i p_ik T_i - b_k)^2 / 2 + RIDGE * sum_i T_i (r_i - 1)^2 / 2
-   (T_i tokens, b_k the target total of domain k, w_k = 1 / sum_i T_i p_ik^2, which makes the domains alike in scale). An iterate depends on a document only through its posteriors and
-   the residuals so far, a few numbers; so each step is one aggregation of K sums over the documents and no rates are
-   stored between steps. ``floor`` is the lower end of the box (0; 1 keeps every document at least once).
+   (T_i tokens, b_k the target total of domain k, w_k = 1 / sum_i T_i p_ik^2, which makes the domains alike in scale). In the dual
+   a document depends on K numbers y alone, r_i = max(floor, 1 - sum_k y_k p_ik), so each step of Newton's method is one
+   aggregation of K sums and their K x K derivatives over the documents, and no rates are stored between steps.
+   The ridge is then moved to the y that was found (method of multipliers) until every total is within ``TOLERANCE`` of its
+   target. Where no rates can do that (the floor, or a domain that no document belongs to), the totals are the closest found,
+   and ``mix`` warns with the relative errors that are left. ``floor`` is the lower end of the box (0; 1 keeps every document at least once).
 
 Rows: null and empty texts have 0 tokens, prior posteriors and rate 1 (or the floor). Rows without a label, or whose
 domain is not in the targets, are classified like any other. Repeated rows are fitted one by one and get equal
@@ -18,8 +21,10 @@ rates. An empty table gives an empty result; without any labelled row the poster
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Mapping
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +34,8 @@ from revidence.llm.common import SPACES, bound, written
 BUCKETS = 4096
 SHARPNESS = 20.0
 RIDGE = 1e-4
-STEPS = 24
+TOLERANCE = 1e-4   # of a domain's total, relative to its target
+STEPS = 200        # passes over the documents at most; some ten are usual
 
 
 def words(text: Column) -> Column:
@@ -65,44 +71,71 @@ def posteriors(docs: DataFrame, table: list[list[float]], prior: list[float], ke
     return rows.select("__kept", "tokens", bound(parts, lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))).alias("p"))
 
 
-def _rate(history: list[list[float]], floor: float, step: float) -> Column:
-    """The rate after the steps in ``history`` (each the weighted residuals per domain) as a fold over them."""
-    if not history:
-        return F.lit(max(1.0, floor))
-    K = len(history[0])
-    dot = lambda g: sum((F.col("p")[k] * g[k] for k in range(1, K)), F.col("p")[0] * g[0])
-    return F.aggregate(F.lit(history), F.lit(max(1.0, floor)), lambda r, g: F.greatest(F.lit(floor), r - step * (dot(g) + RIDGE * (r - 1.0))))
+def _rate(y: list[float], floor: float) -> Column:
+    """The rate that the multipliers ``y`` of the domains give."""
+    return F.greatest(F.lit(float(floor)), 1.0 - sum((F.col("p")[k] * float(v) for k, v in enumerate(y)), F.lit(0.0)))
 
 
 def fit(members: DataFrame, goals: list[float], *, floor: float = 0.0, steps: int = STEPS) -> tuple[Column, list[dict]]:
-    """Rate column over (tokens, p), and the relative error of each domain after each step."""
+    """Rate column over (tokens, p), and the relative error of each domain after each step; the last one is that of the rate."""
     K = len(goals)
     T = F.col("tokens").cast("double")
     p = [F.col("p")[k] for k in range(K)]
-    # Gradients are taken in the metric T_i: r_i <- r_i - step * (sum_k p_ik w_k e_k + RIDGE (r_i - 1)), e_k the
-    # residual of domain k. The step is 1 over the largest row sum of M[k][l] = w_l sum_i T_i p_ik p_il, a bound of its norm.
-    got = members.select(*[F.sum(T * p[k] * p[m]).alias(f"m{k}_{m}") for k in range(K) for m in range(K)]).first()
-    w = [1.0 / max(got[f"m{k}_{k}"] or 0.0, 1.0) for k in range(K)]
-    norm = max(sum((got[f"m{k}_{m}"] or 0.0) * w[m] for m in range(K)) for k in range(K)) or 1.0
-    step = 1.0 / (norm + RIDGE)
-    history: list[list[float]] = []
-    errors = []
-    for _ in range(steps):
-        rate = _rate(history, floor, step)
-        now = members.select("tokens", "p", rate.alias("r")).agg(*[F.sum(F.col("r") * T * p[k]).alias(f"t{k}") for k in range(K)]).first()
-        off = [(now[f"t{k}"] or 0.0) - goals[k] for k in range(K)]
-        errors.append({k: off[k] / max(goals[k], 1.0) for k in range(K)})
-        if max(map(abs, errors[-1].values())) < 1e-4:
-            break
-        history.append([off[k] * w[k] for k in range(K)])
-    return _rate(history, floor, step), errors
-
-
-def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], *, floor: float = 0.0, grow: bool = False, keep: list[str] | None = None) -> DataFrame:
+    b = np.array(goals, float)
+    pairs = [(k, m) for k in range(K) for m in range(k + 1)]
+
+    def at(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Totals less the targets, their derivatives by -y, and the dual's value without the ridge."""
+        u = 1.0 - sum((p[k] * float(v) for k, v in enumerate(y)), F.lit(0.0))
+        free = u > floor
+        value = F.when(free, u * u / 2).otherwise(floor * u - floor * floor / 2)
+        rows = members.select("tokens", "p", _rate(y, floor).alias("r"), free.alias("free"), value.alias("value"))
+        now = rows.agg(*[F.sum(F.col("r") * T * x).alias(f"t{k}") for k, x in enumerate(p)], F.sum(T * F.col("value")).alias("value"),
+                       *[F.sum(F.when(F.col("free"), T * p[k] * p[m]).otherwise(0.0)).alias(f"m{k}_{m}") for k, m in pairs]).first()
+        M = np.zeros((K, K))
+        for k, m in pairs:
+            M[k, m] = M[m, k] = now[f"m{k}_{m}"] or 0.0
+        return np.array([now[f"t{k}"] or 0.0 for k in range(K)]) - b, M, (now["value"] or 0.0) + float(b @ y)
+
+    squares = members.agg(*[F.sum(T * x * x).alias(f"s{k}") for k, x in enumerate(p)]).first()
+    ridge = RIDGE * np.array([max(squares[f"s{k}"] or 0.0, 1.0) for k in range(K)])
+    scale = np.maximum(b, 1.0)
+    y, center = np.zeros(K), np.zeros(K)
+    off, M, value = at(y)
+    errors = [off / scale]
+    best, best_y, last = np.abs(errors[0]).max(), y, math.inf
+    while best >= TOLERANCE and len(errors) < steps:
+        gradient = ridge * (y - center) - off
+        if np.abs(gradient / scale).max() < TOLERANCE / 10:  # least under this ridge
+            found = np.abs(off / scale).max()
+            if found > 0.9 * last:
+                break  # no closer than under the ridge before: the targets can't be met
+            last, center = found, y.copy()
+            gradient = -off
+        move = -np.linalg.solve(M + np.diag(ridge), gradient)
+        before, slope, t = value + float(ridge @ (y - center) ** 2) / 2, float(gradient @ move), 1.0
+        while len(errors) < steps:
+            there = y + t * move
+            off, M, value = at(there)
+            errors.append(off / scale)
+            if np.abs(errors[-1]).max() < best:
+                best, best_y = np.abs(errors[-1]).max(), there
+            if value + float(ridge @ (there - center) ** 2) / 2 <= before + 1e-4 * t * slope + 1e-12 * abs(before):
+                break
+            t /= 4
+        y = there
+    if best < np.abs(errors[-1]).max():
+        errors.append(next(e for e in errors if np.abs(e).max() == best))
+    return _rate(best_y.tolist(), floor), [dict(enumerate(e.tolist())) for e in errors]
+
+
+def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], *, floor: float = 0.0, grow: bool = False, keep: list[str] | None = None,
+        residuals: dict[str, float] | None = None) -> DataFrame:
     """One row per document: the columns of ``keep`` (doc_id), tokens, p (map domain -> posterior), rate, copies.
 
     The target totals share out the expected tokens of all documents; with ``grow`` they are scaled up so that no
-    domain has to shrink. ``copies`` is the rate rounded down or up by a hash of the id, so its mean is the rate.
+    domain has to shrink. Relative errors of the domains' totals are put into ``residuals``, if given; a warning names them
+    when one is above TOLERANCE. ``copies`` is the rate rounded down or up by a hash of the id, so its mean is the rate.
     """
     domains = sorted(targets)
     total = sum(targets.values())
@@ -115,7 +148,12 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], *, f
     have = members.agg(*[F.sum(F.col("tokens") * F.col("p")[k]).alias(f"t{k}") for k in range(K)]).first()
     have = [have[f"t{k}"] or 0.0 for k in range(K)]
     scale = max([sum(have)] + [h / s for h, s in zip(have, share) if s > 0]) if grow else sum(have)
-    rate, _ = fit(members, [s * scale for s in share], floor=floor)
+    rate, errors = fit(members, [s * scale for s in share], floor=floor)
+    left = {d: errors[-1][k] for k, d in enumerate(domains)}
+    if residuals is not None:
+        residuals.update(left)
+    if max(map(abs, left.values())) >= TOLERANCE:
+        warnings.warn(f"mixing: relative errors of the targets after {len(errors)} steps: {left}", stacklevel=2)
     out = members.withColumn("rate", F.when(F.col("tokens") > 0, rate).otherwise(F.lit(max(1.0, floor))))
     out = out.withColumn("p", F.map_from_arrays(F.lit(domains), "p"))
     draw = F.pmod(F.xxhash64(F.lit("mix"), F.coalesce(F.col("__kept.doc_id"), F.lit(-1))), F.lit(1 << 30)) / float(1 << 30)
