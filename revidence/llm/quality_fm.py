@@ -6,8 +6,7 @@ structure, each as one of ``LEVELS`` steps, and its length as metadata. Pairs of
 time linear in its features.
 
 The model is fitted by Adagrad on at most ``SAMPLE`` labelled rows (common.labelled_sample), of which only the features reach
-the driver (a bounded number of bounded rows: at most ``KEEP`` hashed words each, taken by hash, in training alone;
-scoring uses all features of the whole text).
+the driver: a bounded number of rows, each with all features of its whole text (at most ``BUCKETS`` hashed words), as in scoring.
 
 Rows: null and empty texts have no words and the statistics of an empty text, and get a score like any other. Null labels are not
 learned from; an id with several labels counts with each. Without labelled rows the score is 0.5. Repeated rows get equal
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 BUCKETS, RANK, LEVELS = 1 << 16, 4, 16
-SAMPLE, KEEP = 8_000, 512
+SAMPLE = 8_000
 EPOCHS, BATCH, RATE, L2 = 8, 64, 0.08, 2e-5
 
 _CLASS = np.zeros(256, np.int64)  # of a byte: letter a-z, A-Z, other word byte, digit, space, line feed, sentence mark, symbol
@@ -119,12 +118,12 @@ def train(labelled: DataFrame) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [features(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[:KEEP + STATISTICS].astype("<i4").tobytes() for x, _ in made], pa.binary()), pa.array([float(v[-1]) for _, v in made]),
+            yield pa.RecordBatch.from_arrays([pa.array([x.astype("<i4").tobytes() for x, _ in made], pa.binary()), pa.array([float(v[-1]) for _, v in made]),
                                               b.column("label")], names=["x", "value", "label"])
     got = labelled.select("text", "label").mapInArrow(run, "x binary, value double, label int").toArrow()
     out = []
     for x, value, label in zip(got["x"].to_pylist(), got["value"].to_pylist(), got["label"].to_pylist()):
-        x = np.frombuffer(x, "<i4").astype(np.int64)
+        x = np.frombuffer(x, "<i4")
         values = np.full(len(x), value)
         values[:STATISTICS] = 1
         out.append((x, values, label))
