@@ -2,9 +2,11 @@
 
 Every component of a vector is a term, its postings the column of that component. Queries and vectors are dealt to the
 cells of a grid (query block x shard), each of bounded size. A cell knows each term's score bounds over its shard.
-Terms are ordered by bound; the essential ones, without which no vector can reach the current k-th score, are summed
-over all postings, the non-essential ones are probed group by group, only for vectors whose sum plus the bound of the
-rest still competes. The bound of the rest is the smaller of the terms' bounds and the product of the norms of what is
+Terms are ordered by bound. The split into essential terms, without which no vector can reach the threshold, and others is only a
+starting cut: every vector is a candidate at first, its sum over about half of the essential terms is one dense product, and all
+terms after that, essential or not, are probed group by group for the vectors whose sum plus the bound of the rest still
+competes. The threshold is the k-th score of a few seed vectors and does not rise while a cell is scanned, so that little is
+pruned; results are exact all the same. The bound of the rest is the smaller of the terms' bounds and the product of the norms of what is
 left. The shards' best k are merged by a window.
 
 Rows: vectors that are null or hold null or non-finite components take no part; vectors of different length are
