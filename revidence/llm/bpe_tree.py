@@ -7,12 +7,13 @@ bytes gives these two tokens again; a sequence of tokens all of whose neighbours
 bytes, so nothing outside the window can change. Decoding concatenates the tokens' bytes pairwise up a tree.
 
 Rows: null and empty texts have no tokens and decode to nothing. Whole texts are encoded, in pieces; memory per task is one Arrow
-batch, and caches that are emptied at ``CACHE`` entries (pairs: three times as many). Repeated rows are encoded each. An empty table gives an empty result.
+batch, and caches of at most ``CACHE`` bytes (matches) and ``PARTS`` entries (short parts and pairs). Repeated rows are encoded each. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 from collections.abc import Iterator
 
@@ -24,7 +25,10 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from revidence.llm.common import released
 
-CACHE = 300_000
+#: Bytes of matches and their ids that a worker keeps, with OVERHEAD an entry for the objects; entries of short parts and of pairs.
+CACHE, OVERHEAD, PARTS = 48 << 20, 240, 100_000
+#: Longest window that is scanned for its next pair.
+SCAN = 48
 #: Bytes of output that a task gathers before it hands them on.
 CHUNK = 8 << 20
 
@@ -36,14 +40,28 @@ class Tokenizer:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
         self.bytes_of = {r: t for t, r in self.ranks.items()}
+        self.none = 1 + max(self.bytes_of)                       # above all ranks
         self.pattern = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.compatible: dict[tuple[int, int], bool] = {}
         self.parts: dict[bytes, tuple[int, ...]] = {}
         self.matches = _Matches(self)
 
     def merge(self, data: bytes) -> list[int]:
-        """BPE of a window: the pair of lowest rank first, the leftmost of equals."""
+        """BPE of a window: the pair of lowest rank first, the leftmost of equals. A short window is scanned, a long one has a heap."""
         n = len(data)
+        if n <= SCAN:
+            rank, none = self.ranks, self.none
+            parts = [data[i:i + 1] for i in range(n)]
+            pairs = [rank.get(data[i:i + 2], none) for i in range(n - 1)]
+            while pairs and (r := min(pairs)) < none:
+                i = pairs.index(r)
+                parts[i] += parts.pop(i + 1)
+                del pairs[i]
+                if i < len(pairs):
+                    pairs[i] = rank.get(parts[i] + parts[i + 1], none)
+                if i:
+                    pairs[i - 1] = rank.get(parts[i - 1] + parts[i], none)
+            return [rank[p] for p in parts]
         parts = [data[i:i + 1] for i in range(n)]
         after, before, rank = [*range(1, n + 1)], [*range(-1, n - 1)], self.ranks
         heap = [(r, i) for i in range(n - 1) if (r := rank.get(data[i:i + 2])) is not None]
@@ -65,7 +83,7 @@ class Tokenizer:
     def fit(self, a: int, b: int) -> bool:
         known = self.compatible.get((a, b))
         if known is None:
-            if len(self.compatible) > 3 * CACHE:
+            if len(self.compatible) >= PARTS:
                 self.compatible.clear()
             known = self.compatible[a, b] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return known
@@ -93,15 +111,13 @@ class Tokenizer:
             cut = 1 << ((len(data) - 1).bit_length() - 1)
             known = self.join(self.tree(data[:cut]), self.tree(data[cut:]))
             if len(data) <= 16:
-                if len(self.parts) > CACHE:
+                if len(self.parts) >= PARTS:
                     self.parts.clear()
                 self.parts[data] = known
         return known
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if len(self.matches) > CACHE:
-            self.matches.clear()
         return b"".join(map(self.matches.__getitem__, self.pattern.findall(text)))
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -116,14 +132,18 @@ class _Matches(dict):
 
     def __init__(self, tokenizer: Tokenizer):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.held = tokenizer, 0
 
     def __missing__(self, match: str) -> bytes:
         data, t = match.encode(), self.tokenizer
         whole = t.ranks.get(data)
         out = np.array(t.tree(data) if whole is None else (whole,), "<u4").tobytes()
         if len(data) <= 64:
+            if self.held >= CACHE:
+                self.clear()
+                self.held = 0
             self[match] = out
+            self.held += OVERHEAD + len(data) + len(out)
         return out
 
 
@@ -174,3 +194,19 @@ def decode(encoded: DataFrame, *, path: str, pattern: str) -> DataFrame:
         _loaded.clear()
     rows = encoded.select("doc_id", "ids", "n_tokens")
     return rows.mapInArrow(released(run), StructType([*rows.schema.fields, StructField("decoded", BinaryType())]))
+
+
+def digests(docs: DataFrame, *, path: str, pattern: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: each text is encoded and its ids decoded in one worker, which hands on digests only."""
+    def run(batches):
+        t = tokenizer(path, pattern)
+        for b in batches:
+            rows = []
+            for text in b.column(1):
+                ids = t.encode(text.as_py() or "")
+                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(t.decode(np.frombuffer(ids, "<u4"))).hexdigest()))
+            made = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *made], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        _loaded.clear()
+    rows = docs.select("doc_id", "text")
+    return rows.mapInArrow(released(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

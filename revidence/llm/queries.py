@@ -40,9 +40,7 @@ def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
 
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
-    files = {"path": public_tokenizers.path(RANKS), "pattern": public_tokenizers.PATTERN}
-    out = bpe_tree.decode(bpe_tree.encode(docs, **files), **files)
-    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe_tree.digests(docs, path=public_tokenizers.path(RANKS), pattern=public_tokenizers.PATTERN)
 
 
 @query
@@ -184,7 +182,8 @@ JOIN folded x ON x.name = l.grp AND x.leafpos = l.pos, root"""
 
 SQL["op13_collocations"] = r"""
 WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) AS p FROM documents),
+-
+]')) AS p FROM documents),
 w AS (SELECT lang, regexp_extract_all(p, '[^ 	]+') AS w FROM p),
 g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 6) t(k) WHERE len(w) >= k),
 f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),

@@ -17,7 +17,7 @@ TABLES = ("documents", "embeddings", "pages", "labels")
 
 def test_one_query_a_number_and_the_pipeline():
     names = list(E.queries())
-    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)] == [1] * 13 and "pipeline" in names
     assert set(queries.SQL) <= set(queries.QUERIES)
 
 
@@ -38,9 +38,27 @@ def test_repeats_query_equals_brute_force(spark):
     assert {tuple(r) for r in queries.op3_repeated_passages(spark, SF).collect()} == want
 
 
-def test_tokens_query_round_trip(spark):
-    want = {r.doc_id: hashlib.sha256((r.text or "").encode()).hexdigest() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    assert {r.doc_id: r.decoded_sha256 for r in queries.op8_bpe_tree(spark, SF).collect()} == want
+def test_tokens_query_equals_tiktoken(spark):
+    """The digests of ids and decoded bytes, against the library itself."""
+    import base64
+
+    import numpy as np
+    import public_tokenizers
+    import tiktoken
+    with open(public_tokenizers.path(queries.RANKS), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
+    reference = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + [(-1, None), (-2, ""), (-3, "a" * 70_000 + " é" * 9), (-3, "<|endoftext|> x"), (None, "null id")]
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    want = []
+    for i, t in rows:
+        ids = reference.encode_ordinary(t or "")
+        want.append((i, len(ids), sha(np.array(ids, "<u4").tobytes()), sha((t or "").encode())))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as ids", "2 as n_tokens").repartition(3)
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in queries.bpe_digests(docs).collect())
+    files = {"path": public_tokenizers.path(queries.RANKS), "pattern": public_tokenizers.PATTERN}
+    apart = queries.bpe_tree.decode(queries.bpe_tree.encode(docs, **files), **files).collect()
+    assert sorted(str((r.doc_id, r.n_tokens, sha(r.ids), sha(r.decoded))) for r in apart) == sorted(map(str, want))
 
 
 def test_stages_take_effect(spark):
