@@ -29,10 +29,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of documents linked at 5-word shingles and a similarity of 0.8 the smallest id stays; of rows repeated with one
-    id one stays. Rows without an id stay."""
+    id the one with the smallest text stays (then lang, source, n_chars; null first). Rows without an id stay."""
     found = ngram_join.near_duplicates(docs, n=5, percent=80)
     kept = found.where(F.col("component_id") == F.col("doc_id")).select("doc_id").distinct()
-    named = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    first = F.min(F.struct(*COLUMNS[1:])).alias("first")
+    named = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(first).select("doc_id", "first.*")
     return named.unionByName(docs.where(F.col("doc_id").isNull()).select(*COLUMNS))
 
 
