@@ -2,10 +2,17 @@
 
 Texts are gathered in blocks of one language; a block keeps its words as numbers into its own dictionary, so that equality inside a
 block is exact. Words get polynomial fingerprints of their bytes, phrases polynomial fingerprints of their words: numpy prefix sums give
-the fingerprint of every n-gram at once. Blocks send (fingerprint, count) of their distinct n-grams, dealt by fingerprint, and
-hear which of theirs reach ``at_least`` over all blocks; only those are extended by a word (a phrase is never more frequent than its
-parts), and only those are written out as text, through a pointer to an occurrence in the block. The counts that are
-reported are summed over these texts, so two phrases that share a fingerprint are told apart.
+the fingerprint of every n-gram at once. Two rounds, for the lengths of ROUNDS:
+
+1. Blocks send the fingerprints of their distinct n-grams with counts, packed and dealt by fingerprint, and hear back a bit each: does
+   it reach ``at_least`` over all blocks? Only those are extended to the next round's lengths (a phrase is never more frequent than its
+   parts), so nearly all fingerprints travel once and no text does.
+2. Of what is left, blocks send the fingerprint with a second one over other bases and the counts are summed over both, so that phrases
+   which share a fingerprint are told apart. Inside a block occurrences are compared word by word. The lowest block that holds a
+   phrase has the occurrence pointer and writes its text; where a collision leaves a phrase without a text, a block that holds it is
+   asked for it. Only frequent phrases are ever written out.
+
+A phrase is known by its bucket and two 32-bit values; buckets grow in number with the text, and so does the length of what is compared.
 
 Rows: a null text is empty, a null language is ``und``. Very long texts make a block of their own and are never cut; n-grams do not
 cross pieces, documents or languages. Ties are ordered by the phrase. Repeated rows count each. Only the named columns are read. An empty
@@ -23,16 +30,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from revidence.llm.blocks import binary, look_up, mixed, table
+from revidence.llm.blocks import binary, mixed, table
 from revidence.llm.common import released, released_group, written
 
 BLOCK_BYTES = 4 << 20
-#: Odd bases modulo 2^64 of the polynomials over bytes and over words.
-BYTE_BASE, WORD_BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-#: One table holds three kinds of rows: STATE (a block), KEYS (its fingerprints for a bucket), PHRASES (its frequent phrases).
-STATE, KEYS, PHRASES = 0, 1, 2
-ROWS = "kind int, block long, lang string, bucket long, keys binary, counts binary, words binary, ends binary, codes binary, phrases array<string>, ns array<long>"
-TOLD = "block long, keys binary"
+#: Odd bases modulo 2^64 of the polynomials over bytes and over words, of the fingerprint and of the one that tells collisions apart.
+BYTE_BASES = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+WORD_BASES = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
+#: Lengths of phrases that are counted in one round.
+ROUNDS = (1, 2), (3, 4, 5)
+#: One table holds four kinds of rows: a block; its fingerprints of a bucket; what is left of them, with second fingerprints; its phrases.
+STATE, KEYS, CHECKS, PHRASES = 0, 1, 2, 3
+ROWS = ("kind int, block long, lang string, bucket long, keys binary, counts binary, checks binary, words binary, lengths binary, codes binary, n long, "
+        "phrases array<struct<n:int,phrase:string,key:long,check:long>>")
+TOLD = "block long, bucket long, size int, enough binary, first binary"
+SUMS = "block long, key long, check long, f long"
 
 _WORD, _SPACE, _CUT = 0, 1, 2
 _KIND = np.zeros(256, np.uint8)
@@ -78,48 +90,95 @@ def numbered(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return words, word_ends[1:], codes
 
 
-def _seed(lang: str) -> np.uint64:
-    return np.uint64(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little"))
+def _prints(words: np.ndarray, lengths: np.ndarray, lang: str, which: int) -> np.ndarray:
+    """Fingerprint of each word, seeded by the language; 0 for the code 0."""
+    ends = np.cumsum(lengths)
+    seed = np.uint64(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little"))
+    h = fingerprints(words.astype(np.uint64) + np.uint64(1), ends - lengths, ends, BYTE_BASES[which])
+    return np.concatenate([np.zeros(1, np.uint64), mixed(mixed(h ^ lengths.astype(np.uint64)) ^ seed)])
+
+
+def _grams(codes: np.ndarray, prints: np.ndarray, at: np.ndarray, n: int, which: int) -> np.ndarray:
+    """Fingerprints of the n-grams at the given places."""
+    return mixed(fingerprints(prints[codes], at, at + n, WORD_BASES[which]) + np.uint64(n))
+
+
+def _places(codes: np.ndarray, n: int, good: np.ndarray | None) -> np.ndarray:
+    """Where n-grams without a 0 stand; with ``good`` (places of good m-grams, m < n) those all of whose m-grams are good."""
+    if len(codes) < n:
+        return np.zeros(0, np.int64)
+    if good is None:
+        free = np.concatenate([[0], np.cumsum(codes == 0)])
+        return np.flatnonzero(free[n:] == free[:-n])
+    m, marks = good
+    seen = np.concatenate([[0], np.cumsum(marks)])
+    width = n - m + 1
+    return np.flatnonzero(seen[width:len(codes) - m + 2] - seen[:len(codes) - n + 1] == width)
 
 
-def _top(prints: np.ndarray, bits: int) -> np.ndarray:
-    return prints & np.uint64((1 << 64) - (1 << (64 - bits)))
+def _dealt(h: np.ndarray, buckets: int, bits: int) -> np.ndarray:
+    """bucket << 32 | 32-bit key of fingerprints: top and low half."""
+    key = h & np.uint64((1 << bits) - 1)
+    return ((((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)) << np.uint64(32)) | key
 
 
-def _word_prints(words: np.ndarray, ends: np.ndarray, lang: str, bits: int) -> np.ndarray:
-    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    h = fingerprints(words.astype(np.uint64) + np.uint64(1), starts, ends.astype(np.int64), BYTE_BASE)
-    return _top(mixed(mixed(h ^ (ends - starts).astype(np.uint64)) ^ _seed(lang)), bits)
+def _planes(values: np.ndarray) -> bytes:
+    """32-bit values as four planes of bytes: the high ones are nearly all zero and compress away."""
+    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
-def gram_prints(codes: np.ndarray, prints: np.ndarray, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, fingerprints) of all n-grams without a 0 in them."""
-    free = np.concatenate([[0], np.cumsum(codes == 0)])
-    at = np.flatnonzero(free[n:] == free[:-n]) if len(codes) >= n else np.zeros(0, np.int64)
-    values = np.concatenate([np.zeros(1, np.uint64), prints])[codes]
-    return at, _top(mixed(fingerprints(values, at, at + n, WORD_BASE) + np.uint64(n)), bits)
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-def _keys(block: int, lang: str, keys: np.ndarray, counts: np.ndarray, buckets: int) -> Iterator[tuple]:
-    """KEYS rows of a block's distinct fingerprints, sorted; a bucket is a range of their top bits."""
-    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    cut = [0, *(np.flatnonzero(np.diff(bucket)) + 1), len(keys)] if len(keys) else [0]
+def _buckets_of(dealt: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(bucket, from, to) of sorted dealt keys."""
+    bucket = (dealt >> np.uint64(32)).astype(np.int64)
+    cut = [0, *(np.flatnonzero(np.diff(bucket)) + 1), len(bucket)] if len(bucket) else [0]
     for a, b in zip(cut, cut[1:]):
-        yield KEYS, block, lang, int(bucket[a]), keys[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes(), None, None, None, None, None
+        yield int(bucket[a]), a, b
+
+
+def _packed_keys(dealt: np.ndarray) -> bytes:
+    """Sorted keys of one bucket as differences."""
+    return _planes(np.diff(dealt & np.uint64(0xFFFFFFFF), prepend=np.uint64(0)))
+
+
+def _keys_of(data: bytes) -> np.ndarray:
+    return np.cumsum(_from_planes(data), dtype=np.uint64)
+
 
+def _rows(rows: list[dict]) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    fields = [f.split(" ", 1) for f in ROWS.split(", ")]
+    phrase = pa.list_(pa.struct([("n", pa.int32()), ("phrase", pa.string()), ("key", pa.int64()), ("check", pa.int64())]))
+    return pa.table({name: pa.array([r.get(name) for r in rows], kinds.get(kind, phrase)) for name, kind in fields})
 
-def _state(block: int, lang: str, words: np.ndarray, ends: np.ndarray, codes: np.ndarray) -> tuple:
-    n = [int(np.count_nonzero(codes))]
-    return STATE, block, lang, None, None, None, words.tobytes(), ends.astype(np.uint32).tobytes(), codes.astype(np.uint32).tobytes(), None, n
 
+def _state(block: int, lang: str, words: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> dict:
+    return {"kind": STATE, "block": block, "lang": lang, "words": words.tobytes(), "lengths": _planes(lengths), "n": int(np.count_nonzero(codes)),
+            "codes": pa.compress(codes.astype("<u4"), "zstd", asbytes=True), "bucket": len(codes)}
 
-def _row_batches(rows: list[tuple]) -> pa.Table:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<string>": pa.list_(pa.string()), "array<long>": pa.list_(pa.int64())}
-    return pa.table({f.split(" ")[0]: pa.array([r[i] for r in rows], kinds[f.split(" ")[1]]) for i, f in enumerate(ROWS.split(", "))})
 
+def _of_state(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    codes = pa.decompress(row["codes"], 4 * row["bucket"], "zstd", asbytes=True)
+    return np.frombuffer(row["words"], np.uint8), _from_planes(row["lengths"]).astype(np.int64), np.frombuffer(codes, "<u4")
 
-def gather(docs: DataFrame, buckets: int, size: int, bits: int) -> DataFrame:
-    """ROWS: texts as blocks of about ``size`` bytes of one language, and the fingerprints of their words."""
+
+def _round(codes: np.ndarray, prints: np.ndarray, lengths: tuple[int, ...], good, buckets: int, bits: int) -> tuple[list[tuple[int, np.ndarray]], np.ndarray]:
+    """([(n, places)], dealt keys of all of them in that order)."""
+    places = [(n, _places(codes, n, good)) for n in lengths]
+    return places, np.concatenate([np.zeros(0, np.uint64), *[_dealt(_grams(codes, prints, at, n, 0), buckets, bits) for n, at in places]])
+
+
+def _key_rows(block: int, lang: str, dealt: np.ndarray) -> Iterator[dict]:
+    keys, counts = np.unique(dealt, return_counts=True)
+    for bucket, a, b in _buckets_of(keys):
+        yield {"kind": KEYS, "block": block, "lang": lang, "bucket": bucket, "keys": _packed_keys(keys[a:b]), "counts": _planes(counts[a:b])}
+
+
+def gather(docs: DataFrame, lengths: tuple[int, ...], buckets: int, size: int, bits: int) -> DataFrame:
+    """ROWS: texts as blocks of about ``size`` bytes of one language, and the fingerprints of the first round."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[bytes]] = {}
         bytes_of: dict[str, int] = {}
@@ -127,21 +186,15 @@ def gather(docs: DataFrame, buckets: int, size: int, bits: int) -> DataFrame:
 
         def flush(lang: str) -> Iterator[pa.RecordBatch]:
             nonlocal made
-            data = np.frombuffer(b"\n".join(held.pop(lang)), np.uint8)
+            words, ends, codes = numbered(np.frombuffer(b"\n".join(held.pop(lang)), np.uint8))
             del bytes_of[lang]
-            block, made = (task << 32) + made, made + 1
-            words, ends, codes = numbered(data)
-            prints = _word_prints(words, ends, lang, bits)
-            order = np.argsort(prints, kind="stable")
-            counts = np.bincount(codes, minlength=len(ends) + 1)[1:]
-            keys, first = np.unique(prints[order], return_index=True)
-            rows = [_state(block, lang, words, ends, codes), *(_keys(block, lang, keys, np.add.reduceat(counts[order], first), buckets) if len(keys) else ())]
-            yield from _row_batches(rows).to_batches()
+            block, made, sizes = (task << 32) + made, made + 1, np.diff(ends, prepend=0)
+            dealt = _round(codes, _prints(words, sizes, lang, 0), lengths, None, buckets, bits)[1]
+            yield from _rows([_state(block, lang, words, sizes, codes), *_key_rows(block, lang, dealt)]).to_batches()
 
         for b in batches:
             for text, lang in zip(b.column(0), b.column(1)):
-                name = lang.as_py()
-                data = text.as_buffer()
+                name, data = lang.as_py(), text.as_buffer()
                 held.setdefault(name, []).append(data.to_pybytes() if data is not None else b"")
                 bytes_of[name] = bytes_of.get(name, 0) + len(held[name][-1])
                 if bytes_of[name] >= size or sum(bytes_of.values()) >= 4 * size:
@@ -153,109 +206,174 @@ def gather(docs: DataFrame, buckets: int, size: int, bits: int) -> DataFrame:
 
 
 def frequent(rows: DataFrame, at_least: int) -> DataFrame:
-    """TOLD: for each block the fingerprints it sent whose counts add up to ``at_least`` over all blocks."""
+    """TOLD: a row for each KEYS row, a bit a key: do its counts add up to ``at_least``, and is this the lowest block that has it."""
     def add(t: pa.Table) -> pa.Table:
-        keys, counts = binary(t["keys"])[0].view(np.uint64), binary(t["counts"])[0].view(np.uint32)
-        sizes = np.diff(binary(t["counts"])[1]) // 4
-        order = np.argsort(keys, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) != 0])) if len(keys) else np.zeros(0, np.int64)
-        enough = np.zeros(len(keys), bool)
-        if len(keys):
-            total = np.add.reduceat(counts[order].astype(np.int64), first)
-            enough[order] = np.repeat(total >= at_least, np.diff(np.append(first, len(keys))))
-        out, at = [], 0
-        for block, n in zip(t["block"].to_numpy(), sizes):
-            mine = enough[at:at + n]
-            if mine.any():
-                out.append((int(block), keys[at:at + n][mine].tobytes()))
+        sent = sorted(zip(*[t[c].to_pylist() for c in ("block", "bucket", "keys", "counts")]))
+        keys, counts = np.concatenate([_keys_of(r[2]) for r in sent]), np.concatenate([_from_planes(r[3]) for r in sent])
+        _, first, back = np.unique(keys, return_index=True, return_inverse=True)
+        total = np.zeros(len(first), np.int64)
+        np.add.at(total, back, counts.astype(np.int64))
+        enough, owns, at, out = (total >= at_least)[back], np.zeros(len(keys), bool), 0, []
+        owns[first] = True
+        for block, bucket, data, _ in sent:
+            n = len(data) // 4
+            out.append((block, bucket, n, np.packbits(enough[at:at + n]).tobytes(), np.packbits(owns[at:at + n]).tobytes()))
             at += n
         return table(out, TOLD)
     return rows.where(F.col("kind") == KEYS).select("bucket", "block", "keys", "counts").groupBy("bucket").applyInArrow(released_group(add), TOLD)
 
 
-def _texts(words: bytes, ends: np.ndarray, codes: np.ndarray, at: np.ndarray, n: int) -> list[str]:
-    """The phrases at the given places, words joined by a space."""
-    starts = np.concatenate([[0], ends[:-1]])
-    used, back = np.unique(codes[at[:, None] + np.arange(n)] - 1, return_inverse=True)
-    said = [words[starts[i]:ends[i]].decode() for i in used]
-    return [" ".join([said[j] for j in row]) for row in back.reshape(len(at), n).tolist()]
+def _phrases(words: np.ndarray, lengths: np.ndarray, grams: np.ndarray) -> list[str]:
+    """Texts of n-grams of codes, words joined by a space."""
+    data, ends = words.tobytes(), np.cumsum(lengths)
+    used, back = np.unique(grams, return_inverse=True)
+    said = [data[ends[i - 1] - lengths[i - 1]:ends[i - 1]].decode() for i in used]
+    return [" ".join([said[j] for j in row]) for row in back.reshape(grams.shape).tolist()]
 
 
-def extend(rows: DataFrame, told: DataFrame, n: int, longest: int, buckets: int, bits: int) -> DataFrame:
-    """ROWS of the next round: the frequent n-grams of every block as PHRASES with their counts in the block, the words that are left, and the
-    fingerprints of the (n + 1)-grams both of whose n-grams are frequent."""
+def _groups(codes: np.ndarray, at: np.ndarray, n: int, dealt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first occurrence, count) of each n-gram among those at ``at``: one a key, told apart by their words where keys collide."""
+    grams = codes[at[:, None] + np.arange(n)]
+    _, first, back, counts = np.unique(dealt, return_index=True, return_inverse=True, return_counts=True)
+    if (grams != grams[first[back]]).any():
+        _, first, counts = np.unique(grams, axis=0, return_index=True, return_counts=True)
+    return first, counts
+
+
+def advance(rows: DataFrame, told: DataFrame, lengths: tuple[int, ...], good: int | None, after: tuple[int, ...], buckets: int, bits: int) -> DataFrame:
+    """ROWS of the next round: CHECKS of what is frequent, PHRASES of it where this block is the lowest, KEYS of the lengths ``after`` all of whose
+    parts of max(``lengths``) words are frequent, and the block with its other words set to 0. ``good``: parts of that many words, where they have no 0 inside, were
+    frequent in the round before."""
     def step(state: pa.Table, told: pa.Table) -> pa.Table:
         if not state.num_rows:
-            return _row_batches([])
+            return _rows([])
         row = state.to_pylist()[0]
         block, lang = row["block"], row["lang"]
-        ends = np.frombuffer(row["ends"], np.uint32).astype(np.int64)
-        codes = np.frombuffer(row["codes"], np.uint32)
-        words = row["words"]
-        known = np.sort(np.frombuffer(b"".join(told["keys"].to_pylist()), np.uint64))
-        if not len(known):
-            return _row_batches([])
-        prints = _word_prints(np.frombuffer(words, np.uint8), ends, lang, bits)
-        if n == 1:
-            good = np.concatenate([[False], look_up(prints, known, np.ones(len(known), np.uint8), 0) == 1])
-            at = np.flatnonzero(good[codes])
-            groups = codes[at].astype(np.int64)
-        else:
-            at, h = gram_prints(codes, prints, n, bits)
-            hit = look_up(h, known, np.ones(len(known), np.uint8), 0) == 1
-            at, groups = at[hit], h[hit]
-        # one group per phrase: by fingerprint, told apart by its words where two share one
-        grams = codes[at[:, None] + np.arange(n)]
-        _, first, back, counts = np.unique(groups, return_index=True, return_inverse=True, return_counts=True)
-        odd = (grams != grams[first[back]]).any(axis=1)
-        if odd.any():
-            _, first, back, counts = np.unique(grams, axis=0, return_index=True, return_inverse=True, return_counts=True)
-        out = [(PHRASES, block, lang, None, None, None, None, None, None, _texts(words, ends, codes, at[first], n), counts.tolist())]
-        if n < longest:
-            starts = np.zeros(len(codes) + 1, bool)
-            starts[at] = True
-            both = starts[:-1] & starts[1:]                             # n-grams at i and i + 1: an (n + 1)-gram at i
-            keep = np.zeros(len(codes) + n + 1, bool)
-            for j in range(n + 1):
-                keep[j:j + len(codes)] |= both
-            keep = keep[:len(codes)]
-            left = np.where(keep, codes, 0)
-            apart = keep.copy()
-            apart[1:] |= keep[:-1]                                      # one 0 after each stretch
-            left = left[apart]
-            if keep.any():
+        words, sizes, codes = _of_state(row)
+        prints = _prints(words, sizes, lang, 0)
+        marked = _marks(row, codes, good)
+        places, dealt = _round(codes, prints, lengths, marked, buckets, bits)
+        keys, back = np.unique(dealt, return_inverse=True)
+        answers = sorted(zip(*[told[c].to_pylist() for c in ("bucket", "size", "enough", "first")]))
+        bit = lambda k: np.concatenate([np.zeros(0, bool), *[np.unpackbits(np.frombuffer(x[k], np.uint8), count=x[1]).astype(bool) for x in answers]])
+        enough, owns = bit(2), bit(3)
+        if len(enough) != len(keys):
+            raise RuntimeError(f"block {block}: {len(enough)} answers to {len(keys)} fingerprints")
+        second = _prints(words, sizes, lang, 1)
+        out, sent, done, top = [], [], 0, None
+        for n, at in places:
+            mine = back[done:done + len(at)]
+            done += len(at)
+            hit = enough[mine]
+            at, mine = at[hit], mine[hit]
+            first, counts = _groups(codes, at, n, mine)
+            check = _grams(codes, second, at[first], n, 1) & np.uint64(0xFFFFFFFF)
+            sent.append((keys[mine[first]], check, counts))
+            owned = owns[mine[first]]
+            texts = _phrases(words, sizes, codes[at[first[owned]][:, None] + np.arange(n)])
+            out += [{"n": n, "phrase": x, "key": k, "check": c} for x, k, c in zip(texts, keys[mine[first]][owned].astype(np.int64).tolist(), check[owned].astype(np.int64).tolist())]
+            top = (n, at)
+        made = [{"kind": PHRASES, "block": block, "lang": lang, "phrases": out}] if out else []
+        key, check, counts = (np.concatenate([x[i] for x in sent]) for i in range(3))
+        order = np.argsort(key, kind="stable")
+        key, check, counts = key[order], check[order], counts[order]
+        made += [{"kind": CHECKS, "block": block, "bucket": bucket, "keys": _packed_keys(key[a:b]), "counts": _planes(counts[a:b]), "checks": check[a:b].astype("<u4").tobytes()}
+                 for bucket, a, b in _buckets_of(key)]
+        if after and len(top[1]):
+            n, at = top
+            marks = np.zeros(len(codes), bool)
+            marks[at] = True
+            keep = np.zeros(len(codes) + n, bool)
+            for p in (_places(codes, after[0], (n, marks))[:, None] + np.arange(after[0])).T:
+                keep[p] = True
+            left = np.where(keep[:len(codes)], codes, 0)
+            marks &= keep[:len(codes)]
+            next_dealt = _round(left, prints, after, (n, marks), buckets, bits)[1]
+            if len(next_dealt):
                 used = np.unique(left[left > 0])
-                new = np.zeros(len(ends) + 1, np.uint32)
-                new[used] = np.arange(1, len(used) + 1)
-                starts_ = np.concatenate([[0], ends[:-1]])
-                parts = [words[starts_[i]:ends[i]] for i in (used - 1)]
-                data, left = np.frombuffer(b"".join(parts), np.uint8), new[left]
-                ends_ = np.cumsum([len(p) for p in parts])
-                out.append(_state(block, lang, data, ends_, left))
-                out += _keys(block, lang, *np.unique(gram_prints(left, prints[used - 1], n + 1, bits)[1], return_counts=True), buckets)
-        return _row_batches(out)
-    state = rows.where(F.col("kind") == STATE).select("block", "lang", "words", "ends", "codes")
+                number = np.zeros(len(sizes) + 1, np.uint32)
+                number[used] = np.arange(1, len(used) + 1)
+                ends = np.cumsum(sizes)
+                data = words.tobytes()
+                kept = np.frombuffer(b"".join([data[ends[i - 1] - sizes[i - 1]:ends[i - 1]] for i in used]), np.uint8)
+                made.append(_state(block, lang, kept, sizes[used - 1], number[left]) | {"checks": np.packbits(marks).tobytes()})
+                made += _key_rows(block, lang, next_dealt)
+        return _rows(made)
+    state = rows.where(F.col("kind") == STATE).select("block", "lang", "words", "lengths", "codes", "bucket", "checks")
     return state.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(released_group(step), ROWS)
 
 
-def phrase_counts(docs: DataFrame, longest: int = 5, at_least: int = 100, size: int = BLOCK_BYTES, bits: int = 64) -> tuple[DataFrame, DataFrame]:
-    """((lang, phrase, words, f) of all phrases of 1 to ``longest`` words that occur ``at_least`` times, words joined by a space;
-    (lang, n) with the number of all words). Both are written tables. Fewer ``bits`` of the fingerprints make more collisions, which cost
-    time and change nothing."""
+def _marks(row: dict, codes: np.ndarray, good: int | None):
+    """(m, places of the frequent m-grams) of a block of a later round."""
+    return None if good is None else (good, np.unpackbits(np.frombuffer(row["checks"], np.uint8), count=len(codes)).astype(bool))
+
+
+def sums(rows: DataFrame, at_least: int) -> DataFrame:
+    """SUMS: the phrases whose counts, over both fingerprints, reach ``at_least``, with the lowest block that has each."""
+    def add(t: pa.Table) -> pa.Table:
+        sent = sorted(zip(*[t[c].to_pylist() for c in ("block", "bucket", "keys", "checks", "counts")]))
+        keys, counts = np.concatenate([_keys_of(r[2]) for r in sent]), np.concatenate([_from_planes(r[4]) for r in sent]).astype(np.int64)
+        pair = (keys << np.uint64(32)) | np.concatenate([np.frombuffer(r[3], "<u4") for r in sent]).astype(np.uint64)
+        both, first, back = np.unique(pair, return_index=True, return_inverse=True)
+        total = np.zeros(len(both), np.int64)
+        np.add.at(total, back, counts)
+        blocks = np.repeat(np.array([r[0] for r in sent], np.int64), [len(r[2]) // 4 for r in sent])[first]
+        keep = total >= at_least
+        key = (np.int64(sent[0][1]) << np.int64(32)) | (both[keep] >> np.uint64(32)).astype(np.int64)
+        return pa.table({"block": blocks[keep], "key": key, "check": (both[keep] & np.uint64(0xFFFFFFFF)).astype(np.int64), "f": total[keep]})
+    return rows.where(F.col("kind") == CHECKS).select("bucket", "block", "keys", "checks", "counts").groupBy("bucket").applyInArrow(released_group(add), SUMS)
+
+
+def fetch(rows: DataFrame, wanted: DataFrame, lengths: tuple[int, ...], buckets: int, bits: int) -> DataFrame:
+    """lang, n, phrase, key, check of phrases that no lowest block wrote (their fingerprint is shared): looked up in a block that has them."""
+    schema = "lang string, n int, phrase string, key long, check long"
+
+    def look(state: pa.Table, wanted: pa.Table) -> pa.Table:
+        out = []
+        if state.num_rows and wanted.num_rows:
+            row = state.to_pylist()[0]
+            words, sizes, codes = _of_state(row)
+            prints, second = (_prints(words, sizes, row["lang"], i) for i in (0, 1))
+            asked = set(zip(wanted["key"].to_pylist(), wanted["check"].to_pylist()))
+            some = np.array(sorted({k for k, _ in asked}), np.uint64)
+            for n in lengths:
+                at = _places(codes, n, None)
+                dealt = _dealt(_grams(codes, prints, at, n, 0), buckets, bits)
+                at, dealt = at[np.isin(dealt, some)], dealt[np.isin(dealt, some)]
+                if not len(at):
+                    continue
+                grams, first = np.unique(codes[at[:, None] + np.arange(n)], axis=0, return_index=True)
+                check = (_grams(codes, second, at[first], n, 1) & np.uint64(0xFFFFFFFF)).tolist()
+                out += [(row["lang"], n, x, k, c) for x, k, c in zip(_phrases(words, sizes, grams), dealt[first].tolist(), check) if (k, c) in asked]
+        return table(out, schema)
+    state = rows.where(F.col("kind") == STATE).select("block", "lang", "words", "lengths", "codes", "bucket").join(wanted.select("block").distinct(), "block", "left_semi")
+    return state.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(released_group(look), schema)
+
+
+def phrase_counts(docs: DataFrame, longest: int = 5, at_least: int = 100, size: int = BLOCK_BYTES, bits: int = 32) -> tuple[DataFrame, DataFrame]:
+    """((lang, words, phrase, f) of all phrases of 1 to ``longest`` words that occur ``at_least`` times, words joined by a space;
+    (lang, n) with the number of all words). Both are written tables. Fewer ``bits`` of the keys make more collisions, which cost time
+    and change nothing."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // size))
-    rows = written(gather(docs, buckets, size, bits), "grams-1")
-    ns = rows.where(F.col("kind") == STATE).select("lang", F.col("ns")[0].alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
-    found = []
-    for n in range(1, longest + 1):
-        rows = written(extend(rows, frequent(rows, at_least), n, longest, buckets, bits), f"grams-{n + 1}")
-        found.append(rows.where(F.col("kind") == PHRASES).select("lang", F.lit(n).alias("words"), F.explode(F.arrays_zip("phrases", "ns")).alias("x"))
-                     .select("lang", "words", F.col("x.phrases").alias("phrase"), F.col("x.ns").alias("f")))
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionByName(f)
-    counts = every.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= at_least)
-    return written(counts, "phrases"), written(ns, "words")
+    rounds = [r for r in (tuple(n for n in r if n <= longest) for r in ROUNDS) if r] + ([tuple(range(6, longest + 1))] if longest > 5 else [])
+    start = rows = written(gather(docs, rounds[0], buckets, size, bits), "grams-0")
+    ns = rows.where(F.col("kind") == STATE).groupBy("lang").agg(F.sum("n").alias("n"))
+    parts = []
+    for i, lengths in enumerate(rounds):
+        good = rounds[i - 1][-1] if i else None
+        rows = written(advance(rows, frequent(rows, at_least), lengths, good, rounds[i + 1] if i + 1 < len(rounds) else (), buckets, bits), f"grams-{i + 1}")
+        found = written(sums(rows, at_least), f"sums-{i + 1}")
+        texts = rows.where(F.col("kind") == PHRASES).select("lang", F.inline("phrases"))
+        named = texts.join(found.drop("block"), ["key", "check"])
+        lost = written(found.join(texts.select("key", "check"), ["key", "check"], "left_anti"), f"lost-{i + 1}")
+        if lost.limit(1).count():
+            named = named.unionByName(fetch(start, lost, lengths, buckets, bits).join(lost.drop("block"), ["key", "check"]))
+        parts.append(named.select("lang", F.col("n").alias("words"), "phrase", "f"))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return written(every, "phrases"), written(ns, "words")
 
 
 def _small(rows: DataFrame, bound: int = 10_000) -> DataFrame:
@@ -267,7 +385,7 @@ def _sub(words, first, size):
     return F.array_join(F.slice(words, first, size), " ")
 
 
-def collocations(docs: DataFrame, top: int = 2000, longest: int = 5, at_least: int = 100, percent: int = 100, size: int = BLOCK_BYTES, bits: int = 64) -> DataFrame:
+def collocations(docs: DataFrame, top: int = 2000, longest: int = 5, at_least: int = 100, percent: int = 100, size: int = BLOCK_BYTES, bits: int = 32) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: phrases of 2 to ``longest`` words by the score of their weakest cut, floor(1000 a n / (l r)).
 
     A phrase inside a longer candidate that has ``percent`` hundredths of its occurrences is left out; ``top`` are kept a language."""

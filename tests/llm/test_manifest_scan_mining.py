@@ -177,9 +177,9 @@ def _texts(rng, n):
     return ["".join(piece() + rng.choice([". ", ",", "\n", "\r\n", "\t", "  ", "!?"]) for _ in range(rng.randrange(0, 6))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("bits, size", [(64, 600), (64, 4 << 20), (6, 900)])
+@pytest.mark.parametrize("bits, size", [(32, 600), (32, 4 << 20), (4, 900)])
 def test_collocations_equal_brute_force(spark, bits, size):
-    """Many small blocks; one block; fingerprints of 6 bits, where nearly all phrases collide."""
+    """Many small blocks; one block; keys of 4 bits, where all phrases collide."""
     rng = random.Random(size)
     rows = [(t, rng.choice(["en", "en", "de", None, "und"])) for t in _texts(rng, 300)] + [(None, "en"), ("", "fr"), ("a a a a a a a a a a a a", "en"), ("a a a a a a a a a a a a", "en")]
     df = spark.createDataFrame(rows, "text string, lang string").selectExpr("*", "1 as doc_id", "2 as f", "3 as phrase", "4 as words").repartition(5)
