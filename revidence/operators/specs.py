@@ -3,17 +3,20 @@
 A spec document is ``{_id:{$oid}, key, name, specification:{key, more_specification:[{title, data}]}}``
 where ``data`` is a list of strings (leaf), a list of ``{title, data}`` objects (a section; an
 empty list is a section with nothing in it), or a scalar (leaf). Flattening walks the tree
-level by level with ``explode`` (as many levels as the data has, no Python), carries the position path,
+level by level with ``explode`` (no Python) from a worklist of open sections, carries the position path,
 and resolves duplicate keys with ``max_by(value, path)`` = last in document order.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revidence import dims
 from revidence.functions import text as T
+from revidence.session import ensure_checkpoint_dir
 
 
 def parse_spec_docs(raw: DataFrame, json_col: str = "json") -> DataFrame:
@@ -29,35 +32,50 @@ def parse_spec_docs(raw: DataFrame, json_col: str = "json") -> DataFrame:
     )
 
 
-def _object_depth(json: Column) -> Column:
-    """How deep objects are nested in a JSON text, an upper bound of the section levels in it."""
-    braces = F.regexp_replace(F.regexp_replace(F.regexp_replace(json, r"\\.", ""), '"[^"]*"', ""), r"[^{}]", "")
-    depth = lambda s, c: s.d + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)
-    return F.aggregate(F.split(braces, ""), F.struct(F.lit(0).alias("d"), F.lit(0).alias("top")),
-                       lambda s, c: F.struct(depth(s, c).alias("d"), F.greatest(s.top, depth(s, c)).alias("top")), lambda s: s.top)
+#: Levels that one pass over the nodes resolves.
+LEVELS = 4
 
 
 def flatten_specs(docs: DataFrame, id_col: str = "product_id", max_depth: int | None = None) -> DataFrame:
     """(id, spec_key, spec_value): title path joined by '_', spaces -> '_'; list leaves joined by
     a space (items stripped); scalar leaves kept; last duplicate wins; outer '_' stripped.
 
-    The chain has as many levels as the deepest document (one aggregate over ``docs``). A smaller ``max_depth`` keeps what lies
-    deeper as JSON text.
-
-    One linear chain: each level explodes section rows into their children and passes finished
-    leaf rows through unchanged, so no level is recomputed.
+    A worklist: a pass explodes section nodes into their children for LEVELS levels, hands leaves on as they are, and is written; only nodes that are
+    still sections go into the next pass, until none is left. Documents are read once, and no plan is longer than one pass, however
+    deep they are. ``max_depth`` stops there and keeps what lies deeper as JSON text.
     """
-    if max_depth is None:
-        max_depth = max(1, docs.agg(F.max(_object_depth(F.to_json("entries")))).first()[0] or 0)
+    nodes = docs.select(id_col, F.posexplode("entries").alias("p", "e")) \
+        .select(id_col, F.array("p").alias("path"), F.lit("").alias("parent"), "e")
+    done, left, out = 0, True, None
+    while left:
+        levels = LEVELS if max_depth is None else min(LEVELS, max_depth - done)
+        passed = _written_pass(_resolve(nodes, id_col, levels))
+        done += levels
+        open_ = passed.where(F.col("k").isNull())
+        leaves = passed.where(F.col("k").isNotNull()).select(id_col, "path", "k", "spec_value")
+        left = open_.limit(1).count() > 0
+        if left and done == max_depth:
+            e = F.parse_json("rest")
+            key = F.concat_ws("_", "parent", _title(e))
+            leaves = leaves.unionByName(open_.select(id_col, "path", key.alias("k"), F.to_json(F.try_variant_get(e, "$.data", "variant")).alias("spec_value")))
+            left = False
+        out = leaves if out is None else out.unionByName(leaves)
+        nodes = open_.select(id_col, "path", "parent", F.parse_json("rest").alias("e"))
+    key = F.regexp_replace("k", "^_+|_+$", "")
+    return out.groupBy(id_col, key.alias("spec_key")).agg(F.max_by("spec_value", "path").alias("spec_value"))
+
+
+def _title(e: Column) -> Column:
+    return F.replace(T.ws_trim(F.coalesce(F.try_variant_get(e, "$.title", "string"), F.lit(""))), F.lit(" "), F.lit("_"))
+
+
+def _resolve(nodes: DataFrame, id_col: str, levels: int) -> DataFrame:
+    """(id, path, parent, k, spec_value, rest): leaves with their key k, open sections with k null and themselves as JSON text in rest."""
     node_t = "struct<path:array<int>,parent:string,e:variant,k:string,spec_value:string>"
-    rows = docs.select(id_col, F.posexplode("entries").alias("p", "e")).select(
-        id_col, F.struct(F.array(F.col("p")).alias("path"), F.lit("").alias("parent"), F.col("e"),
-                         F.lit(None).cast("string").alias("k"),
-                         F.lit(None).cast("string").alias("spec_value")).alias("n"))
-    for _ in range(max_depth):
+    rows = nodes.select(id_col, F.struct("path", "parent", "e", F.lit(None).cast("string").alias("k"), F.lit(None).cast("string").alias("spec_value")).alias("n"))
+    for _ in range(levels):
         e = F.col("n.e")
-        title = F.replace(T.ws_trim(F.coalesce(F.try_variant_get(e, "$.title", "string"), F.lit(""))),
-                          F.lit(" "), F.lit("_"))
+        title = _title(e)
         data = F.try_variant_get(e, "$.data", "variant")
         arr = F.try_variant_get(data, "$", "array<variant>")
         is_section = arr.isNotNull() & F.forall(arr, lambda x: (
@@ -77,17 +95,14 @@ def flatten_specs(docs: DataFrame, id_col: str = "product_id", max_depth: int |
                .when(is_section, children)
                .otherwise(F.array(leaf))).cast(f"array<{node_t}>")
         rows = rows.select(id_col, F.explode(nxt).alias("n"))
-    # Nodes still unresolved after the last level (documents deeper than max_depth) are kept, not
-    # dropped: their key is the path so far and their value the remaining subtree as JSON text.
-    # One projection handles both cases, so the level chain is evaluated once.
-    e = F.col("n.e")
-    title = F.replace(T.ws_trim(F.coalesce(F.try_variant_get(e, "$.title", "string"), F.lit(""))), F.lit(" "), F.lit("_"))
-    resolved = F.col("n.k").isNotNull()
-    key = F.when(resolved, F.col("n.k")).otherwise(F.concat_ws("_", F.col("n.parent"), title))
-    value = F.when(resolved, F.col("n.spec_value")).otherwise(F.to_json(F.try_variant_get(e, "$.data", "variant")))
-    out = rows.select(id_col, F.col("n.path").alias("path"), F.regexp_replace(key, "^_+|_+$", "").alias("spec_key"),
-                      value.alias("spec_value"))
-    return out.groupBy(id_col, "spec_key").agg(F.max_by("spec_value", "path").alias("spec_value"))
+    return rows.select(id_col, "n.path", "n.parent", "n.k", "n.spec_value", F.to_json("n.e").alias("rest"))
+
+
+def _written_pass(rows: DataFrame) -> DataFrame:
+    """Written to the shared checkpoint folder and read back."""
+    path = f"{ensure_checkpoint_dir(rows.sparkSession).rstrip('/')}/spec-nodes-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def drop_spec_keys(flat: DataFrame, keys=None) -> DataFrame:

@@ -353,8 +353,8 @@ aidx AS (SELECT alias, min(corpus_idx) AS corpus_idx FROM al GROUP BY alias)"""
 
 
 CONV = """heads AS (SELECT conv_id, arg_min(text, turn) AS t0, min(turn) AS t_min FROM conversations GROUP BY conv_id),
-v_posts AS (SELECT conv_id AS post_id, conv_id % 2 AS product_id, conv_id AS pos,
-                   array_to_string(string_split(t0, ' ')[1:8], ' ') AS title,
+v_posts AS (SELECT conv_id AS post_id, (conv_id % 5 = 0)::BIGINT AS product_id, conv_id AS pos,
+                   CASE WHEN conv_id % 3 = 0 THEN t0 ELSE array_to_string(string_split(t0, ' ')[1:8], ' ') END AS title,
                    CASE WHEN conv_id % 3 <> 0 THEN t0 ELSE '' END AS selftext FROM heads),
 v_comments AS (SELECT c.conv_id AS post_id, p.product_id, c.turn AS c_pos, c.text AS body,
                       (CASE WHEN c.turn = 5 THEN NULL ELSE c.turn * 3 END)::BIGINT AS ups, p.title

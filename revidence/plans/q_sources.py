@@ -9,7 +9,7 @@ from revidence.operators import catalog as cat
 from revidence.operators import specs as sp
 from revidence.plans import oracle_sql as O
 from revidence.sources import ingest as ing
-from revidence.sources.bridges import table, v_bundles, v_catalog, v_comments, v_posts, v_spec_docs, v_spec_html
+from revidence.sources.bridges import land_bundles, land_pages, table, v_bundles, v_catalog, v_posts, v_spec_docs, v_spec_html
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -37,42 +37,52 @@ ITEM_SQL = """items AS (SELECT conv_id AS bundle_ord,
 SRC = O.with_(O.CONV, ITEM_SQL)
 
 
-@register("load_bundles", SRC + """SELECT i.bundle_ord, i.product_oid, i.product_is_str, i.product_name,
+@register("load_bundles", SRC + """SELECT (row_number() OVER (ORDER BY i.bundle_ord) - 1)::BIGINT AS bundle_ord, i.product_oid, i.product_is_str, i.product_name,
   coalesce(c.n, 0)::INTEGER AS n_comments, 1 AS n_review_texts
 FROM items i LEFT JOIN (SELECT post_id, count(*) AS n FROM v_comments GROUP BY 1) c ON c.post_id = i.bundle_ord""")
 def q_load_bundles(spark, d):
-    b = bundles(spark, d)
+    """Bundles written as JSON arrays under the shared checkpoint dir and read from the files."""
+    path = ing.scratch_path(spark, "bundles")
+    land_bundles(spark, d, path)
+    b = ing.load_bundles(spark, path)
     return b.select("bundle_ord", "product_oid", "product_is_str", "product_name",
                     F.size("comments").alias("n_comments"), F.size("review_texts").alias("n_review_texts"))
 
 
-@register("post_texts", O.with_(O.CONV) + f"""SELECT product_id, post_id, pos,
+def _listed(spark, d):
+    """(posts, comments) from landed search and comment pages."""
+    path = ing.scratch_path(spark, "pages")
+    land_pages(spark, d, path)
+    search = spark.read.text(f"{path}/search").select(F.col("value").alias("json"), F.col("product_id").cast("bigint").alias("product_id"))
+    posts = ing.post_listings(search).withColumn("post_id", F.col("post_id").cast("bigint"))
+    return posts, ing.comment_listings(spark.read.schema("permalink STRING, json STRING").json(f"{path}/comments"))
+
+
+@register("post_texts", O.with_(O.CONV) + f"""SELECT product_id, post_id, (row_number() OVER (PARTITION BY product_id, post_id // 25 ORDER BY post_id) - 1)::INTEGER AS pos,
   CASE WHEN length({O.ws_trim('selftext')}) > 30 THEN title || '. ' || selftext ELSE title END AS review_text
 FROM v_posts WHERE length({O.ws_trim('selftext')}) > 30 OR title <> ''""")
 def q_post_texts(spark, d):
-    return ing.post_texts(v_posts(spark, d))
+    return ing.post_texts(_listed(spark, d)[0])
 
 
 def _comments_sql(k: int, min_len: int, kept_first: bool) -> str:
+    """Twin over landed pages: posts with a link (post_id % 7 <> 2) and a positive count (% 11 <> 3); positions count from 0."""
     keep = f"length({O.ws_trim('body')}) > {min_len}"
-    if kept_first:
-        inner = f"SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY c_pos) AS rk FROM v_comments WHERE {keep}"
-        where = f"rk <= {k}"
-    else:
-        inner = "SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY c_pos) AS rk FROM v_comments"
-        where = f"rk <= {k} AND {keep}"
-    return (O.with_(O.CONV) + f"SELECT product_id, post_id, c_pos, title || '. ' || body AS body, coalesce(ups, 0)::BIGINT AS ups "
-            f"FROM ({inner}) x WHERE {where}")
+    src = """(SELECT *, (row_number() OVER (PARTITION BY post_id ORDER BY c_pos) - 1)::INTEGER AS nth FROM v_comments
+      WHERE post_id % 7 <> 2 AND post_id % 11 <> 3) s"""
+    ranked = f"SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY nth) AS rk FROM {src}" + (f" WHERE {keep}" if kept_first else "")
+    return (O.with_(O.CONV) + f"SELECT product_id, post_id, nth AS c_pos, title || '. ' || body AS body, coalesce(ups, 0)::BIGINT AS ups "
+            f"FROM ({ranked}) x WHERE rk <= {k} AND {keep}")
 
 
-@register("post_comments", _comments_sql(3, 20, False))
+@register("post_comments", _comments_sql(dims.MAX_COMMENTS_PER_POST, 20, False))
 def q_post_comments(spark, d):
-    return ing.post_comments(v_comments(spark, d), k=3, min_len=20)
+    return ing.post_comments(ing.listed_comments(*_listed(spark, d)), k=dims.MAX_COMMENTS_PER_POST, min_len=20)
 
 
-@register("post_comments_kept", _comments_sql(3, 30, True))
+@register("post_comments_kept", _comments_sql(dims.MAX_COMMENTS_PER_POST, 30, True))
 def q_post_comments_kept(spark, d):
-    return ing.post_comments(v_comments(spark, d), k=3, min_len=30, count_kept_only=True)
+    return ing.post_comments(ing.listed_comments(*_listed(spark, d)), k=dims.MAX_COMMENTS_PER_POST, min_len=30, count_kept_only=True)
 
 
 @register("post_cap", O.with_(O.CONV) + """SELECT post_id, product_id, pos, title, selftext FROM (

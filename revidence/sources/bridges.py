@@ -206,11 +206,13 @@ def _conv_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts of two products (four fifths are product 0): the first turn is title and text, or the title alone in one of three."""
     h = _conv_heads(spark, sf_dir)
-    return h.select(F.col("conv_id").alias("post_id"), (F.col("conv_id") % 2).alias("product_id"),
-                    F.col("conv_id").alias("pos"),
-                    F.array_join(F.slice(F.split("t0", " "), 1, 8), " ").alias("title"),
-                    F.when(F.col("conv_id") % 3 != 0, F.col("t0")).otherwise(F.lit("")).alias("selftext"))
+    cid = F.col("conv_id")
+    link_only = cid % 3 == 0
+    return h.select(cid.alias("post_id"), (cid % 5 == 0).cast("bigint").alias("product_id"), cid.alias("pos"),
+                    F.when(link_only, F.col("t0")).otherwise(F.array_join(F.slice(F.split("t0", " "), 1, 8), " ")).alias("title"),
+                    F.when(~link_only, F.col("t0")).otherwise(F.lit("")).alias("selftext"))
 
 
 def v_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,6 +247,42 @@ def v_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select(cid.alias("bundle_ord"), doc.alias("json"))
 
 
+#: Posts a landed search page holds, bundles a landed JSON array holds.
+PAGE, BUNDLES_A_FILE = 25, 20
+
+
+def _json_member(name: str, value: Column) -> Column:
+    """"name":value of a string column, escaped."""
+    return F.regexp_extract(F.to_json(F.struct(value.alias(name)), {"ignoreNullFields": "false"}), r"(?s)^\{(.*)\}$", 1)
+
+
+def land_bundles(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Bundles as JSON files: arrays of BUNDLES_A_FILE bundles on one line, in order over the files."""
+    b = v_bundles(spark, sf_dir).withColumn("f", F.floor(F.col("bundle_ord") / BUNDLES_A_FILE))
+    arrays = b.groupBy("f").agg(F.sort_array(F.collect_list(F.struct("bundle_ord", "json"))).alias("x")).select(
+        "f", F.concat(F.lit("[ "), F.array_join(F.col("x.json"), ", "), F.lit(" ]")).alias("value"))
+    arrays.repartitionByRange(4, "f").sortWithinPartitions("f").select("value").write.text(path)
+
+
+def land_pages(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Search pages and comment pages as JSON lines, one response a line: path/search/product_id=.., path/comments (permalink, json)."""
+    posts, comments = v_posts(spark, sf_dir), v_comments(spark, sf_dir)
+    n = comments.groupBy("post_id").agg(F.count("*").alias("n"))
+    # posts without a link, and with a link but no comments, so that their comment pages must not be used
+    link = F.concat(F.lit("/r/x/comments/"), F.col("post_id").cast("string"), F.lit("/"))
+    p = posts.join(n, "post_id", "left").withColumn("j", F.concat(
+        F.lit('{"kind":"t3","data":{'), _json_member("id", F.col("post_id").cast("string")), F.lit(","), _json_member("title", F.col("title")), F.lit(","),
+        _json_member("selftext", F.col("selftext")), F.lit(',"num_comments":'), F.when(F.col("post_id") % 11 == 3, 0).otherwise(F.coalesce("n", F.lit(0))).cast("string"),
+        F.when(F.col("post_id") % 7 == 2, F.lit("")).otherwise(F.concat(F.lit(","), _json_member("permalink", link))), F.lit("}}")))
+    search = p.groupBy("product_id", F.floor(F.col("post_id") / PAGE).alias("page")).agg(F.sort_array(F.collect_list(F.struct("pos", "j"))).alias("c"))
+    search.select("product_id", F.concat(F.lit('{"kind":"Listing","data":{"after":null,"children":['), F.array_join(F.col("c.j"), ","), F.lit("]}}")).alias("value")) \
+        .write.partitionBy("product_id").text(f"{path}/search")
+    c = comments.withColumn("j", F.concat(F.lit('{"kind":"t1","data":{'), _json_member("body", F.col("body")), F.lit(',"ups":'), F.coalesce(F.col("ups").cast("string"), F.lit("null")), F.lit("}}")))
+    pages = c.groupBy("post_id").agg(F.sort_array(F.collect_list(F.struct("c_pos", "j"))).alias("c"))
+    pages.select(link.alias("permalink"), F.concat(F.lit('[{"kind":"Listing","data":{"children":[]}},{"kind":"Listing","data":{"children":['), F.array_join(F.col("c.j"), ","), F.lit("]}}]")).alias("json")) \
+        .write.json(f"{path}/comments")
+
+
 def v_spec_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spec pages rendered as tables (th / td.ttl / td.nfo); an untitled continuation row when
     p_partkey % 4 = 0."""

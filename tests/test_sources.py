@@ -1,12 +1,15 @@
 """Goldens for parsers, projections and listings."""
 
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from revidence.operators import catalog as cat
 from revidence.operators import specs
 from revidence.sources import ingest as ing
+from revidence.sources.jsonscan import json_objects
 
 
 def test_spec_html_parser_drops_untitled_rows(spark):
@@ -34,13 +37,92 @@ def test_dense_index_over_many_partitions(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
-def test_oversized_bundle_file_is_refused(spark, tmp_path, monkeypatch):
-    (tmp_path / "a.json").write_text('[{"product": "p_1", "name": "n"}]')
-    assert ing.load_bundles(spark, str(tmp_path)).count() == 1
-    monkeypatch.setattr(ing, "MAX_FILE_BYTES", 10)
-    import pytest
-    with pytest.raises(ValueError):
-        ing.load_bundles(spark, str(tmp_path))
+def _odd_value(rng, depth=0):
+    """Random JSON with braces, quotes and backslashes in its strings."""
+    signs = ["{", "}", "[", "]", '"', "\\", ",", ":", "a", "é", "\n", " "]
+    kind = rng.randrange(7 if depth < 4 else 4)
+    if kind < 2:
+        return "".join(rng.choices(signs, k=rng.randrange(12)))
+    if kind < 4:
+        return rng.choice([None, True, 1, -2.5, 10**12])
+    if kind == 4:
+        return [_odd_value(rng, depth + 1) for _ in range(rng.randrange(4))]
+    return {"".join(rng.choices(signs, k=3)) + str(i): _odd_value(rng, depth + 1) for i in range(rng.randrange(4))}
+
+
+@pytest.mark.parametrize("split", [64, 1000, 1 << 27])
+def test_json_objects_over_any_splits(spark, tmp_path, split):
+    """Files read in splits of a few bytes: what a JSON parser finds, in order."""
+    rng, want = random.Random(split), {}
+    for f in range(6):
+        values = [_odd_value(rng, 4) if rng.random() < 0.3 else {"n": i, "v": _odd_value(rng)} for i in range(rng.randrange(1, 40))]
+        if f == 0:                                                       # objects one after the other
+            values = [v for v in values if isinstance(v, dict)] or [{}]
+            text = "\n".join(json.dumps(v) for v in values)
+        elif f == 1:                                                     # two arrays in a file, pretty-printed
+            text = json.dumps(values[:5], indent=2) + "\n" + json.dumps(values[5:], indent=1, ensure_ascii=False) + "\n"
+        else:
+            text = json.dumps(values, ensure_ascii=bool(f % 2))
+        (tmp_path / f"f{f}.json").write_text(text)
+        want[f"f{f}.json"] = [v for v in values if isinstance(v, dict)]
+    (tmp_path / "empty.json").write_text("")
+    (tmp_path / "none.json").write_text("[]\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        rows = json_objects(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.file, r.record)):
+        assert r.record == len(got.setdefault(r.file.rsplit("/", 1)[1], []))
+        got[r.file.rsplit("/", 1)[1]].append(json.loads(r.json))
+    assert got == {k: v for k, v in want.items() if v}
+
+
+@pytest.mark.parametrize("text", ['[{"a": 1}, {"b"', '[{"a": 1}', '{"a": {"b": 2}', '[{"a": "x}]'])
+def test_a_file_that_is_cut_off_raises(spark, tmp_path, text):
+    (tmp_path / "a.json").write_text(text)
+    with pytest.raises(Exception, match="not whole JSON"):
+        json_objects(spark, str(tmp_path)).collect()
+
+
+def test_a_large_file_is_read_by_many_tasks_and_loses_nothing(spark, tmp_path):
+    bundle = lambda i: {"product": {"$oid": f"p{i}"}, "name": f"n{i}", "comments": [{"body": "x" * 200, "ups": j} for j in range(300)], "review_texts": []}
+    (tmp_path / "big.json").write_text(json.dumps([bundle(i) for i in range(300)]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1 << 20)
+    try:
+        assert spark.read.option("lineSep", "}").text(str(tmp_path)).rdd.getNumPartitions() >= 15
+        got = ing.load_bundles(spark, str(tmp_path)).selectExpr("bundle_ord", "product_oid", "size(comments) n").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r.bundle_ord, r.product_oid, r.n) for r in got) == [(i, f"p{i}", 300) for i in range(300)]
+
+
+def test_a_bundle_beyond_one_variant_raises(spark, tmp_path):
+    """Two bundles, one with 30 million small comments: an error, not an empty row."""
+    with open(tmp_path / "two.json", "w") as f:
+        f.write('[{"product": "p_1", "name": "a", "comments": [], "review_texts": []}, {"product": "p_2", "name": "b", "comments": [')
+        f.write(",".join(["1"] * 30_000_000) + '], "review_texts": []}]')
+    assert json_objects(spark, str(tmp_path)).selectExpr("record", "substring(json, 1, 16) j").collect() == [(0, '{"product": "p_1'), (1, '{"product": "p_2')]
+    with pytest.raises(Exception):
+        ing.load_bundles(spark, str(tmp_path)).select("product_oid").collect()
+
+
+def test_listings(spark):
+    data = lambda *xs: {"kind": "Listing", "data": {"children": [{"kind": "t", "data": x} for x in xs]}}
+    search = [data({"id": "a", "title": "T1", "selftext": "s", "num_comments": 2, "permalink": "/a"}, {"id": "b", "num_comments": 0, "permalink": "/b"}, {"id": "c", "title": None, "num_comments": 4}), {"error": 404}]
+    pages = spark.createDataFrame([(7, json.dumps(s)) for s in search] + [(7, "<html>"), (7, None)], "product_id BIGINT, json STRING")
+    posts = ing.post_listings(pages)
+    assert sorted(tuple(r) for r in posts.select("pos", "post_id", "title", "selftext", "num_comments", "permalink").fillna("-").collect()) == [
+        (0, "a", "T1", "s", 2, "/a"), (1, "b", "", "", 0, "/b"), (2, "c", "", "", 4, "-")]
+    replies = [("/a", json.dumps([data(), data({"body": "first", "ups": 3}, {"body": None}, {"ups": 1}, {"body": "last", "ups": "x"})])), ("/b", json.dumps([data(), data({"body": "unused"})])),
+               ("/a2", json.dumps(data({"body": "no array"}))), ("/a3", json.dumps([data()]))]
+    comments = ing.comment_listings(spark.createDataFrame(replies, "permalink STRING, json STRING"))
+    got = ing.listed_comments(posts, comments).orderBy("c_pos").collect()
+    assert [(r.post_id, r.title, r.c_pos, r.body, r.ups) for r in got] == [("a", "T1", 0, "first", 3), ("a", "T1", 1, None, None), ("a", "T1", 2, None, 1), ("a", "T1", 3, "last", None)]
+    assert [r.body for r in ing.post_comments(ing.listed_comments(posts, comments), k=20, min_len=3).orderBy("c_pos").collect()] == ["T1. first", "T1. last"]
 
 
 def test_flatten_specs_cases(spark):
@@ -152,3 +234,15 @@ def test_flatten_specs_has_no_depth_limit(spark):
     df = spark.createDataFrame([(json.dumps(d),) for d in docs], "json STRING")
     flat = {r.spec_key: r.spec_value for r in specs.flatten_specs(specs.parse_spec_docs(df)).collect()}
     assert flat == {"_".join(f"L{i}" for i in range(1, 12)) + '_quote_"_and_{brace': "x", "Flat_}_\\": "y"}
+
+
+def test_flatten_of_500_levels(spark):
+    """A worklist: the plan does not grow with the data. Levels with leaves beside the next section."""
+    node = {"title": "L500", "data": ["bottom"]}
+    for i in range(499, 0, -1):
+        node = {"title": f"L{i}", "data": [{"title": f"S{i}", "data": [f"v{i}"]}, node] if i % 100 == 0 else [node]}
+    df = spark.createDataFrame([(json.dumps({"_id": "deep", "specification": {"more_specification": [node]}}),), (json.dumps({"_id": "flat", "specification": {"more_specification": [{"title": "A", "data": "1"}]}}),)], "json STRING")
+    flat = {(r.product_id, r.spec_key): r.spec_value for r in specs.flatten_specs(specs.parse_spec_docs(df)).collect()}
+    assert flat[("flat", "A")] == "1" and len(flat) == 6
+    assert flat[("deep", "_".join(f"L{i}" for i in range(1, 501)))] == "bottom"
+    assert flat[("deep", "_".join(f"L{i}" for i in range(1, 201)) + "_S200")] == "v200"
