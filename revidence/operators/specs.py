@@ -21,7 +21,7 @@ from revidence.session import ensure_checkpoint_dir
 
 def parse_spec_docs(raw: DataFrame, json_col: str = "json") -> DataFrame:
     """(product_id, key, name, entries ARRAY<VARIANT>) from JSON text documents."""
-    v = raw.select(F.parse_json(F.col(json_col)).alias("v"))
+    v = raw.select(_parsed(json_col).alias("v"))
     return v.select(
         F.coalesce(F.try_variant_get("v", "$._id['$oid']", "string"),
                    F.try_variant_get("v", "$._id", "string")).alias("product_id"),
@@ -44,27 +44,35 @@ def flatten_specs(docs: DataFrame, id_col: str = "product_id", max_depth: int |
     still sections go into the next pass, until none is left. Documents are read once, and no plan is longer than one pass, however
     deep they are. ``max_depth`` stops there and keeps what lies deeper as JSON text.
     """
+    spark = docs.sparkSession
     nodes = docs.select(id_col, F.posexplode("entries").alias("p", "e")) \
         .select(id_col, F.array("p").alias("path"), F.lit("").alias("parent"), "e")
-    done, left, out = 0, True, None
-    while left:
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/spec-nodes-{uuid.uuid4().hex}"
+    done, paths = 0, []
+    while True:
         levels = LEVELS if max_depth is None else min(LEVELS, max_depth - done)
-        passed = _written_pass(_resolve(nodes, id_col, levels))
+        rows = _resolve(nodes, id_col, levels)
         done += levels
-        open_ = passed.where(F.col("k").isNull())
-        leaves = passed.where(F.col("k").isNotNull()).select(id_col, "path", "k", "spec_value")
-        left = open_.limit(1).count() > 0
-        if left and done == max_depth:
-            e = F.parse_json("rest")
-            key = F.concat_ws("_", "parent", _title(e))
-            leaves = leaves.unionByName(open_.select(id_col, "path", key.alias("k"), F.to_json(F.try_variant_get(e, "$.data", "variant")).alias("spec_value")))
-            left = False
-        out = leaves if out is None else out.unionByName(leaves)
-        nodes = open_.select(id_col, "path", "parent", F.parse_json("rest").alias("e"))
+        paths.append(f"{folder}/{done}")
+        rows.write.parquet(paths[-1])
+        read = spark.read.schema(rows.schema)
+        open_ = read.parquet(paths[-1]).where(F.col("k").isNull())
+        if done == max_depth or not open_.limit(1).count():
+            break
+        nodes = open_.select(id_col, "path", "parent", _parsed("rest").alias("e"))
+    out = read.parquet(*paths).where(F.col("k").isNotNull()).select(id_col, "path", "k", "spec_value")
+    if done == max_depth:
+        e = _parsed("rest")
+        out = out.unionByName(open_.select(id_col, "path", F.concat_ws("_", "parent", _title(e)).alias("k"), F.to_json(F.try_variant_get(e, "$.data", "variant")).alias("spec_value")))
     key = F.regexp_replace("k", "^_+|_+$", "")
     return out.groupBy(id_col, key.alias("spec_key")).agg(F.max_by("spec_value", "path").alias("spec_value"))
 
 
+def _parsed(json_col: str) -> Column:
+    """JSON text as VARIANT, however deep it is nested; malformed text raises."""
+    return F.from_json(F.col(json_col), "variant", {"maxNestingDepth": str(1 << 20), "mode": "FAILFAST"})
+
+
 def _title(e: Column) -> Column:
     return F.replace(T.ws_trim(F.coalesce(F.try_variant_get(e, "$.title", "string"), F.lit(""))), F.lit(" "), F.lit("_"))
 
@@ -98,13 +106,6 @@ def _resolve(nodes: DataFrame, id_col: str, levels: int) -> DataFrame:
     return rows.select(id_col, "n.path", "n.parent", "n.k", "n.spec_value", F.to_json("n.e").alias("rest"))
 
 
-def _written_pass(rows: DataFrame) -> DataFrame:
-    """Written to the shared checkpoint folder and read back."""
-    path = f"{ensure_checkpoint_dir(rows.sparkSession).rstrip('/')}/spec-nodes-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 def drop_spec_keys(flat: DataFrame, keys=None) -> DataFrame:
     """H2: remove listed keys (anti join with a broadcast list of fixed size)."""
     spark = flat.sparkSession

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from revidence import dims
 from revidence.operators import evaluate as ev
 from revidence.operators import predict
+from revidence.operators import thresholds as th
 from revidence.plans import oracle_sql as O
 from revidence.sources.bridges import table, v_labels, v_scored
 
@@ -192,20 +193,22 @@ GRID = [round(0.05 * i, 2) for i in range(1, 20)]
            sum((y = 1 AND NOT (allowed AND p_sub > t))::INTEGER) AS fn
     FROM ec CROSS JOIN (SELECT unnest({O.dbl_list(GRID)}) AS t) g GROUP BY 1, 2) x) z GROUP BY sub_idx""")
 def q_best_thresholds(spark, d):
-    c = eval_cells(spark, d)
-    g = c.select("sub_idx", "y", "allowed", "p_sub", F.explode(O_grid()).alias("t"))
-    pred = F.col("allowed") & (F.col("p_sub") > F.col("t"))
-    cnt = g.groupBy("sub_idx", "t").agg(
-        F.sum(((F.col("y") == 1) & pred).cast("long")).alias("tp"), F.sum(((F.col("y") == 0) & pred).cast("long")).alias("fp"),
-        F.sum(((F.col("y") == 1) & ~pred).cast("long")).alias("fn"))
-    f1 = ev.prf(F.col("tp"), F.col("fp"), F.col("fn"))[2]
-    per = cnt.select("sub_idx", "t", f1.alias("f1"))
-    return per.groupBy("sub_idx").agg(F.max_by("t", F.struct("f1", -F.col("t"))).alias("best_thr"),
-                                      R6(F.max("f1")).alias("best_f1"))
-
-
-def O_grid():
-    return F.array(*[F.lit(float(t)) for t in GRID])
+    b = th.best_thresholds(eval_cells(spark, d), GRID)
+    return b.select("sub_idx", "best_thr", R6("best_f1").alias("best_f1"))
+
+
+@register("best_thresholds_cv", O.eval_prefix() + f""", h AS (
+  SELECT review_id % 5 AS fold, sub_idx, t, sum((y = 1 AND allowed AND p_sub > t)::INTEGER) AS tp, sum((y = 0 AND allowed AND p_sub > t)::INTEGER) AS fp,
+         sum((y = 1 AND NOT (allowed AND p_sub > t))::INTEGER) AS fn
+  FROM ec CROSS JOIN (SELECT unnest({O.dbl_list(GRID)}) AS t) g GROUP BY 1, 2, 3),
+x AS (SELECT fold, sub_idx, t, tp, fp, fn, sum(tp) OVER w - tp AS rtp, sum(fp) OVER w - fp AS rfp, sum(fn) OVER w - fn AS rfn FROM h WINDOW w AS (PARTITION BY sub_idx, t)),
+s AS (SELECT fold, sub_idx, t, {D('2 * rtp', '2 * rtp + rfp + rfn')} AS train_f1, {D('2 * tp', '2 * tp + fp + fn')} AS test_f1 FROM x)
+SELECT fold::BIGINT AS fold, sub_idx, t AS best_thr, round(train_f1, 6) AS train_f1, round(test_f1, 6) AS test_f1 FROM s
+QUALIFY row_number() OVER (PARTITION BY fold, sub_idx ORDER BY train_f1 DESC, t) = 1""")
+def q_best_thresholds_cv(spark, d):
+    c = eval_cells(spark, d).withColumn("fold", F.col("review_id") % 5)
+    b = th.cross_validated_thresholds(c, GRID, "fold")
+    return b.select("fold", "sub_idx", "best_thr", R6("train_f1").alias("train_f1"), R6("test_f1").alias("test_f1"))
 
 
 @register("focal_loss", O.eval_prefix() + """, pw AS (SELECT sub_idx, (count(*) - sum(y)) / (sum(y) + 1e-6) AS pw FROM ec GROUP BY 1),

@@ -11,6 +11,7 @@ from revidence.operators import thresholds as th
 from revidence.plans import oracle_sql as O
 from revidence.plans.analysis import analyze
 from revidence.sources.bridges import v_labels, v_scored
+from revidence.sources.ingest import scratch_path
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -27,7 +28,7 @@ def register(name, sql=None):
 
 R6 = lambda c: F.round(c, 6)
 dbl = O.dbl
-N_TRIALS = 40
+N_TRIALS = 500
 LO, HI = 0.15, 0.5
 
 
@@ -90,10 +91,24 @@ def q_pareto_front(spark, d):
     return _ts_out(th.pareto_front_2d(scores_df(spark, d), "obj_precision", "obj_recall"))
 
 
-@register("pareto_front_nd", _trial_sql() + TS_COLS + """ t WHERE NOT EXISTS (
-  SELECT 1 FROM tobj o WHERE o.ap >= t.ap AND o.ar >= t.ar AND (o.ap > t.ap OR o.ar > t.ar))""")
+#: Six objectives of a trial: macro precision and recall over three groups of sub-aspects.
+GROUPS = 3
+OBJECTIVES = [f"{m}{g}" for g in range(GROUPS) for m in ("precision", "recall")]
+
+
+@register("pareto_front_nd", _trial_sql() + ", six AS (SELECT trial::BIGINT AS trial, " + ", ".join(
+    f"round(avg({O.sdiv('tp', 'tp + ' + other)}) FILTER (sub_idx % {GROUPS} = {g}), 9) AS {m}{g}" for g in range(GROUPS) for m, other in (("precision", "fp"), ("recall", "fn")))
+    + """ FROM (SELECT trial, sub_idx, sum((y AND pred)::INTEGER) AS tp, sum((NOT y AND pred)::INTEGER) AS fp,
+    sum((y AND NOT pred)::INTEGER) AS fn FROM tcells GROUP BY 1, 2) c GROUP BY trial)
+SELECT trial, """ + ", ".join(f"round({o}, 6) AS {o}" for o in OBJECTIVES) + " FROM six t WHERE NOT EXISTS (SELECT 1 FROM six o WHERE "
+    + " AND ".join(f"o.{o} >= t.{o}" for o in OBJECTIVES) + " AND (" + " OR ".join(f"o.{o} > t.{o}" for o in OBJECTIVES) + "))")
 def q_pareto_front_nd(spark, d):
-    return _ts_out(th.pareto_front(scores_df(spark, d), ["aspect_precision", "aspect_recall"]))
+    from revidence.operators.evaluate import prf
+    counts = th.trial_counts(v_scored(spark, d), th.labels_dense(v_labels(spark, d)), N_TRIALS, lo=LO, hi=HI)
+    pr, rc, _ = prf(F.col("tp"), F.col("fp"), F.col("fn"))
+    here = lambda x, g: F.avg(F.when(F.col("sub_idx") % GROUPS == g, x))
+    six = counts.groupBy("trial").agg(*[F.round(here(x, g), 9).alias(f"{m}{g}") for g in range(GROUPS) for m, x in (("precision", pr), ("recall", rc))])
+    return th.pareto_front(six, OBJECTIVES).select("trial", *[R6(o).alias(o) for o in OBJECTIVES])
 
 
 @register("threshold_candidates", O.with_(O.v_labels_sql()) + f"""SELECT i::BIGINT AS trial, j::INTEGER AS class_idx,
@@ -108,24 +123,24 @@ def q_threshold_candidates(spark, d):
                     F.coalesce("n", F.lit(0)).cast("bigint").alias("class_support")))
 
 
-@register("trials_load", _trial_sql() + """SELECT trial::BIGINT AS trial, round(ap, 6) AS aspect_precision, round(ar, 6) AS aspect_recall,
-  round(0.25 + trial / 1000.0, 6) AS duration_s, 'COMPLETE' AS state FROM tobj""")
+@register("trials_load", _trial_sql() + """SELECT tobj.trial::BIGINT AS trial, round(ap, 6) AS aspect_precision, round(ar, 6) AS aspect_recall,
+  round(0.25 + tobj.trial / 1000.0, 6) AS duration_s, 'COMPLETE' AS state, c::INTEGER AS class_idx, round(tw.thr[c + 1], 6) AS thr
+FROM tobj JOIN tw USING (trial) CROSS JOIN range(38) x(c)""")
 def q_trials_load(spark, d):
-    """Scored trials written as CSV lines (the study's export format) and read back through the CSV parser."""
-    s = scores_df(spark, d)
-    cols = ["number", "aspect_precision", "aspect_recall", "datetime_start", "datetime_complete", "duration"] \
-        + th.TRIAL_PARAM_COLS + ["state"]
-    start = F.timestamp_seconds(F.lit(1767106800) + F.col("trial"))
-    dur = F.concat(F.lit("0 days 00:00:00."), F.lpad(((F.lit(250000) + F.col("trial") * 1000)).cast("string"), 6, "0"))
-    params = [F.lit(0.3).cast("string") for _ in th.TRIAL_PARAM_COLS]
-    line = F.concat_ws(",", F.col("trial").cast("string"), F.col("aspect_precision").cast("string"),
-                       F.col("aspect_recall").cast("string"), F.date_format(start, "yyyy-MM-dd HH:mm:ss.SSSSSS"),
-                       F.date_format(start, "yyyy-MM-dd HH:mm:ss.SSSSSS"), dur, *params, F.lit("COMPLETE"))
-    schema = ", ".join(f"`{c}` STRING" for c in cols)
-    parsed = s.select(F.from_csv(line, schema).alias("r")).select("r.*")
-    t = th.typed_trials(parsed)
-    return t.select("trial", R6("aspect_precision").alias("aspect_precision"), R6("aspect_recall").alias("aspect_recall"),
-                    R6("duration_s").alias("duration_s"), "state")
+    """The study written as a CSV export under the shared checkpoint dir, read through load_trials_csv and unpivoted to a row a threshold."""
+    s = scores_df(spark, d).join(th.trials_wide(th.threshold_candidates(spark, N_TRIALS, LO, HI)), "trial")
+    start = F.date_format(F.timestamp_seconds(F.lit(1767106800) + F.col("trial")), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    micros = 250000 + F.col("trial") * 1000
+    dur = F.concat(F.lit("0 days 00:00:00."), F.lpad(micros.cast("string"), 6, "0"))
+    rows = s.select(F.col("trial").alias("number"), "aspect_precision", "aspect_recall", start.alias("datetime_start"), start.alias("datetime_complete"), dur.alias("duration"),
+                    *[F.col("sub_thr")[i].alias(f"params_sub_thr_{i}") for i in range(dims.N_SUB)], *[F.col("top_thr")[i].alias(f"params_top_thr_{i}") for i in range(dims.N_TOP)],
+                    F.lit("COMPLETE").alias("state"))
+    path = scratch_path(spark, "trials")
+    rows.write.option("header", True).csv(path)
+    t = th.load_trials_csv(spark, path)
+    long = th.trials_long(t)
+    return t.join(long, "trial").select("trial", R6("aspect_precision").alias("aspect_precision"), R6("aspect_recall").alias("aspect_recall"),
+                                        R6("duration_s").alias("duration_s"), "state", "class_idx", R6("thr").alias("thr"))
 
 
 # --- robustness lab (cells of products with enough evidence) --------------------------------------
@@ -280,7 +295,7 @@ def q_select_weighting(spark, d):
     return rb.select_weighting(rb.weighting_grid(c, GRID_A, GRID_B))
 
 
-@register("confidence_dispersion", with_(()) if False else O.with_(O.V_SCORED, O.gate_ctes(), O.cells_ctes("gok"), O.evidence_ctes()) + f""", s1 AS (
+@register("confidence_dispersion", O.with_(O.V_SCORED, O.gate_ctes(), O.cells_ctes("gok"), O.evidence_ctes()) + f""", s1 AS (
   SELECT product_id, sub_idx, CASE WHEN {REL}[sub_idx + 1] * s_num / (s_den + 1e-8) > 1e-6 THEN 1
          WHEN {REL}[sub_idx + 1] * s_num / (s_den + 1e-8) < -1e-6 THEN -1 ELSE 0 END AS S FROM agg
 ), a2 AS (

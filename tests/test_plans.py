@@ -21,14 +21,20 @@ def formatted(df) -> str:
 
 
 @pytest.mark.parametrize("name", ["product_report", "sub_aspect_rows", "attribute_products", "lookup_product",
-                                  "trial_scores", "end_to_end_report", "flatten_specs"])
+                                  "end_to_end_report", "flatten_specs"])
 def test_no_python_and_no_cartesian(spark, name):
     p = formatted(E.queries()[name](spark, SF))
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p and "MapInPandas" not in p
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
 
 
-def test_only_scoring_and_html_use_python(spark):
+def test_trials_are_counted_in_arrays(spark):
+    """One row a review reaches the counters; no row per review and trial, no join with the trials."""
+    p = formatted(E.queries()["trial_scores"](spark, SF))
+    assert "MapInArrow" in p and "Generate" not in p and "NestedLoop" not in p
+
+
+def test_scoring_uses_python_and_html_does_not(spark):
     assert "MapInPandas" not in formatted(E.queries()["spec_html_parse"](spark, SF))
     assert "MapInPandas" in formatted(E.queries()["score_usefulness"](spark, SF))
 

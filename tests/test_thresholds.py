@@ -45,3 +45,61 @@ def test_chosen_trial_equals_shipped_thresholds(spark):
     row = t.where("trial = 296").first()
     assert row.aspect_precision == pytest.approx(0.6735, abs=1e-4) and row.aspect_recall == pytest.approx(0.7747, abs=1e-4)
     assert 0.2 < row.duration_s < 0.5
+
+
+def test_counts_equal_a_plain_loop(spark):
+    """Counter arrays against one review, trial and sub at a time; trials as a number and as a table; a review without labels."""
+    import random
+
+    from revidence import dims
+    rng = random.Random(1)
+    rows = [(i, [rng.gauss(0, 2) for _ in range(9)], [rng.gauss(0, 2) for _ in range(29)]) for i in range(1300)]
+    labels = {i: {rng.randrange(29) for _ in range(rng.randrange(1, 5))} for i in range(0, 1300, 2)}
+    scored = spark.createDataFrame(rows, "review_id LONG, top ARRAY<DOUBLE>, sub ARRAY<DOUBLE>").repartition(3)
+    dense = th.labels_dense(spark.createDataFrame([(i, s) for i, ss in labels.items() for s in ss], "review_id LONG, sub_idx INT"))
+    wide = th.trials_wide(th.threshold_candidates(spark, 70))
+    thr = {r.trial: (r.top_thr, r.sub_thr) for r in wide.collect()}
+    parents = dims.parents_of()
+    import math
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    got = {(r.trial, r.sub_idx): (r.tp, r.fp, r.fn) for r in th.trial_counts(scored, dense, 70).collect()}
+    assert got == {(r.trial, r.sub_idx): (r.tp, r.fp, r.fn) for r in th.trial_counts(scored, dense, wide).collect()} and len(got) == 70 * 29
+    for trial in (0, 63, 64, 69):
+        want = {s: [0, 0, 0] for s in range(29)}
+        for i, top, sub in rows:
+            fired = {t for t in range(9) if sig(top[t]) > thr[trial][0][t]}
+            for s in range(29):
+                pred = (not fired or bool(fired & set(parents[s]))) and sig(sub[s]) > thr[trial][1][s]
+                y = s in labels.get(i, ())
+                want[s][0 if y and pred else 1 if pred else 2] += y or pred
+        assert {s: got[trial, s] for s in range(29)} == {s: tuple(v) for s, v in want.items()}
+    with pytest.raises(ValueError):
+        th.trial_counts(scored, dense, th.MAX_TRIALS + 1)
+
+
+def test_skyline_of_six_objectives_over_blocks(spark, monkeypatch):
+    """Blocks of 100 rows: equal to brute force; ties and repeated vectors stay together; null and NaN rows are out."""
+    import numpy as np
+    monkeypatch.setattr(th, "FRONT_BLOCK", 100)
+    rng = np.random.default_rng(2)
+    p = np.round(rng.random((4000, 6)) ** 0.3, 2)
+    p[::10] = p[5]
+    rows = [(i, *map(float, x)) for i, x in enumerate(p)] + [(9001, None, *[2.0] * 5), (9002, float("nan"), *[2.0] * 5)]
+    names = [f"o{i}" for i in range(6)]
+    df = spark.createDataFrame(rows, "trial INT, " + ", ".join(f"{n} DOUBLE" for n in names)).withColumn("v", th.F.lit("extra"))
+    want = {i for i, x in enumerate(p) if not ((p >= x).all(axis=1) & (p > x).any(axis=1)).any()}
+    assert {r.trial for r in th.pareto_front(df, names).collect()} == want and len(want) > 200
+
+
+def test_a_million_rows_of_skyline(spark):
+    cols = [th.F.pmod(th.F.xxhash64("id", th.F.lit(i)), th.F.lit(1000)).cast("double").alias(f"o{i}") for i in range(6)]
+    df = spark.range(1_000_000).select(th.F.col("id").alias("trial"), *cols).where("o0 + o1 + o2 + o3 + o4 + o5 < 4200 or trial % 97 = 0")
+    import numpy as np
+    front = th.pareto_front(df, [f"o{i}" for i in range(6)]).collect()
+    f = np.array([r[1:] for r in front], float)
+    some = np.array([r[1:] for r in df.where("trial % 499 = 0").collect()], float)
+    inside = {tuple(x) for x in f}
+    for x in some:                                                       # a sample: in the front, or dominated by a row of it
+        assert tuple(x) in inside or ((f >= x).all(axis=1) & (f > x).any(axis=1)).any()
+    for x in f[:200]:
+        assert not ((some >= x).all(axis=1) & (some > x).any(axis=1)).any()
