@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from revidence import dims
+from revidence.session import cut_lineage
 
 STATUS_OK = "ok"
 STATUS_INSUFFICIENT = "insufficient_review_evidence"
@@ -93,11 +94,21 @@ def _pad_tops() -> F.Column:
     return F.sequence(F.lit(0), F.lit(dims.N_TOP - 1))
 
 
-def report_parts(spark: SparkSession, a, flat_specs: DataFrame | None):
-    """Shared pieces of the report: top reviews, supporting reviews, sub rows, spec fusion."""
-    top = top_reviews(a.gated_ok)
-    support = supporting_reviews(a.cells).join(a.sub_rows.select("product_id", "sub_idx"),
-                                               ["product_id", "sub_idx"], "left_semi")
+def with_texts(ranked: DataFrame, texts: DataFrame | None) -> DataFrame:
+    """Late materialisation: ids go through the ranking, and the texts of (product_id, review_id, text) are joined to the kept rows only. Kept
+    rows are few (5 a product, 3 a sub-aspect), so the texts are filtered by them before any text is shuffled. Without ``texts`` text is null."""
+    if texts is None:
+        return ranked if "text" in ranked.columns else ranked.withColumn("text", F.lit(None).cast("string"))
+    kept = cut_lineage(ranked.drop("text"))
+    one = texts.join(kept.select("product_id", "review_id").distinct(), ["product_id", "review_id"], "left_semi").select("product_id", "review_id", "text")
+    return kept.join(one, ["product_id", "review_id"], "left")
+
+
+def report_parts(spark: SparkSession, a, flat_specs: DataFrame | None, texts: DataFrame | None = None):
+    """Shared pieces of the report: top reviews, supporting reviews (both with their texts), sub rows, spec fusion."""
+    top = with_texts(top_reviews(a.gated_ok), texts)
+    support = with_texts(supporting_reviews(a.cells).join(a.sub_rows.select("product_id", "sub_idx"),
+                                                          ["product_id", "sub_idx"], "left_semi"), texts)
     specs = None
     if flat_specs is not None:
         ds = dims.dim_spec(spark)
@@ -106,19 +117,23 @@ def report_parts(spark: SparkSession, a, flat_specs: DataFrame | None):
     return top, support, specs
 
 
-def build_report(spark: SparkSession, a, flat_specs: DataFrame | None = None,
-                 names: DataFrame | None = None, product_type: str = "Latest Smartphones") -> DataFrame:
-    """One nested row per product. Every collect below is bounded (<= 5 top reviews,
+#: A review in a report.
+REVIEW = "struct<review_id:bigint,text:string,usefulness:double>"
+
+
+def build_report(spark: SparkSession, a, flat_specs: DataFrame | None = None, names: DataFrame | None = None,
+                 product_type: str = "Latest Smartphones", texts: DataFrame | None = None) -> DataFrame:
+    """One nested row per product; ``texts`` (product_id, review_id, text) are the reviews' texts. Every collect below is bounded (<= 5 top reviews,
     <= 29 subs x 3 supporting reviews, <= 11 spec keys per aspect, 9 aspects)."""
-    top, support, specs = report_parts(spark, a, flat_specs)
+    top, support, specs = report_parts(spark, a, flat_specs, texts)
     sup = (support.groupBy("product_id", "sub_idx")
-           .agg(F.sort_array(F.collect_list(F.struct("rank", "review_id", "usefulness"))).alias("sr")))
+           .agg(F.sort_array(F.collect_list(F.struct("rank", "review_id", "text", "usefulness"))).alias("sr")))
     subs = (a.sub_rows.join(sup, ["product_id", "sub_idx"], "left")
             .groupBy("product_id", "top_idx")
             .agg(F.sort_array(F.collect_list(F.struct(
                 "sub_idx", "sub_aspect_name", "sub_aspect_sentiment", "sub_aspect_confidence",
                 F.coalesce(F.transform("sr", lambda x: x.dropFields("rank")),
-                           F.array().cast("array<struct<review_id:bigint,usefulness:double>>"))
+                           F.array().cast(f"array<{REVIEW}>"))
                 .alias("supporting_reviews")))).alias("subs")))
     status = a.status
     ok = status.where(F.col("status") == STATUS_OK).select("product_id")
@@ -137,10 +152,9 @@ def build_report(spark: SparkSession, a, flat_specs: DataFrame | None = None,
         "top_idx", "top_aspect_name",
         F.coalesce(F.transform("subs", lambda x: x.dropFields("sub_idx")),
                    F.array().cast("array<struct<sub_aspect_name:string,sub_aspect_sentiment:string,"
-                                  "sub_aspect_confidence:bigint,supporting_reviews:array<struct<review_id:bigint,"
-                                  "usefulness:double>>>>")).alias("sub_aspects"),
+                                  f"sub_aspect_confidence:bigint,supporting_reviews:array<{REVIEW}>>>")).alias("sub_aspects"),
         F.coalesce("specifications", F.create_map().cast("map<string,string>")).alias("specifications"))), by_top).alias("ps")))
-    tops = (top.groupBy("product_id").agg(F.sort_array(F.collect_list(F.struct("rank", "review_id", "usefulness")))
+    tops = (top.groupBy("product_id").agg(F.sort_array(F.collect_list(F.struct("rank", "review_id", "text", "usefulness")))
                                           .alias("tr")))
     out = (status.join(summary, "product_id", "left").join(tops, "product_id", "left"))
     if names is not None:
@@ -151,21 +165,22 @@ def build_report(spark: SparkSession, a, flat_specs: DataFrame | None = None,
         "product_id",
         F.struct(F.col("name").alias("product_name"), F.lit(product_type).alias("product_type")).alias("product_info"),
         F.coalesce(F.transform("tr", lambda x: x.dropFields("rank")),
-                   F.array().cast("array<struct<review_id:bigint,usefulness:double>>")).alias("top_reviews"),
+                   F.array().cast(f"array<{REVIEW}>")).alias("top_reviews"),
         F.coalesce(F.transform("ps", lambda x: x.dropFields("top_idx")),
                    F.array().cast("array<struct<top_aspect_name:string,sub_aspects:array<struct<sub_aspect_name:string,"
-                                  "sub_aspect_sentiment:string,sub_aspect_confidence:bigint,supporting_reviews:array<"
-                                  "struct<review_id:bigint,usefulness:double>>>>,specifications:map<string,string>>>"))
+                                  f"sub_aspect_sentiment:string,sub_aspect_confidence:bigint,supporting_reviews:array<{REVIEW}>>>,"
+                                  "specifications:map<string,string>>>"))
         .alias("product_summary"),
         "status")
 
 
-def report_long(spark: SparkSession, a, flat_specs: DataFrame | None) -> DataFrame:
-    """Flat, hashable form of the report: 9 rows per ok product, one row per other product."""
-    top, support, specs = report_parts(spark, a, flat_specs)
+def report_long(spark: SparkSession, a, flat_specs: DataFrame | None, texts: DataFrame | None = None) -> DataFrame:
+    """Flat, hashable form of the report: 9 rows per ok product, one row per other product. Texts appear by their md5."""
+    top, support, specs = report_parts(spark, a, flat_specs, texts)
+    seen = F.concat_ws("=", F.col("review_id").cast("string"), F.md5("text"))
     sup = (support.groupBy("product_id", "sub_idx")
-           .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "review_id"))),
-                                         lambda x: x["review_id"].cast("string")), ",").alias("sr")))
+           .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", seen.alias("seen")))),
+                                         lambda x: x["seen"]), ",").alias("sr")))
     sub_txt = F.concat_ws(":", "sub_aspect_name", "sub_aspect_sentiment",
                           F.col("sub_aspect_confidence").cast("string"), F.coalesce("sr", F.lit("")))
     subs = (a.sub_rows.join(sup, ["product_id", "sub_idx"], "left")
@@ -176,7 +191,8 @@ def report_long(spark: SparkSession, a, flat_specs: DataFrame | None) -> DataFra
           .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(
               "ord", F.concat_ws("=", "spec_key", "spec_value").alias("t")))), lambda x: x["t"]), ";")
                .alias("specifications")))
-    ntop = top.groupBy("product_id").agg(F.count("*").alias("n_top_reviews"))
+    ntop = top.groupBy("product_id").agg(F.count("*").alias("n_top_reviews"), F.array_join(F.transform(F.sort_array(F.collect_list(
+        F.struct("rank", seen.alias("seen")))), lambda x: x["seen"]), ",").alias("top_reviews"))
     ok = a.status.where(F.col("status") == STATUS_OK).select("product_id")
     grid = ok.select("product_id", F.explode(_pad_tops()).alias("top_idx"))
     tnames = dims.dim_top(spark).select("top_idx", F.col("top_name").alias("top_aspect_name"))
@@ -186,11 +202,12 @@ def report_long(spark: SparkSession, a, flat_specs: DataFrame | None) -> DataFra
                .select("product_id", F.lit(STATUS_OK).alias("status"), F.col("top_idx").cast("int").alias("top_idx"),
                        "top_aspect_name", F.coalesce("sub_aspects", F.lit("")).alias("sub_aspects"),
                        F.coalesce("specifications", F.lit("")).alias("specifications"),
-                       F.coalesce("n_top_reviews", F.lit(0)).cast("bigint").alias("n_top_reviews")))
+                       F.coalesce("n_top_reviews", F.lit(0)).cast("bigint").alias("n_top_reviews"),
+                       F.coalesce("top_reviews", F.lit("")).alias("top_reviews")))
     rows_other = a.status.where(F.col("status") != STATUS_OK).select(
         "product_id", "status", F.lit(None).cast("int").alias("top_idx"), F.lit(None).cast("string").alias("top_aspect_name"),
         F.lit(None).cast("string").alias("sub_aspects"), F.lit(None).cast("string").alias("specifications"),
-        F.lit(0).cast("bigint").alias("n_top_reviews"))
+        F.lit(0).cast("bigint").alias("n_top_reviews"), F.lit(None).cast("string").alias("top_reviews"))
     return rows_ok.unionByName(rows_other)
 
 

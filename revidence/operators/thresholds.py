@@ -167,12 +167,16 @@ FRONT_BLOCK = 20_000
 def _front(points: np.ndarray, against: np.ndarray | None = None) -> np.ndarray:
     """Which points no other of them (or of ``against``) dominates. Points of a greater sum come first: they alone can dominate."""
     if against is not None:
-        keep = np.ones(len(points), bool)
-        for i in range(0, len(points), 256):
-            p = points[i:i + 256]
-            for j in range(0, len(against), 4096):
-                q = against[None, j:j + 4096]
-                keep[i:i + 256] &= ~((q >= p[:, None]).all(axis=2) & (q > p[:, None]).any(axis=2)).any(axis=1)
+        alive = np.arange(len(points))
+        against = against[np.argsort(-against.sum(axis=1), kind="stable")]   # the strongest first: most points fall to the first few
+        for j in range(0, len(against), 256):
+            q, left = against[None, j:j + 256], []
+            for i in range(0, len(alive), 1024):
+                p = points[alive[i:i + 1024], None]
+                left.append(alive[i:i + 1024][~((q >= p).all(axis=2) & (q > p).any(axis=2)).any(axis=1)])
+            alive = np.concatenate(left) if left else alive
+        keep = np.zeros(len(points), bool)
+        keep[alive] = True
         return keep
     order, keep = np.argsort(-points.sum(axis=1), kind="stable"), np.zeros(len(points), bool)
     front = np.zeros((0, points.shape[1]))

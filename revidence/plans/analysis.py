@@ -83,5 +83,5 @@ def end_to_end(spark: SparkSession, reviews: DataFrame, products: DataFrame, fla
               .withColumn("status", F.when(F.coalesce("n_rev", F.lit(0)) == 0, F.lit(report.STATUS_NO_REVIEWS))
                           .otherwise(F.col("status"))).drop("n_rev"))
     a.status = status
-    rep = report.build_report(spark, a, flat_specs, names=products.select("product_id", "name"))
+    rep = report.build_report(spark, a, flat_specs, names=products.select("product_id", "name"), texts=j.select("product_id", "review_id", "text"))
     return a, status, rep

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from revidence import dims
+from revidence.functions import text as T
 from revidence.operators import report, specs
 from revidence.plans import oracle_sql as O
 from revidence.plans.analysis import analyze
-from revidence.sources.bridges import v_scored, v_spec_docs
+from revidence.sources.bridges import table, v_scored, v_spec_docs
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -53,7 +54,8 @@ def q_product_specs(spark, d):
             .join(docs.select("product_id", "name"), "product_id"))
 
 
-WIDE_KEYS = ["Battery_Charging", "Battery_Type", "Body_Weight", "Launch", "Main_Camera_Single", "Platform_OS"]
+#: All keys that the spec documents have.
+WIDE_KEYS = ["Battery_Charging", "Battery_Type", "Body_SIM", "Body_Weight", "Launch", "Main_Camera_Single", "Our_Tests_Battery_Life", "Platform_OS"]
 
 
 @register("specs_wide", SPEC + "SELECT product_id, " + ", ".join(
@@ -82,16 +84,24 @@ def _flat_bigint(spark, d, products=None):
     return specs.drop_spec_keys(specs.flatten_specs(docs))
 
 
-TOPREV_SQL = O.core_prefix() + """SELECT product_id, rank::INTEGER AS rank, review_id, round(usefulness, 6) AS usefulness FROM (
+def review_texts(spark, d):
+    """(product_id, review_id, text) of the scored reviews: cleaned texts of ``documents`` (as many ids as there are)."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("review_id"), T.clean_text(F.col("text")).alias("text"))
+    return v_scored(spark, d).select("product_id", "review_id").join(docs, "review_id")
+
+
+TEXT_SQL = f"(SELECT doc_id AS review_id, {O.clean_text('text')} AS text FROM documents) txt"
+
+TOPREV_SQL = O.core_prefix() + f"""SELECT product_id, rank::INTEGER AS rank, review_id, txt.text, round(usefulness, 6) AS usefulness FROM (
   SELECT product_id, review_id, usefulness,
          row_number() OVER (PARTITION BY product_id ORDER BY usefulness DESC, review_id DESC) AS rank FROM gok) x
-WHERE rank <= 5"""
+LEFT JOIN {TEXT_SQL} USING (review_id) WHERE rank <= 5"""
 
 
 @register("top_reviews", TOPREV_SQL)
 def q_top_reviews(spark, d):
-    t = report.top_reviews(_analysis(spark, d).gated_ok)
-    return t.select("product_id", F.col("rank").cast("int").alias("rank"), "review_id", R6("usefulness").alias("usefulness"))
+    t = report.with_texts(report.top_reviews(_analysis(spark, d).gated_ok), review_texts(spark, d))
+    return t.select("product_id", F.col("rank").cast("int").alias("rank"), "review_id", "text", R6("usefulness").alias("usefulness"))
 
 
 SUPPORT_CTE = """rows0 AS (SELECT e.product_id, e.sub_idx FROM evidence e JOIN pp USING (sub_idx) WHERE e.confidence <> 0),
@@ -104,12 +114,12 @@ support AS (
 )"""
 
 
-@register("supporting_reviews", O.core_prefix().rstrip() + ",\n" + SUPPORT_CTE + """
-SELECT product_id, sub_idx, rank::INTEGER AS rank, review_id, round(usefulness, 6) AS usefulness FROM support""")
+@register("supporting_reviews", O.core_prefix().rstrip() + ",\n" + SUPPORT_CTE + f"""
+SELECT product_id, sub_idx, rank::INTEGER AS rank, review_id, txt.text, round(usefulness, 6) AS usefulness FROM support LEFT JOIN {TEXT_SQL} USING (review_id)""")
 def q_supporting_reviews(spark, d):
     a = _analysis(spark, d)
-    _, s, _ = report.report_parts(spark, a, None)
-    return s.select("product_id", "sub_idx", F.col("rank").cast("int").alias("rank"), "review_id",
+    _, s, _ = report.report_parts(spark, a, None, review_texts(spark, d))
+    return s.select("product_id", "sub_idx", F.col("rank").cast("int").alias("rank"), "review_id", "text",
                     R6("usefulness").alias("usefulness"))
 
 
@@ -139,7 +149,10 @@ def _report_sql() -> str:
   SELECT p.product_id, CASE WHEN coalesce(c.n_gated, 0) > {dims.MIN_EVIDENCE} THEN 'ok' ELSE 'insufficient_review_evidence' END AS status
   FROM (SELECT DISTINCT product_id FROM v_scored) p LEFT JOIN cnt c USING (product_id)
 ),
-sr AS (SELECT product_id, sub_idx, string_agg(review_id::VARCHAR, ',' ORDER BY rank) AS sr FROM support GROUP BY 1, 2),
+said AS (SELECT review_id, concat_ws('=', review_id::VARCHAR, md5(txt.text)) AS seen FROM v_scored LEFT JOIN {TEXT_SQL} USING (review_id)),
+sr AS (SELECT product_id, sub_idx, string_agg(seen, ',' ORDER BY rank) AS sr FROM support JOIN said USING (review_id) GROUP BY 1, 2),
+tr AS (SELECT product_id, string_agg(seen, ',' ORDER BY rank) AS tr FROM (SELECT product_id, review_id,
+  row_number() OVER (PARTITION BY product_id ORDER BY usefulness DESC, review_id DESC) AS rank FROM gok) g JOIN said USING (review_id) WHERE rank <= 5 GROUP BY 1),
 subrows AS (
   SELECT e.product_id, pp.top_idx, e.sub_idx,
          dsub.sub_name || ':' || CASE WHEN e.sgn > 0 THEN 'positive' ELSE 'negative' END || ':' ||
@@ -156,21 +169,21 @@ sp AS (
 ntop AS (SELECT product_id, least(count(*), 5) AS n FROM gok GROUP BY 1)
 SELECT s.product_id, 'ok' AS status, t.top_idx::INTEGER AS top_idx, t.top_name AS top_aspect_name,
        coalesce(subs.sub_aspects, '') AS sub_aspects, coalesce(sp.specifications, '') AS specifications,
-       coalesce(ntop.n, 0)::BIGINT AS n_top_reviews
+       coalesce(ntop.n, 0)::BIGINT AS n_top_reviews, coalesce(tr.tr, '') AS top_reviews
 FROM status s CROSS JOIN dtop t
 LEFT JOIN subs ON subs.product_id = s.product_id AND subs.top_idx = t.top_idx
 LEFT JOIN sp ON sp.product_id = s.product_id AND sp.top_idx = t.top_idx
-LEFT JOIN ntop ON ntop.product_id = s.product_id
+LEFT JOIN ntop ON ntop.product_id = s.product_id LEFT JOIN tr ON tr.product_id = s.product_id
 WHERE s.status = 'ok'
 UNION ALL
-SELECT product_id, status, NULL::INTEGER, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, 0::BIGINT FROM status WHERE status <> 'ok'
+SELECT product_id, status, NULL::INTEGER, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, 0::BIGINT, NULL::VARCHAR FROM status WHERE status <> 'ok'
 """
 
 
 @register("product_report", _report_sql())
 def q_product_report(spark, d):
     a = _analysis(spark, d)
-    return report.report_long(spark, a, _flat_bigint(spark, d, a.status.where("status = 'ok'")))
+    return report.report_long(spark, a, _flat_bigint(spark, d, a.status.where("status = 'ok'")), texts=review_texts(spark, d))
 
 
 @register("report_json")
@@ -179,13 +192,14 @@ def q_report_json(spark, d):
     checkpoint dir and read back with its schema."""
     from revidence.sources.ingest import scratch_path, write_report
     a = _analysis(spark, d)
-    rep = report.build_report(spark, a, _flat_bigint(spark, d, a.status.where("status = 'ok'")))
+    rep = report.build_report(spark, a, _flat_bigint(spark, d, a.status.where("status = 'ok'")), texts=review_texts(spark, d))
     path = scratch_path(spark, "report-json")
     write_report(rep, path, "json")
     return spark.read.schema(rep.schema).json(path)
 
 
-CMP = [0, 1, 2]
+#: All products of the scored reviews (99 has too little evidence and stays empty).
+CMP = [*range(7), 99]
 
 
 @register("compare_products", O.core_prefix() + """SELECT e.sub_idx::INTEGER AS sub_idx, dsub.sub_name AS sub_aspect_name, """

@@ -144,7 +144,7 @@ CTX_SQL = O.with_(O.V_REVIEWS, f"cl AS (SELECT *, {CLEAN} AS text FROM v_reviews
 
 
 @register("relevance_ctx", CTX_SQL + f"""SELECT cl.review_id, cl.product_id,
-  CASE WHEN cl.review_id % 4 = 0 AND coalesce(ctx.context, '') <> ''
+  CASE WHEN coalesce(ctx.context, '') <> ''
        THEN greatest({MS}, {O.match_score_norm(O.normalize_key('ctx.context'), O.normalize_key('vp.name'))})
        ELSE {MS} END AS relevance
 FROM cl JOIN vp USING (product_id) LEFT JOIN ctx ON ctx.review_id = cl.review_id""")
@@ -153,7 +153,7 @@ def q_relevance_ctx(spark, d):
     docs = table(spark, d, "documents")
     ctx = docs.select((F.col("doc_id") - 1).alias("review_id"), F.col("text").alias("context"))   # the whole next document
     c = cleaned(spark, d).join(v_products(spark), "product_id").join(ctx, "review_id", "left")
-    context = F.when(F.col("review_id") % 4 == 0, F.col("context")).otherwise(F.lit(""))
+    context = F.coalesce("context", F.lit(""))
     return c.select("review_id", "product_id", T.relevance(F.col("text"), F.col("name"), context).alias("relevance"))
 
 
