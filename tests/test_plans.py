@@ -40,7 +40,9 @@ def test_scoring_uses_python_and_html_does_not(spark):
 
 
 def test_topk_uses_window_group_limit(spark):
-    p = formatted(E.queries()["top_reviews"](spark, SF))
+    from revidence.operators import report
+    from revidence.plans import q_report
+    p = formatted(report.top_reviews(q_report._analysis(spark, SF).gated_ok))   # the query joins the texts after a cut
     assert "WindowGroupLimit" in p
 
 
