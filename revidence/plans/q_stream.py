@@ -30,9 +30,9 @@ R6 = lambda c: F.round(c, 6)
           + f"SELECT DISTINCT product_id, sha256(text) AS text_hash, text FROM cl WHERE {O.word_count('text')} > 15")
 def q_stream_ingest(spark, d):
     base = scratch_path(spark, "stream-ingest")
-    v_reviews(spark, d).select("product_id", "review_id", "raw_text").repartition(4).write.parquet(f"{base}/landing")
+    v_reviews(spark, d).select("product_id", "review_id", "origin", "raw_text", "likes").repartition(4).write.parquet(f"{base}/landing")
     st.run_ingest(spark, f"{base}/landing", f"{base}/out", f"{base}/ckpt", max_files_per_trigger=1)
-    return spark.read.parquet(f"{base}/out")
+    return spark.read.parquet(f"{base}/out").select("product_id", "text_hash", "text")
 
 
 @register("stream_evidence", O.with_(O.V_SCORED, """gated AS (SELECT * FROM v_scored WHERE relevance > 0.7 AND usefulness > 7.0)""",
@@ -44,5 +44,5 @@ def q_stream_evidence(spark, d):
     base = scratch_path(spark, "stream-evidence")
     v_scored(spark, d).repartition(4).write.parquet(f"{base}/landing")
     st.run_evidence(spark, f"{base}/landing", f"{base}/out", f"{base}/ckpt", max_files_per_trigger=1)
-    r = spark.read.parquet(f"{base}/out")
+    r = st.read_evidence(spark, f"{base}/out")
     return r.select("product_id", "sub_idx", "n_cells", R6("sw").alias("sw"), R6("ssw").alias("ssw"), R6("vol_raw").alias("vol_raw"))
