@@ -49,20 +49,32 @@ def packed(block: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> li
         return []
     bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
     cut = np.flatnonzero(np.diff(bucket)) + 1
-    counts = np.minimum(counts, 255).astype(np.uint8)
-    return [(int(bucket[a]), block, keys[a:b].tobytes(), counts[a:b].tobytes()) for a, b in zip([0, *cut], [*cut, len(keys)])]
+    return [(int(bucket[a]), block, keys[a:b].tobytes(), short(counts[a:b])) for a, b in zip([0, *cut], [*cut, len(keys)])]
+
+
+def short(counts: np.ndarray) -> bytes:
+    """A byte a count; those of 255 and more follow in full (uint32) in their order."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype(np.uint32).tobytes()
+
+
+def full(data: bytes, n: int) -> np.ndarray:
+    """The ``n`` counts of ``short`` (uint32)."""
+    counts = np.frombuffer(data, np.uint8, n).astype(np.uint32)
+    counts[counts == 255] = np.frombuffer(data[n:], np.uint32)
+    return counts
 
 
 def totals(emitted: DataFrame, at_least: int = 2) -> DataFrame:
-    """TOTALS: for each block the keys it sent whose counts add up to ``at_least`` over all blocks (counts of a block are cut off at 255)."""
+    """TOTALS: for each block the keys it sent whose counts add up to ``at_least`` over all blocks."""
     def add(t: pa.Table) -> pa.Table:
-        keys, counts = binary(t["keys"])[0].view(np.uint64), binary(t["counts"])[0]
-        sizes = np.diff(binary(t["counts"])[1])
+        data, ends = binary(t["keys"])
+        keys, sizes = data.view(np.uint64), np.diff(ends) // 8
+        counts = np.concatenate([full(c, n) for c, n in zip(t["counts"].to_pylist(), sizes)]) if len(sizes) else np.zeros(0, np.uint32)
         order = np.argsort(keys, kind="stable")
         k = keys[order]
         first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         total = np.zeros(len(k), np.uint32)
-        total[order] = np.repeat(np.add.reduceat(counts[order].astype(np.uint32), first), np.diff(np.append(first, len(k))))
+        total[order] = np.repeat(np.add.reduceat(counts[order], first), np.diff(np.append(first, len(k))))
         out, blocks, at = [], t["block"].to_numpy(), 0
         for block, n in zip(blocks, sizes):
             keep = total[at:at + n] >= at_least

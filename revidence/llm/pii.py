@@ -7,7 +7,9 @@ values of one format different ones, and nobody without the key can go back.
 
 Two networks do the work, both over SHA-256 round functions:
 
-* ``feistel_pair``: a pair of mixed-radix integers (a < A, b < B), a permutation of exactly A * B values;
+* ``feistel_pair``: a pair of mixed-radix integers (a < A, b < B), a permutation of exactly A * B values; dates are ranked
+  among the strings of their notation (separator, width of day and month; slashes read either way) and walk on from days that a
+  year doesn't have, so every notation is permuted one to one;
 * ``feistel_text``: the characters of a string, every one shifted inside its own alphabet (digits, lower, upper or
   hexadecimal); other characters stay, so separators and shape are kept.
 
@@ -18,6 +20,8 @@ column is kept as it is. Very long texts are processed whole. An empty table giv
 
 from __future__ import annotations
 
+import calendar
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,12 +45,13 @@ PATTERNS = {
     "secret": r"(?<=(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD|[Kk]ey|KEY) {0,2}[=:] {0,2}[\"']?)[0-9a-fA-F]{16,128}(?![0-9a-zA-Z])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: Days per window and its radices: days are permuted inside windows of 250 x 292 days counted from 1900-01-01.
-_WINDOW = (250, 292)
-_DAY0 = "1900-01-01"
+#: Dates are permuted inside windows of YEARS years counted from YEAR0, from FIRST_YEAR to LAST_YEAR.
+YEARS, YEAR0, FIRST_YEAR, LAST_YEAR = 200, 1900, 100, 9899
+#: Steps of a date's walk at most; a step lands on a day its year doesn't have in under 1 of 100 cases.
+WALK = 32
 
 
-def _prf(key: str, tweak: str, *parts: Column) -> Column:
+def _prf(key: str, tweak: str | Column, *parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), F.lit(tweak), *[p.cast("string") for p in parts]), 256)
 
 
@@ -54,7 +59,7 @@ def _number(hexed: Column) -> Column:
     return F.conv(hexed, 16, 10).cast("bigint")
 
 
-def feistel_pair(a: Column, A: int, b: Column, B: int, *, key: str, tweak: str) -> Column:
+def feistel_pair(a: Column, A: int, b: Column, B: int | Column, *, key: str, tweak: str | Column) -> Column:
     """struct(a, b): keyed permutation of the pairs with 0 <= a < A and 0 <= b < B."""
     start = F.struct(a.cast("bigint").alias("a"), b.cast("bigint").alias("b"))
 
@@ -141,19 +146,51 @@ def ssn(m: Column, key: str) -> Column:
     return F.when(ok, bound(out, text))
 
 
-def date(m: Column, key: str, *formats: str) -> Column:
-    """Null unless a date of the calendar in the first format that fits; written in the same format."""
-    A, B = _WINDOW
-
-    def as_(f: str) -> Column:
-        def moved(n: Column) -> Column:
-            x = F.pmod(n, F.lit(A * B))
-            return bound(feistel_pair(F.floor(x / B), A, x % B, B, key=key, tweak="date"), lambda new: F.call_function(
-                "date_format", F.date_add(F.lit(_DAY0).cast("date"), (n - x + new.a * B + new.b).cast("int")), F.lit(f)))
-        day = F.datediff(F.try_to_timestamp(m, F.lit(f)).cast("date"), F.lit(_DAY0).cast("date"))
-        # the windows from year 101 to 9899 lie inside the four-digit years
-        return bound(day, lambda n: F.when(n.between(-657000, 2919999), moved(n)))
-    return F.coalesce(*[as_(f) for f in formats])
+def days(slash: bool, first: int, second: int) -> tuple[list[int], int]:
+    """Codes 100 * a + b of the days that a notation of ``first`` and ``second`` digits can write, those of leap years alone last, and
+    how many every year has. a is the day and b the month; with slashes also the other way round."""
+    def of(year: int) -> set[int]:
+        pairs = {(d, m) for m in range(1, 13) for d in range(1, calendar.monthrange(year, m)[1] + 1)}
+        pairs |= {(m, d) for d, m in pairs} if slash else set()
+        return {100 * a + b for a, b in pairs if a < 10 ** first and b < 10 ** second}
+    common, leap = of(2001), of(2004)
+    return sorted(common) + sorted(leap - common), len(common)
+
+
+def date(m: Column, key: str) -> Column:
+    """Null unless a date of the calendar in years FIRST_YEAR to LAST_YEAR; else another date of the same notation."""
+    iso = F.instr(m, "-") > 0
+    part = F.split(m, r"[-/.]")
+    a, b, year = F.when(iso, part[2]).otherwise(part[0]), part[1], F.when(iso, part[0]).otherwise(part[2]).cast("int")
+    mark = F.when(iso, "-").when(F.instr(m, "/") > 0, "/").otherwise(".")
+    codes, every = F.lit(None).cast("array<int>"), F.lit(None).cast("int")
+    for slash in (True, False):
+        for first in (1, 2):
+            for second in (1, 2):
+                known, n = days(slash, first, second)
+                here = ((mark == "/") == slash) & (F.length(a) == first) & (F.length(b) == second)
+                codes, every = F.when(here, F.lit(known)).otherwise(codes), F.when(here, F.lit(n)).otherwise(every)
+
+    def moved(t: Column) -> Column:
+        there = lambda s: (s.b < t.every) | F.when(((t.year0 + s.a) % 100 == 0), (t.year0 + s.a) % 400 == 0).otherwise((t.year0 + s.a) % 4 == 0)
+        start = F.struct((t.year - t.year0).cast("bigint").alias("a"), t.rank.alias("b"))
+
+        def walk(s: Column, i: Column) -> Column:
+            step = feistel_pair(s.a, YEARS, s.b, F.size(t.codes), key=key, tweak=F.concat(F.lit("date"), t.shape))
+            return F.when((i == 0) | ~there(s), step).otherwise(s)
+
+        def text(s: Column) -> Column:
+            code, y = F.element_at(t.codes, (s.b + 1).cast("int")), F.lpad((t.year0 + s.a).cast("string"), 4, "0")
+            x = F.lpad(F.floor(code / 100).cast("string"), F.length(t.a), F.lit("0"))
+            z = F.lpad((code % 100).cast("string"), F.length(t.b), F.lit("0"))
+            return F.when(t.mark == "-", F.concat_ws("-", y, z, x)).otherwise(F.concat(x, t.mark, z, t.mark, y))
+        new = F.aggregate(F.sequence(F.lit(0), F.lit(WALK - 1)), start, walk)
+        return F.when((t.rank >= 0) & t.year.between(FIRST_YEAR, LAST_YEAR) & there(start), bound(new, text))
+    parsed = F.struct(a.alias("a"), b.alias("b"), year.alias("year"), (F.floor((year - YEAR0) / YEARS) * YEARS + YEAR0).alias("year0"), mark.alias("mark"),
+                      F.concat(mark, F.length(a).cast("string"), F.length(b).cast("string")).alias("shape"), codes.alias("codes"), every.alias("every"))
+    ranked = bound(parsed, lambda t: F.struct(*[t[c].alias(c) for c in ("a", "b", "year", "year0", "mark", "shape", "codes", "every")],
+                                              (F.array_position(t.codes, t.a.cast("int") * 100 + t.b.cast("int")) - 1).alias("rank")))
+    return bound(ranked, moved)
 
 
 def email(m: Column, key: str) -> Column:
@@ -164,10 +201,7 @@ def email(m: Column, key: str) -> Column:
 def pseudonym(m: Column, key: str) -> Column:
     """struct(kind, value): the pseudonym of one match; kind null and the match itself if it fails its validation."""
     is_ = lambda kind: m.rlike(rf"^(?:{PATTERNS[kind]})$")
-    long_dot, long_slash = F.instr(m, ".") > 0, F.length(m) == 10
-    plain = F.when(long_dot & long_slash, date(m, key, "dd.MM.yyyy")).when(long_dot, date(m, key, "d.M.yyyy")).when(
-        long_slash, date(m, key, "dd/MM/yyyy", "MM/dd/yyyy")).otherwise(date(m, key, "d/M/yyyy", "M/d/yyyy"))
-    found = [("email", F.instr(m, "@") > 0, email(m, key)), ("date", is_("iso_date"), date(m, key, "yyyy-MM-dd")), ("date", is_("date"), plain),
+    found = [("email", F.instr(m, "@") > 0, email(m, key)), ("date", is_("iso_date") | is_("date"), date(m, key)),
              ("ssn", is_("ssn"), ssn(m, key)), ("ip", is_("ip"), ip(m, key)), ("card", is_("card"), card(m, key)), ("phone", is_("phone"), phone(m, key)),
              ("secret", F.lit(True), feistel_text(m, key=key, tweak="secret", alphabets=_HEX))]
     out = F.struct(F.lit(None).cast("string").alias("kind"), m.alias("value"))

@@ -77,6 +77,44 @@ def test_feistel_is_a_permutation(spark):
     assert len({r.s for r in texts}) == 1000 and all(re.fullmatch(r"\d{3}", r.s) for r in texts)
 
 
+def notation(value):
+    return re.sub(r"\d", "0", value)
+
+
+def test_dates_are_permuted_one_to_one_in_their_notation(spark):
+    """Every string that slashes, dots and dashes can write for the years 1900 to 2099, one-digit forms too."""
+    import datetime as dt
+    strings = set()
+    for n in range((dt.date(2100, 1, 1) - dt.date(1900, 1, 1)).days):
+        x = dt.date(1900, 1, 1) + dt.timedelta(n)
+        strings |= {f"{x.year}-{x.month:02}-{x.day:02}"}
+        for d in {f"{x.day}", f"{x.day:02}"}:
+            for m in {f"{x.month}", f"{x.month:02}"}:
+                strings |= {f"{d}.{m}.{x.year}", f"{d}/{m}/{x.year}", f"{m}/{d}/{x.year}"}
+    table = spark.createDataFrame([(x,) for x in sorted(strings)], "s string").repartition(8)
+    got = table.select("s", pii.date(F.col("s"), "k").alias("p")).toPandas()
+    assert set(got.p) == strings and len(got) == len(strings)
+    assert (got.s.map(notation) == got.p.map(notation)).all() and (got.s == got.p).mean() < 0.001
+    odd = ["29/2/1900", "29.02.2001", "2001-02-30", "0/1/2000", "1.13.2000", "01/01/0050", "29/02/2400", "1999-00-10"]
+    out = spark.createDataFrame([(x,) for x in odd], "s string").select("s", pii.date(F.col("s"), "k").alias("p")).collect()
+    assert [r.s for r in out if r.p is not None] == ["29/02/2400"]
+
+
+def test_counts_of_a_block_are_whole(spark):
+    import numpy as np
+
+    from revidence.llm import blocks
+    counts = np.array([1, 254, 255, 256, 70_000, 3], np.int64)
+    assert blocks.full(blocks.short(counts), len(counts)).tolist() == counts.tolist()
+    keys = np.sort(np.array([5, 7 << 40, 9 << 50, 11 << 55, 3 << 60, 13 << 59], np.uint64))
+    rows = [r for b in range(3) for r in blocks.packed(b, keys[b:], counts[b:], 4)]
+    got = {}
+    for r in blocks.totals(spark.createDataFrame(rows, blocks.KEYS), 1).collect():
+        for k, n in zip(np.frombuffer(r.keys, np.uint64), np.frombuffer(r.counts, np.uint32)):
+            assert got.setdefault(int(k), int(n)) == n
+    assert got == {int(k): int(n) * min(i + 1, 3) for i, (k, n) in enumerate(zip(keys, counts))}
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     assert pii.pseudonymise(none, key="k").count() == 0
