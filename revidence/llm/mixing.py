@@ -4,13 +4,13 @@
    (domain, bucket), at most ``BUCKETS`` x domains numbers whatever the input.
 2. Every document gets posteriors p_k over the domains, a softmax of its mean log-likelihood per word times
    ``SHARPNESS`` plus the log prior.
-3. Rates r_i >= floor are fitted that minimise
-       sum_k w_k (sum_i r_i p_ik T_i - b_k)^2 / 2 + RIDGE * sum_i T_i (r_i - 1)^2 / 2
-   (T_i tokens, b_k the target total of domain k, w_k = 1 / sum_i T_i p_ik^2, which makes the domains alike in scale). In the dual
-   a document depends on K numbers y alone, r_i = max(floor, 1 - sum_k y_k p_ik), so each step of Newton's method is one
-   aggregation of K sums and their K x K derivatives over the documents, and no rates are stored between steps.
-   The ridge is then moved to the y that was found (method of multipliers) until every total is within ``TOLERANCE`` of its
-   target. Where no rates can do that (the floor, or a domain that no document belongs to), the totals are the closest found,
+3. Rates r_i >= floor are fitted by accelerated projected gradient steps on the least squares
+       |sum_i r_i p_i T_i - b|^2 / 2  in the norm of M^-1,  M = sum_i T_i p_i p_i'
+   (T_i tokens, p_i posteriors, b the targets' totals). With M as preconditioner a step has length 1: each document moves by
+   -p_i' M^-1 (residual), is projected onto the box and gets momentum, which is dropped when the error has grown. A step is a row of
+   K numbers and its momentum, so a document's rate is a fold over the steps taken so far: a pass over the documents sums up 2 K
+   numbers, and no rates are stored. Steps end when every total is within ``TOLERANCE`` of its target. Where no rates can do that
+   (the floor, or a domain that no document belongs to), the closest totals found are kept once ``STALL`` steps have brought nothing,
    and ``mix`` warns with the relative errors that are left. ``floor`` is the lower end of the box (0; 1 keeps every document at least once).
 
 Rows: null and empty texts have 0 tokens, prior posteriors and rate 1 (or the floor). Rows without a label, or whose
@@ -33,9 +33,9 @@ from revidence.llm.common import SPACES, bound, written
 
 BUCKETS = 4096
 SHARPNESS = 20.0
-RIDGE = 1e-4
 TOLERANCE = 1e-4   # of a domain's total, relative to its target
-STEPS = 200        # passes over the documents at most; some ten are usual
+STEPS = 100        # passes over the documents at most; some ten are usual
+STALL = 20         # passes without a tenth less error that end the fit
 
 
 def words(text: Column) -> Column:
@@ -71,9 +71,16 @@ def posteriors(docs: DataFrame, table: list[list[float]], prior: list[float], ke
     return rows.select("__kept", "tokens", bound(parts, lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))).alias("p"))
 
 
-def _rate(y: list[float], floor: float) -> Column:
-    """The rate that the multipliers ``y`` of the domains give."""
-    return F.greatest(F.lit(float(floor)), 1.0 - sum((F.col("p")[k] * float(v) for k, v in enumerate(y)), F.lit(0.0)))
+def _rates(steps: list[list[float]], floor: float, K: int) -> Column:
+    """struct(r, y): the rate after ``steps`` (rows of K moves and a momentum), and the rate carried on by the momentum."""
+    start = F.lit(max(1.0, float(floor)))
+    if not steps:
+        return F.struct(start.alias("r"), start.alias("y"))
+
+    def step(s: Column, g: Column) -> Column:
+        moved = F.greatest(F.lit(float(floor)), s.y - sum((F.col("p")[k] * g[k] for k in range(K)), F.lit(0.0)))
+        return bound(moved, lambda r: F.struct(r.alias("r"), (r + g[K] * (r - s.r)).alias("y")))
+    return F.aggregate(F.lit(steps), F.struct(start.alias("r"), start.alias("y")), step)
 
 
 def fit(members: DataFrame, goals: list[float], *, floor: float = 0.0, steps: int = STEPS) -> tuple[Column, list[dict]]:
@@ -82,51 +89,38 @@ def fit(members: DataFrame, goals: list[float], *, floor: float = 0.0, steps: in
     T = F.col("tokens").cast("double")
     p = [F.col("p")[k] for k in range(K)]
     b = np.array(goals, float)
-    pairs = [(k, m) for k in range(K) for m in range(k + 1)]
-
-    def at(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        """Totals less the targets, their derivatives by -y, and the dual's value without the ridge."""
-        u = 1.0 - sum((p[k] * float(v) for k, v in enumerate(y)), F.lit(0.0))
-        free = u > floor
-        value = F.when(free, u * u / 2).otherwise(floor * u - floor * floor / 2)
-        rows = members.select("tokens", "p", _rate(y, floor).alias("r"), free.alias("free"), value.alias("value"))
-        now = rows.agg(*[F.sum(F.col("r") * T * x).alias(f"t{k}") for k, x in enumerate(p)], F.sum(T * F.col("value")).alias("value"),
-                       *[F.sum(F.when(F.col("free"), T * p[k] * p[m]).otherwise(0.0)).alias(f"m{k}_{m}") for k, m in pairs]).first()
-        M = np.zeros((K, K))
-        for k, m in pairs:
-            M[k, m] = M[m, k] = now[f"m{k}_{m}"] or 0.0
-        return np.array([now[f"t{k}"] or 0.0 for k in range(K)]) - b, M, (now["value"] or 0.0) + float(b @ y)
-
-    squares = members.agg(*[F.sum(T * x * x).alias(f"s{k}") for k, x in enumerate(p)]).first()
-    ridge = RIDGE * np.array([max(squares[f"s{k}"] or 0.0, 1.0) for k in range(K)])
     scale = np.maximum(b, 1.0)
-    y, center = np.zeros(K), np.zeros(K)
-    off, M, value = at(y)
-    errors = [off / scale]
-    best, best_y, last = np.abs(errors[0]).max(), y, math.inf
-    while best >= TOLERANCE and len(errors) < steps:
-        gradient = ridge * (y - center) - off
-        if np.abs(gradient / scale).max() < TOLERANCE / 10:  # least under this ridge
-            found = np.abs(off / scale).max()
-            if found > 0.9 * last:
-                break  # no closer than under the ridge before: the targets can't be met
-            last, center = found, y.copy()
-            gradient = -off
-        move = -np.linalg.solve(M + np.diag(ridge), gradient)
-        before, slope, t = value + float(ridge @ (y - center) ** 2) / 2, float(gradient @ move), 1.0
-        while len(errors) < steps:
-            there = y + t * move
-            off, M, value = at(there)
-            errors.append(off / scale)
-            if np.abs(errors[-1]).max() < best:
-                best, best_y = np.abs(errors[-1]).max(), there
-            if value + float(ridge @ (there - center) ** 2) / 2 <= before + 1e-4 * t * slope + 1e-12 * abs(before):
-                break
-            t /= 4
-        y = there
-    if best < np.abs(errors[-1]).max():
-        errors.append(next(e for e in errors if np.abs(e).max() == best))
-    return _rate(best_y.tolist(), floor), [dict(enumerate(e.tolist())) for e in errors]
+    pairs = [(k, m) for k in range(K) for m in range(k + 1)]
+    now = members.agg(*[F.sum(T * p[k] * p[m]).alias(f"m{k}_{m}") for k, m in pairs]).first()
+    M = np.zeros((K, K))
+    for k, m in pairs:
+        M[k, m] = M[m, k] = now[f"m{k}_{m}"] or 0.0
+    W = np.linalg.inv(M + 1e-9 * np.diag(np.maximum(M.diagonal(), 1.0)))
+
+    def residuals(taken: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+        rows = computed(members.select("tokens", "p"), __s=_rates(taken, floor, K))
+        got = rows.agg(*[F.sum(F.col(f"__s.{c}") * T * x).alias(f"{c}{k}") for c in "ry" for k, x in enumerate(p)]).first()
+        return tuple(np.array([got[f"{c}{k}"] or 0.0 for k in range(K)]) - b for c in "ry")
+    taken, errors, t, before = [], [], 1.0, math.inf
+    best, best_at, stalled = math.inf, 0, 0
+    while True:
+        off, ahead = residuals(taken)
+        errors.append(off / scale)
+        found = np.abs(errors[-1]).max()
+        stalled = 0 if found < 0.9 * best else stalled + 1
+        if found < best:
+            best, best_at, best_steps = found, len(taken), [list(g) for g in taken]
+        if best < TOLERANCE or stalled >= STALL or len(errors) >= steps:
+            break
+        error = float(off @ W @ off)
+        if error > before:  # the last step's momentum is dropped
+            taken[-1][K], ahead, t = 0.0, off, 1.0
+        before, after = error, (1 + math.sqrt(1 + 4 * t * t)) / 2
+        taken.append([*(W @ ahead).tolist(), (t - 1) / after])
+        t = after
+    if best_at < len(taken):
+        errors.append(errors[best_at])
+    return _rates(best_steps, floor, K).r, [dict(enumerate(e.tolist())) for e in errors]
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], *, floor: float = 0.0, grow: bool = False, keep: list[str] | None = None,
