@@ -1,13 +1,15 @@
 """Operator 5: exact top-k by inner product with MaxScore.
 
 Every component of a vector is a term, its postings the column of that component. Queries and vectors are dealt to the
-cells of a grid (query block x shard), each of bounded size. A cell knows each term's score bounds over its shard.
-Terms are ordered by bound. The split into essential terms, without which no vector can reach the threshold, and others is only a
-starting cut: every vector is a candidate at first, its sum over about half of the essential terms is one dense product, and all
-terms after that, essential or not, are probed group by group for the vectors whose sum plus the bound of the rest still
-competes. The threshold is the k-th score of a few seed vectors and does not rise while a cell is scanned, so that little is
-pruned; results are exact all the same. The bound of the rest is the smaller of the terms' bounds and the product of the norms of what is
-left. The shards' best k are merged by a window.
+cells of a grid (query block x shard), each of bounded size. A cell knows the least and the most that each term can add to a query's
+score over its shard; terms are ordered by that spread. A cell scans its vectors in chunks, longest vectors first. A
+query's threshold is the k-th score found so far and rises chunk by chunk; with it the query's essential terms are split off anew: the
+others, all at their most, stay below the threshold unless an essential term adds more than its least. In a chunk the essential terms'
+postings are summed up; a vector with more than the least of them is a candidate, and the other terms are probed for it, group by group,
+while its sum plus the bound of the rest competes. Chunks whose own bounds are below the threshold are passed over, and a query is
+done with the shard when no term is essential. The bound of the rest is the smaller of the terms' bounds and the product of the norms
+of what is left. The shards' best k are merged by a window. Embeddings are dense: nearly every vector is in every posting, so it is
+probing and passing over that prune.
 
 Rows: vectors that are null or hold null or non-finite components take no part; vectors of different length are
 compared over the components both have; ties go to the smaller id. A row is no candidate of a query with its own id;
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 
 SHARD = 8192
 BLOCK = 1024
+CHUNK = 256
 GROUP = 8
 RESULT = "query_id long, vec_id long, score long"
 
@@ -51,47 +54,71 @@ def _fits(Q: np.ndarray, X: np.ndarray) -> bool:
     return float(np.abs(Q).max(initial=0)) * float(np.abs(X).max(initial=0)) * max(X.shape[1], 1) < 2**52
 
 
-def top_of_cell(ids: np.ndarray, X: np.ndarray, query_ids: np.ndarray, Q: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query id, vector ids, scores) of each query's best k in the shard."""
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k highest scores, ties to the smaller id."""
+    if scores.dtype == object:
+        return np.array(sorted(range(len(ids)), key=lambda a: (-scores[a], ids[a]))[:k], dtype=int)
+    return np.lexsort((ids, -scores))[:k]
+
+
+def top_of_cell(ids: np.ndarray, X: np.ndarray, query_ids: np.ndarray, Q: np.ndarray, k: int, *, chunk: int = CHUNK,
+                touched: list[int] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query id, vector ids, scores) of each query's best k in the shard; the number of postings read for a query is put into ``touched``."""
     X, Q = (X.astype(np.float64), Q.astype(np.float64)) if _fits(Q, X) else (X.astype(object), Q.astype(object))
     n, D = X.shape
+    longest = np.argsort(-(X.astype(np.float64) ** 2).sum(axis=1), kind="stable")
+    X, ids = X[longest], ids[longest]
     low, high = X.min(axis=0), X.max(axis=0)
-    bounds = np.maximum(Q * low, Q * high)  # of each query's terms over the shard
-    order = np.argsort(-(bounds - np.minimum(Q * low, Q * high)).sum(axis=0).astype(np.float64), kind="stable")
-    X, Q, bounds = X[:, order], Q[:, order], bounds[:, order]
-    rest = np.cumsum(bounds[:, ::-1], axis=1)[:, ::-1]  # what terms j.. can add at most
-    left = lambda M: np.sqrt(np.cumsum((M.astype(np.float64) ** 2)[:, ::-1], axis=1)[:, ::-1])
+    spread = np.abs(Q * high - Q * low).sum(axis=0).astype(np.float64)
+    order = np.argsort(-spread, kind="stable")
+    X, Q, low, high = X[:, order], Q[:, order], low[order], high[order]
+    most, least = np.maximum(Q * low, Q * high), np.minimum(Q * low, Q * high)
+    none = np.zeros((len(Q), 1), Q.dtype)
+    rest = np.concatenate([np.cumsum(most[:, ::-1], axis=1)[:, ::-1], none], axis=1)  # what terms j.. can add at most
+    base = np.concatenate([none, np.cumsum(least, axis=1)], axis=1)                   # what terms before j add at least
+    worth = base + rest  # the most of a vector that has the least of all terms before j; falls with j
+    left = lambda M: np.concatenate([np.sqrt(np.cumsum((M.astype(np.float64) ** 2)[:, ::-1], axis=1)[:, ::-1]), np.zeros((len(M), 1))], axis=1)
     x_left, q_left = left(X), left(Q)
-    seeds = min(n, 16 * k + 1)
-    first = Q @ X[:seeds].T  # exact scores of a few vectors give the threshold to begin with
-    theta = [None] * len(Q)
-    for i in range(len(Q)):
-        s = first[i][ids[:seeds] != query_ids[i]]
-        theta[i] = np.sort(s)[-k] if len(s) >= k else None
-    # Essential terms: the longest rest of terms that stays below every threshold of the block is left to probing.
-    essential = D
-    while essential > 0 and all(t is not None and np.minimum(r[essential - 1], q[essential - 1] * x_left[:, essential - 1].max()) < t for t, r, q in zip(theta, rest, q_left)):
-        essential -= 1
-    # competing needs bounds for groups before that, too: sums so far are taken group by group over all queries
-    first_cut = max(GROUP, min(essential, D) // (2 * GROUP) * GROUP) if D else 0
-    sums = Q[:, :first_cut] @ X[:, :first_cut].T
+    exact = X.dtype != object
+    starts = range(0, n, chunk)
+    reach = [np.maximum(Q * X[c:c + chunk].min(axis=0), Q * X[c:c + chunk].max(axis=0)).sum(axis=1) for c in starts]
+    if exact:
+        reach = [np.minimum(r, np.ceil(q_left[:, 0] * x_left[c, 0] + 1e-6)) for r, c in zip(reach, starts)]
     for i, qid in enumerate(query_ids):
-        alive, score, j = np.flatnonzero(ids != qid), None, first_cut
-        score = sums[i][alive]
-        while j < D:
-            if theta[i] is not None:
-                most = np.minimum(rest[i, j], np.ceil(q_left[i, j] * x_left[alive, j] + 1e-6)) if score.dtype != object else rest[i, j]
-                keep = score + most >= theta[i]
+        found, scores, theta, read = np.zeros(0, ids.dtype), np.zeros(0, X.dtype), None, 0
+        for r, c in zip(reach, starts):
+            essential = D if theta is None else min(D, int((worth[i] >= theta).sum()))
+            if essential == 0 and D and worth[i, 0] < theta:
+                break
+            if theta is not None and r[i] < theta:
+                continue
+            block, names = X[c:c + chunk], ids[c:c + chunk]
+            score = block[:, :essential] @ Q[i, :essential] if essential else np.zeros(len(block), X.dtype)
+            read += len(block) * essential
+            candidate = names != qid
+            if theta is not None and worth[i, essential] < theta:
+                candidate &= score > base[i, essential]
+            alive = np.flatnonzero(candidate)
+            score, j = score[alive], essential
+            while j < D and len(alive):
+                bound = np.minimum(rest[i, j], np.ceil(q_left[i, j] * x_left[c + alive, j] + 1e-6)) if exact else rest[i, j]
+                keep = score + bound >= theta
+                alive, score = alive[keep], score[keep]
+                step = min(D, j + GROUP)
+                score = score + block[alive, j:step] @ Q[i, j:step]
+                read += len(alive) * (step - j)
+                j = step
+            if theta is not None:
+                keep = score >= theta
                 alive, score = alive[keep], score[keep]
-            step = D if len(alive) * (D - j) < 4096 else min(D, j + GROUP)
-            score = score + X[alive, j:step] @ Q[i, j:step]
-            j = step
-        if len(alive) > k:
-            least = np.partition(score, len(score) - k)[-k] if score.dtype != object else np.sort(score)[-k]
-            keep = score >= least
-            alive, score = alive[keep], score[keep]
-        best = np.lexsort((ids[alive], -score))[:k] if score.dtype != object else np.array(sorted(range(len(alive)), key=lambda a: (-score[a], ids[alive[a]]))[:k], dtype=int)
-        yield qid, ids[alive][best], score[best]
+            if len(alive):
+                found, scores = np.concatenate([found, names[alive]]), np.concatenate([scores, score])
+                best = _best(found, scores, k)
+                found, scores = found[best], scores[best]
+                theta = scores[-1] if len(scores) == k else None
+        if touched is not None:
+            touched.append(read)
+        yield qid, found, scores
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int, *, shard: int = SHARD, block: int = BLOCK) -> DataFrame:

@@ -202,6 +202,23 @@ def test_top_k_equals_brute_force(spark, scale, shard, block):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+@pytest.mark.parametrize("scale", [1, 1 << 40])
+def test_thresholds_rise_and_spare_postings(scale):
+    rng = np.random.default_rng(5)
+    n, D, k = 3000, 32, 5
+    X = (rng.normal(0, 12, (n, D)) * np.linspace(3, 0.2, D) * rng.uniform(0.1, 1, (n, 1))).astype(np.int64) * scale
+    X[100:140] = X[7]  # ties
+    ids, at = rng.permutation(n), np.arange(0, n, 150 if scale > 1 else 20)
+    scores = X.astype(object) @ X[at].astype(object).T
+    read = {}
+    for chunk in (n, 100):
+        read[chunk] = []
+        for q, (qid, got, s) in enumerate(maxscore.top_of_cell(ids, X, ids[at], X[at], k, chunk=chunk, touched=read[chunk])):
+            want = sorted((-scores[j, q], ids[j]) for j in range(n) if j != at[q])[:k]
+            assert qid == ids[at[q]] and [(-int(b), a) for a, b in zip(got, s)] == want
+    assert sum(read[n]) == n * D * len(at) and sum(read[100]) < 0.5 * sum(read[n])
+
+
 def test_top_k_of_nothing(spark):
     empty = spark.createDataFrame([], "vec_id long, v array<long>")
     assert maxscore.top_k(empty, F.col("vec_id") % 20 == 0, 5).count() == 0
