@@ -84,41 +84,42 @@ def top_of_cell(ids: np.ndarray, X: np.ndarray, query_ids: np.ndarray, Q: np.nda
     reach = [np.maximum(Q * X[c:c + chunk].min(axis=0), Q * X[c:c + chunk].max(axis=0)).sum(axis=1) for c in starts]
     if exact:
         reach = [np.minimum(r, np.ceil(q_left[:, 0] * x_left[c, 0] + 1e-6)) for r, c in zip(reach, starts)]
-    for i, qid in enumerate(query_ids):
-        found, scores, theta, read = np.zeros(0, ids.dtype), np.zeros(0, X.dtype), None, 0
-        for r, c in zip(reach, starts):
-            essential = D if theta is None else min(D, int((worth[i] >= theta).sum()))
-            if essential == 0 and D and worth[i, 0] < theta:
-                break
-            if theta is not None and r[i] < theta:
-                continue
-            block, names = X[c:c + chunk], ids[c:c + chunk]
-            score = block[:, :essential] @ Q[i, :essential] if essential else np.zeros(len(block), X.dtype)
-            read += len(block) * essential
-            candidate = names != qid
-            if theta is not None and worth[i, essential] < theta:
-                candidate &= score > base[i, essential]
-            alive = np.flatnonzero(candidate)
-            score, j = score[alive], essential
-            while j < D and len(alive):
-                bound = np.minimum(rest[i, j], np.ceil(q_left[i, j] * x_left[c + alive, j] + 1e-6)) if exact else rest[i, j]
-                keep = score + bound >= theta
-                alive, score = alive[keep], score[keep]
+    found, scores = [ids[:0]] * len(Q), [X[:0, 0] if D else np.zeros(0, X.dtype)] * len(Q)
+    theta, full, read = np.zeros(len(Q), X.dtype), np.zeros(len(Q), bool), np.zeros(len(Q), np.int64)
+    for r, c in zip(reach, starts):
+        block, names = X[c:c + chunk], ids[c:c + chunk]
+        needed = (worth >= theta[:, None]).sum(axis=1)
+        live = ~full | ((needed > 0) & (r >= theta))
+        essential = np.where(full, np.minimum(D, -(-needed // GROUP) * GROUP), D)  # in whole groups, so that queries share a product
+        for e in np.unique(essential[live]):
+            rows = np.flatnonzero(live & (essential == e))
+            sums = Q[rows, :e] @ block[:, :e].T if e else np.zeros((len(rows), len(block)), X.dtype)
+            read[rows] += len(block) * e
+            split = full[rows] & (worth[rows, e] < theta[rows])
+            candidate = (names != query_ids[rows][:, None]) & (~split[:, None] | (sums > base[rows, e][:, None])).astype(bool)
+            i, at = np.nonzero(candidate)
+            score, i, j = sums[i, at], rows[i], int(e)
+            while j < D and len(i):
+                bound = np.minimum(rest[i, j], np.ceil(q_left[i, j] * x_left[c + at, j] + 1e-6)) if exact else rest[i, j]
+                keep = (score + bound >= theta[i]).astype(bool)
+                i, at, score = i[keep], at[keep], score[keep]
                 step = min(D, j + GROUP)
-                score = score + block[alive, j:step] @ Q[i, j:step]
-                read += len(alive) * (step - j)
+                score = score + (block[at, j:step] * Q[i, j:step]).sum(axis=1)
+                np.add.at(read, i, step - j)
                 j = step
-            if theta is not None:
-                keep = score >= theta
-                alive, score = alive[keep], score[keep]
-            if len(alive):
-                found, scores = np.concatenate([found, names[alive]]), np.concatenate([scores, score])
-                best = _best(found, scores, k)
-                found, scores = found[best], scores[best]
-                theta = scores[-1] if len(scores) == k else None
-        if touched is not None:
-            touched.append(read)
-        yield qid, found, scores
+            keep = (~full[i] | (score >= theta[i])).astype(bool)
+            i, at, score = i[keep], at[keep], score[keep]
+            ends = np.flatnonzero(np.diff(i)) + 1
+            for a, b in zip([0, *ends], [*ends, len(i)]) if len(i) else ():
+                q = i[a]
+                some, their = np.concatenate([found[q], names[at[a:b]]]), np.concatenate([scores[q], score[a:b]])
+                best = _best(some, their, k)
+                found[q], scores[q], full[q] = some[best], their[best], len(best) == k
+                if full[q]:
+                    theta[q] = scores[q][-1]
+    if touched is not None:
+        touched.extend(read.tolist())
+    yield from zip(query_ids, found, scores)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int, *, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
