@@ -1,10 +1,12 @@
 """Operator 4: toxicity with noisy-channel deobfuscation.
 
 1. Character language model: trigram counts over the letters of all documents, a table of SYMBOLS^3 numbers.
-2. Suspicious spans (digits or symbols between letters, letters spelled out one by one, letters repeated three times or more)
-   become a lattice: each sign may stand for itself, for the letters it is used for, or for nothing; a run of one letter
-   may stand for one or two of it. Viterbi finds the reading of least cost under channel and language model. The restored
-   words are scored in the place of the span, together with the plain words.
+2. Suspicious spans (digits or symbols between letters, letters spelled out one by one, letters repeated three times or more,
+   letters of another script that look like Latin ones) become a lattice: each sign may stand for itself, for the letters it is
+   used for, or for nothing; a run of one letter may stand for one or two of it; a separator between spelled-out signs may stand
+   for nothing or for the end of a word. Viterbi finds the reading of least cost under channel and language model, at any length of
+   the span. All its words are scored, together with the plain words, the spelled-out signs as one word, and every
+   run of 4 to 12 of them that is a word by itself (their word ends are in doubt). Signs of no width go first.
 3. Score: at most ``SAMPLE`` labelled rows (common.labelled_sample) are counted, toxic and clean, for hashed words and word beginnings. A word's
    evidence is the larger of its log odds; a text's score is a logistic function of its strongest words, so that length alone does
    not matter. The logistic part is fitted on the same counts' rows, at most ``SAMPLE`` of them.
@@ -40,11 +42,16 @@ FITTED = 8_000     # of them, those that the logistic part is fitted on
 PRIOR = 6.0       # documents at the base rate that are added to every count: rare words are little evidence
 TOP = 3            # strongest words that count one by one
 CACHE = 100_000
-LONG = 40          # signs: longer tokens are no words in disguise (hashes, links) unless spelled out
+WORD_END = 4.0     # channel cost of a word end among spelled-out signs at another separator than a space
+INSIDE = range(4, 13)  # lengths of the words that are looked for inside spelled-out signs, whatever the reading
 
 #: What signs are used for (fixed values).
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il",
         "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "#": "h", "%": "", "&": ""}
+#: Letters of other scripts that look like Latin ones (fixed values), and the full-width alphabet.
+ALIKE = {"а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "г": "r", "һ": "h", "н": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "п": "n", "о": "o",
+         "р": "p", "ѕ": "s", "т": "t", "у": "yu", "х": "x", "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "uy",
+         "χ": "x", **{chr(0xff41 + i): chr(0x61 + i) for i in range(26)}}
 _LETTERS = "abcdefghijklmnopqrstuvwxyzàáâäãåæçèéêëìíîïñòóôöõøœùúûüýÿß"
 _ID = {c: i + 1 for i, c in enumerate(_LETTERS)}
 _TABLE = np.zeros(0x180, np.int64)
@@ -59,6 +66,11 @@ _TAIL = re.compile(r"([@$])\1\1+$")  # decoration, no spelling
 _PLAIN = re.compile(rf"^[{_L}]*$")
 _RUN = re.compile(rf"([{_L}])\1\1")
 _SPELLED = re.compile(rf"(?<![^\W_])(?:[{_L}0-9@$!](?:[ .\-_*]|[ ]?[.\-_*][ ]?)){{3,}}[{_L}0-9@$!](?![^\W_])")
+_SIGNS = re.compile(r"[ ]?[.\-_*][ ]?|[ ]|[^ .\-_*]")
+_SEPARATORS = re.compile(r"[ .\-_*]+")
+_HIDDEN = re.compile("[\u00ad\u180e\u200b-\u200f\u2060-\u2064\ufeff]+")
+_ALIKE = re.compile(rf"[{''.join(ALIKE)}]")
+_LATIN = re.compile(rf"[{_L}]")
 _DOUBT = re.compile(rf"[{_L}][0-9@$!|+(€£¡*#]+[{_L}]|^[0-9@$!|+(€£¡]+[{_L}]|[{_L}][0-9@$]+$")
 
 
@@ -107,30 +119,60 @@ class Speller:
             c, run = token[i], 1
             while i + run < len(token) and token[i + run] == c:
                 run += 1
-            if c in _ID:
+            if c in ALIKE:
+                out.append([(x * n, 0.1 + 0.3 * (run > 1)) for x in ALIKE[c] for n in range(1, min(run, 2) + 1)])
+            elif c in _ID:
                 out.append([(c, 0.0 if run == 1 else 0.3), *([(c + c, 0.0 if run == 2 else 0.6)] if run > 1 else [])])
             else:
                 out.append([*((x, 0.4 + 0.2 * (run - 1)) for x in LEET.get(c, "")), ("", 12.0 if c.isdigit() else 3.0 if c in LEET else 0.0)])
             i += run
         return out
 
+    @staticmethod
+    def spelled_lattice(span: str) -> list[list[tuple[str, float]]]:
+        """The same for signs with separators between them: a separator is nothing or a word end."""
+        return [[("", 0.0), (" ", 0.0 if x == " " else WORD_END)] if _SEPARATORS.fullmatch(x) else Speller.lattice(x)[0] for x in _SIGNS.findall(span)]
+
     def decode(self, token: str) -> str:
-        """The reading of least cost, between two word ends."""
+        """The reading of a token of least cost."""
+        return self.viterbi(self.lattice(token))
+
+    def decode_spelled(self, span: str) -> str:
+        """The reading of spelled-out signs of least cost, words with a space between them."""
+        return self.viterbi(self.spelled_lattice(span))
+
+    def viterbi(self, places: list[list[tuple[str, float]]]) -> str:
+        """The path of least cost, between two word ends. A state is the last two symbols; paths are chains of (earlier, reading), and what
+        all of them share is put away as soon as one state is left, so that time is linear in the number of places."""
         cost_of = self.rows
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for place in self.lattice(token):
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (cost, text) in best.items():
+        done: list[str] = []
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        for place in places:
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (cost, path) in best.items():
                 for reading, channel in place:
                     x, y, total = a, b, cost + channel
                     for c in reading:
-                        z = _ID[c]
+                        z = _ID.get(c, 0)
                         total += cost_of[x][y][z]
                         x, y = y, z
                     if (x, y) not in new or total < new[x, y][0]:
-                        new[x, y] = total, text + reading
+                        new[x, y] = total, (path, reading) if reading else path
+            if len(new) == 1:
+                [(state, (total, path))] = new.items()
+                done.append(_along(path))
+                new = {state: (total, None)}
             best = new
-        return min((cost + cost_of[a][b][0], text) for (a, b), (cost, text) in best.items())[1]
+        _, path = min(((cost + cost_of[a][b][0], path) for (a, b), (cost, path) in best.items()), key=lambda x: x[0])
+        return "".join(done) + _along(path)
+
+
+def _along(path: tuple | None) -> str:
+    out = []
+    while path:
+        path, reading = path
+        out.append(reading)
+    return "".join(reversed(out))
 
 
 class Restorer:
@@ -140,25 +182,37 @@ class Restorer:
         self.speller, self.known = speller, _Known(self)
 
     def words(self, text: str | None) -> set[str]:
-        text = (text or "").lower()
+        text = _HIDDEN.sub("", (text or "").lower())
         tokens = set(text.split())
-        for m in _SPELLED.findall(text):
-            tokens.add(re.sub(r"[ .\-_*]", "", m))
+        spelled = {m for m in _SPELLED.findall(text) if _LATIN.search(m)}
+        tokens.update(_SEPARATORS.sub("", m) for m in spelled)
         if len(self.known) > CACHE:
             self.known.clear()
         out: set[str] = set()
         for readings in map(self.known.__getitem__, tokens):
             out.update(readings)
+        for m in spelled:
+            read = self.speller.decode_spelled(m).split()
+            out.update(read)
+            signs = "".join(read)
+            out.update("=" + signs[i:i + n] for n in INSIDE for i in range(len(signs) - n + 1))
         return out
 
     def restored(self, text: str | None) -> str:
-        """The text with every suspicious token replaced by its reading."""
-        spelled = _SPELLED.sub(lambda m: re.sub(r"[ .\-_*]", "", m[0]), text or "")
+        """The text with every suspicious span replaced by its reading."""
+        text = _HIDDEN.sub("", text or "")
 
         def reading(m: re.Match) -> str:
+            if m[1]:
+                return self.speller.decode_spelled(m[1].lower()) if _LATIN.search(m[1]) else m[1]
             core = m[0].lower().strip(".,;:?!")
-            return m[0] if core.isalpha() and not _RUN.search(core) else (self.known[m[0].lower()] or (m[0],))[-1]
-        return re.sub(r"\S+", reading, spelled)
+            return m[0] if _is_word(core) else (self.known[m[0].lower()] or (m[0],))[-1]
+        return re.sub(rf"({_SPELLED.pattern})|\S+", reading, text, flags=re.IGNORECASE)
+
+
+def _is_word(core: str) -> bool:
+    """Letters alone, without disguise: no run of three, no foreign letter that looks like a Latin one beside Latin letters."""
+    return core.isalpha() and not _RUN.search(core) and (core.isascii() or not _ALIKE.search(core) or not _LATIN.search(core))
 
 
 class _Known(dict):
@@ -169,13 +223,15 @@ class _Known(dict):
     def __missing__(self, token: str) -> tuple[str, ...]:
         """Plain word and, for suspicious tokens, the restored one."""
         core = token.strip(".,;:?!")
-        if core.isalpha() and not _RUN.search(core):
+        if _is_word(core):
             self[token] = out = (core,)
             return out
+        if _ALIKE.search(core) and _LATIN.search(core):
+            return (*re.findall(rf"[{_L}]+", core), self.restorer.speller.decode(core))
         core = _EDGE.sub("", token)
         bare = _JUNK.sub("", core)
         plain = tuple(re.findall(rf"[{_L}]+", bare)) if not _PLAIN.match(bare) else (bare,) if bare else ()
-        doubtful = [x for x in dict.fromkeys((bare, core)) if len(x) <= LONG and not _TAIL.search(x) and (_DOUBT.search(x) or _RUN.search(x) or "." in x[1:-1] or "-" in x[1:-1] or "_" in x[1:-1])]
+        doubtful = [x for x in dict.fromkeys((bare, core)) if not _TAIL.search(x) and (_DOUBT.search(x) or _RUN.search(x) or "." in x[1:-1] or "-" in x[1:-1] or "_" in x[1:-1])]
         out = (*plain, *(self.restorer.speller.decode(x) for x in doubtful))
         if len(token) <= 64:
             self[token] = out
@@ -183,7 +239,9 @@ class _Known(dict):
 
 
 def _units(word: str) -> tuple[str, ...]:
-    """The word and its beginning; beginnings stand for inflected forms."""
+    """The word and its beginning; beginnings stand for inflected forms. Signs marked with = count as a word only."""
+    if word.startswith("="):
+        return (word[1:],)
     return (word, "^" + word[:4], "^" + word[:5]) if len(word) > 5 else (word, "^" + word[:4]) if len(word) > 4 else (word,)
 
 

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import io
+import itertools
 import random
 import re
 import zlib
@@ -115,6 +116,37 @@ def test_toxicity_restores_disguised_words(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_viterbi_finds_the_best_of_all_readings():
+    rng = np.random.default_rng(3)
+    speller = toxicity.Speller(rng.random((toxicity.SYMBOLS,) * 3).astype(np.float32))
+
+    def cost(reading):
+        ids = [0, 0, *(toxicity._ID.get(c, 0) for c in reading), 0]
+        return sum(speller.rows[a][b][c] for a, b, c in zip(ids, ids[1:], ids[2:]))
+    signs = list("abot10@$!*lé") + ["oo", "ttt", "с", "у"]
+    for k in range(60):
+        token = "".join(rng.choice(signs, 6))
+        for places, got in ((speller.lattice(token), speller.decode(token)),
+                            (speller.spelled_lattice(" ".join(token[:5])), speller.decode_spelled(" ".join(token[:5])))):
+            readings = [("".join(x for x, _ in p), sum(c for _, c in p)) for p in itertools.product(*places)]
+            best = min(cost(r) + c for r, c in readings)
+            assert any(r == got and abs(cost(r) + c - best) < 1e-6 for r, c in readings), token
+
+
+def test_toxicity_of_spelled_out_and_long_tokens(spark):
+    docs, labels, truth = corpus(spark, lambda w: " ".join([*w[:10], "stupid", "worthless", *w[10:]]))
+    model = toxicity.train(docs, labelled_sample(docs, labels, "toxic", 1000))
+    bad = ["such a s t u p i d river", "r i v e r s t u p i d h o u s e", "the " + "s" * 45 + "tupid house", "s\u200btupid w0rthless", "stуpid", "w0" + "r" * 50 + "thless",
+           "y o u s t u p i d", "w-o-r-t-h-l-e-s-s"]
+    clean = ["r i v e r h o u s e", "the " + "r" * 45 + "iver", "a1b2" * 5000, "a b c d e f g", "1 2 3 4 5 6", "- - - -", "река дом река", "= = x =", "river"]
+    both = texts(spark, list(enumerate(bad + clean)))
+    got = {r.doc_id: r.score for r in toxicity.score(both, model).collect()}
+    plain = toxicity.score(texts(spark, [(0, "stupid")]), model).first().score
+    assert {i for i, s in got.items() if s >= plain - 1e-6} == set(range(len(bad))), (plain, got)
+    restore = toxicity.Restorer(model.speller).restored
+    assert [restore(x) for x in ("s" * 45 + "tupid", "st\u200bupid", "stуpid", "1 2 3 4 5")] == ["stupid", "stupid", "stupid", "1 2 3 4 5"]
+
+
 def test_language_model_counts_all_documents(spark):
     docs = texts(spark, [(1, "abc"), (2, "abc abc"), (3, None)])
     assert toxicity.trigram_counts(docs).agg(F.sum("n")).first()[0] == 3 + 7
