@@ -182,7 +182,9 @@ class Restorer:
         self.speller, self.known = speller, _Known(self)
 
     def words(self, text: str | None) -> set[str]:
-        text = _HIDDEN.sub("", (text or "").lower())
+        text = (text or "").lower()
+        if not text.isascii():
+            text = _HIDDEN.sub("", text)
         tokens = set(text.split())
         spelled = {m for m in _SPELLED.findall(text) if _LATIN.search(m)}
         tokens.update(_SEPARATORS.sub("", m) for m in spelled)
@@ -205,16 +207,11 @@ class Restorer:
         def reading(m: re.Match) -> str:
             if m[1]:
                 return self.speller.decode_spelled(m[1].lower()) if _LATIN.search(m[1]) else m[1]
-            core = m[0].lower().strip(".,;:?!")
-            return m[0] if _is_word(core) else (self.known[m[0].lower()] or (m[0],))[-1]
+            known = self.known[m[0].lower()] or (m[0],)
+            return m[0] if known[-1] == m[0].lower().strip(".,;:?!") else known[-1]
         return re.sub(rf"({_SPELLED.pattern})|\S+", reading, text, flags=re.IGNORECASE)
 
 
-def _is_word(core: str) -> bool:
-    """Letters alone, without disguise: no run of three, no foreign letter that looks like a Latin one beside Latin letters."""
-    return core.isalpha() and not _RUN.search(core) and (core.isascii() or not _ALIKE.search(core) or not _LATIN.search(core))
-
-
 class _Known(dict):
     def __init__(self, restorer: Restorer):
         super().__init__()
@@ -223,10 +220,10 @@ class _Known(dict):
     def __missing__(self, token: str) -> tuple[str, ...]:
         """Plain word and, for suspicious tokens, the restored one."""
         core = token.strip(".,;:?!")
-        if _is_word(core):
+        if core.isalpha() and not _RUN.search(core) and (core.isascii() or not _ALIKE.search(core) or not _LATIN.search(core)):
             self[token] = out = (core,)
             return out
-        if _ALIKE.search(core) and _LATIN.search(core):
+        if not core.isascii() and _ALIKE.search(core) and _LATIN.search(core):
             return (*re.findall(rf"[{_L}]+", core), self.restorer.speller.decode(core))
         core = _EDGE.sub("", token)
         bare = _JUNK.sub("", core)
