@@ -6,7 +6,7 @@ with map-side combine over the long cell table; sklearn-style zero division give
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revidence import dims
@@ -149,9 +149,20 @@ def ortho_penalty(vecs: DataFrame, lam: float = 0.1) -> DataFrame:
                  .alias("ortho_penalty"))
 
 
-def taxonomy_from_labels(labels: DataFrame) -> DataFrame:
-    """Union of (top, sub) pairs seen in labelled records."""
-    return labels.select("top_idx", "sub_idx").distinct()
+#: Labelled records as JSON lines: top_cluster_ids is one index or a 0/1 vector (kept as JSON text), sub_cluster_ids a 0/1 vector or
+#: a list of indices, the maps have string keys.
+LABEL_SCHEMA = ("review_id BIGINT, top_cluster_ids STRING, sub_cluster_ids ARRAY<DOUBLE>, top_to_sub_ids MAP<STRING, ARRAY<INT>>, "
+                "sentiments MAP<STRING, STRING>")
+
+
+def load_label_records(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(LABEL_SCHEMA).json(path)
+
+
+def taxonomy_from_records(records: DataFrame) -> DataFrame:
+    """Union over all records of the (top, sub) pairs in ``top_to_sub_ids``; records without the map add nothing."""
+    tops = records.select(F.explode("top_to_sub_ids").alias("top", "subs"))
+    return tops.select(F.col("top").cast("int").alias("top_idx"), F.explode("subs").alias("sub_idx")).distinct()
 
 
 def taxonomy_override(tx: DataFrame, top: int = 3, n_sub: int = dims.N_SUB) -> DataFrame:
@@ -162,9 +173,27 @@ def taxonomy_override(tx: DataFrame, top: int = 3, n_sub: int = dims.N_SUB) -> D
 
 
 def normalize_label_vector(v: Column, n: int = dims.N_SUB) -> Column:
-    """A multi-hot vector of length n -> active positions; otherwise an index list (>= 0 kept)."""
-    return F.when(F.size(v) == n, F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.get(v, i) == 1)).otherwise(
-        F.filter(v, lambda x: x >= 0))
+    """A vector of length n -> positions above 0; otherwise an index list (>= 0 kept); null -> empty."""
+    listed = F.transform(F.filter(v, lambda x: x.cast("int") >= 0), lambda x: x.cast("int"))
+    hot = F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.get(v, i) > 0)
+    return F.coalesce(F.when(F.size(v) == n, hot).otherwise(listed), F.array().cast("array<int>"))
+
+
+def top_vector(top: Column, n: int = dims.N_TOP) -> Column:
+    """JSON text of one top index -> one-hot vector; of a vector -> that vector. An index outside 0..n-1 or no JSON -> null."""
+    index = top.try_cast("int")
+    one_hot = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (i == index).cast("int"))
+    vector = F.transform(F.from_json(top, "array<double>"), lambda x: (x > 0).cast("int"))
+    return F.when(index.between(0, n - 1), one_hot).when(F.ltrim(top).startswith("["), vector)
+
+
+def map_sentiments(records: DataFrame, label_map: dict | None, id_col: str = "review_id") -> DataFrame:
+    """(id, sub_idx, y) from the string-keyed ``sentiments``; values outside ``label_map`` are dropped, without a map all non-null stay."""
+    cells = records.select(id_col, F.explode("sentiments").alias("k", "raw"))
+    y = F.col("raw")
+    if label_map:
+        y = F.try_element_at(F.create_map(*[F.lit(x) for kv in label_map.items() for x in kv]), y)
+    return cells.select(id_col, F.col("k").cast("int").alias("sub_idx"), y.alias("y")).where(F.col("y").isNotNull())
 
 
 def dense_from_indices(idx: Column, n: int = dims.N_SUB) -> Column:

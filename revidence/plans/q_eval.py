@@ -9,7 +9,8 @@ from revidence.operators import evaluate as ev
 from revidence.operators import predict
 from revidence.operators import thresholds as th
 from revidence.plans import oracle_sql as O
-from revidence.sources.bridges import table, v_labels, v_scored
+from revidence.sources.bridges import table, v_label_records, v_labels, v_scored
+from revidence.sources.ingest import scratch_path
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -320,30 +321,31 @@ def q_ortho_penalty(spark, d):
     return r.select(R6("ortho_penalty").alias("ortho_penalty"))
 
 
+def _records(spark, d):
+    """Labelled records landed as JSON lines under the shared checkpoint dir and read from there."""
+    path = scratch_path(spark, "label-records")
+    v_label_records(spark, d).write.json(path)
+    return ev.load_label_records(spark, path)
+
+
 @register("derive_taxonomy", O.with_(O.v_labels_sql()) + "SELECT DISTINCT top_idx::INTEGER AS top_idx, sub_idx::INTEGER AS sub_idx FROM v_labels")
 def q_derive_taxonomy(spark, d):
-    t = ev.taxonomy_from_labels(v_labels(spark, d))
-    return t.select(F.col("top_idx").cast("int").alias("top_idx"), F.col("sub_idx").cast("int").alias("sub_idx"))
+    return ev.taxonomy_from_records(_records(spark, d))
 
 
 @register("taxonomy_override", O.with_(O.v_labels_sql()) + """SELECT DISTINCT top_idx, sub_idx FROM (
   SELECT top_idx::INTEGER AS top_idx, sub_idx::INTEGER AS sub_idx FROM v_labels
   UNION ALL SELECT 3, unnest(range(29))::INTEGER) x""")
 def q_taxonomy_override(spark, d):
-    return ev.taxonomy_override(ev.taxonomy_from_labels(v_labels(spark, d)), top=3)
-
+    return ev.taxonomy_override(ev.taxonomy_from_records(_records(spark, d)), top=3)
 
-def _label_records(spark, d):
-    """Per labelled review: even ids carry a multi-hot vector, odd ids an index list."""
-    lab = v_labels(spark, d).groupBy("review_id").agg(F.sort_array(F.collect_list(F.col("sub_idx").cast("int"))).alias("idx"))
-    return lab.select("review_id", F.when(F.col("review_id") % 2 == 0, ev.dense_from_indices(F.col("idx")))
-                      .otherwise(F.col("idx")).alias("raw"))
 
-
-@register("normalize_labels", O.with_(O.v_labels_sql()) + "SELECT review_id, sub_idx::INTEGER AS sub_idx FROM v_labels")
+@register("normalize_labels", O.with_(O.v_labels_sql()) + """SELECT review_id, repeat('0', top_idx::INTEGER) || '1' || repeat('0', 8 - top_idx::INTEGER) AS top_hot,
+  sub_idx::INTEGER AS sub_idx FROM v_labels""")
 def q_normalize_labels(spark, d):
-    r = _label_records(spark, d)
-    return r.select("review_id", F.explode(ev.normalize_label_vector(F.col("raw"))).alias("sub_idx"))
+    r = _records(spark, d)
+    top = F.array_join(ev.top_vector(F.col("top_cluster_ids")).cast("array<string>"), "")
+    return r.select("review_id", top.alias("top_hot"), F.explode(ev.normalize_label_vector(F.col("sub_cluster_ids"))).alias("sub_idx"))
 
 
 @register("dense_sparse", O.with_(O.v_labels_sql()) + """SELECT review_id, count(*) AS n_active,
@@ -363,12 +365,7 @@ SENT_MAP = {"negative": 0, "positive": 1}
 @register("map_sentiments", O.with_(O.v_labels_sql()) + """SELECT review_id, sub_idx::INTEGER AS sub_idx,
   CASE (review_id + sub_idx) % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 END AS y FROM v_labels WHERE (review_id + sub_idx) % 3 <> 2""")
 def q_map_sentiments(spark, d):
-    lab = v_labels(spark, d)
-    raw = F.element_at(F.array(F.lit("negative"), F.lit("positive"), F.lit("neutral")),
-                       ((F.col("review_id") + F.col("sub_idx")) % 3 + 1).cast("int"))
-    m = F.create_map(*[x for k, v in SENT_MAP.items() for x in (F.lit(k), F.lit(v))])
-    return (lab.select("review_id", F.col("sub_idx").cast("int").alias("sub_idx"), m[raw].alias("y"))
-            .where(F.col("y").isNotNull()))
+    return ev.map_sentiments(_records(spark, d), SENT_MAP)
 
 
 @register("weighted_sample", O.with_(O.v_labels_sql()) + """, w AS (

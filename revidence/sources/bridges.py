@@ -53,6 +53,24 @@ def v_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells
 
 
+def v_label_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record per labelled review, as a labelling tool writes it. Even ids carry 0/1 vectors, odd ids one top index and a list of sub indices with a -1."""
+    from revidence import dims
+    sub = F.col("sub_idx").cast("int")
+    raw = F.element_at(F.array(F.lit("negative"), F.lit("positive"), F.lit("neutral")), ((F.col("review_id") + sub) % 3 + 1).cast("int"))
+    per = v_labels(spark, sf_dir).groupBy("review_id", "top_idx").agg(
+        F.sort_array(F.collect_list(sub)).alias("idx"), F.collect_list(F.struct(sub.cast("string").alias("k"), raw.alias("v"))).alias("s"))
+    even = F.col("review_id") % 2 == 0
+
+    def hot(n, has):
+        return F.to_json(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: has(i).cast("int")))
+    top = F.when(even, hot(dims.N_TOP, lambda i: i == F.col("top_idx"))).otherwise(F.col("top_idx").cast("string"))
+    subs = F.when(even, hot(dims.N_SUB, lambda i: F.array_contains("idx", i))).otherwise(F.to_json(F.concat("idx", F.array(F.lit(-1)))))
+    return per.select("review_id", F.parse_json(top).alias("top_cluster_ids"), F.parse_json(subs).alias("sub_cluster_ids"),
+                      F.create_map(F.col("top_idx").cast("string"), F.col("idx")).alias("top_to_sub_ids"),
+                      F.map_from_entries("s").alias("sentiments"))
+
+
 def v_label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per labelled review with its top label (or none)."""
     emb = table(spark, sf_dir, "embeddings")

@@ -1,6 +1,7 @@
 """Hand-computed goldens for the metric definitions (sklearn semantics, zero_division=0)."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from revidence.operators import evaluate as ev
 from revidence.operators import thresholds as th
@@ -57,3 +58,16 @@ def test_weighted_sample_is_stable_and_weighted(spark):
     heavy = a.where("w = 5.0").count() / 2000
     light = a.where("w = 1.0").count() / 18000
     assert 3.5 < heavy / light < 7.0
+
+
+def test_label_records_from_json(spark, tmp_path):
+    lines = ['{"review_id": 1, "top_cluster_ids": 2, "sub_cluster_ids": [4, -1, 7], "top_to_sub_ids": {"2": [4, 7]}, "sentiments": {"4": "positive", "7": "mixed"}}',
+             '{"review_id": 2, "top_cluster_ids": [0,0,1,0,0,0,0,0,1], "sub_cluster_ids": [' + ",".join("0.5" if i in (0, 28) else "0" for i in range(29)) + '], "top_to_sub_ids": {"2": [4], "8": [28]}, "sentiments": {"28": null}}',
+             '{"review_id": 3, "top_cluster_ids": 11}', '{"review_id": 4, "sub_cluster_ids": null, "top_to_sub_ids": {}, "sentiments": {"3": "negative"}}']
+    (tmp_path / "labels.json").write_text("\n".join(lines))
+    r = ev.load_label_records(spark, str(tmp_path / "labels.json"))
+    assert sorted(map(tuple, ev.taxonomy_from_records(r).collect())) == [(2, 4), (2, 7), (8, 28)]
+    got = {x.review_id: (x.t, x.s) for x in r.select("review_id", ev.top_vector(F.col("top_cluster_ids")).alias("t"), ev.normalize_label_vector(F.col("sub_cluster_ids")).alias("s")).collect()}
+    assert got == {1: ([0, 0, 1, 0, 0, 0, 0, 0, 0], [4, 7]), 2: ([0, 0, 1, 0, 0, 0, 0, 0, 1], [0, 28]), 3: (None, []), 4: (None, [])}
+    assert sorted(map(tuple, ev.map_sentiments(r, {"negative": 0, "positive": 1}).collect())) == [(1, 4, 1), (4, 3, 0)]
+    assert sorted(map(tuple, ev.map_sentiments(r, None).collect())) == [(1, 4, "positive"), (1, 7, "mixed"), (4, 3, "negative")]
