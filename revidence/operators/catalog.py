@@ -145,7 +145,15 @@ def corpus_entries(resolved: DataFrame, specs: DataFrame) -> DataFrame:
             .when(has_name, F.replace(T.normalize_key(F.col("product_name")), F.lit(" "), F.lit("_")))
             .otherwise(F.coalesce(F.col("oid"), F.lit(""))))
     cid = F.coalesce(F.when(skey != "", skey), F.when(F.col("oid") != "", F.col("oid")), F.concat(F.lit("prod_"), pos))
-    return j.select("corpus_idx", cid.alias("id"), name.alias("name"), skey.alias("key"), "spec_doc_id")
+    ord_ = ["bundle_ord"] if "bundle_ord" in resolved.columns else []
+    return j.select("corpus_idx", *ord_, cid.alias("id"), name.alias("name"), skey.alias("key"), "spec_doc_id")
+
+
+def with_payload(entries: DataFrame, payload: DataFrame, spec_texts: DataFrame) -> DataFrame:
+    """Entries (with bundle_ord and spec_doc_id) and their payload: reviews from ``payload`` (bundle_ord, reviews), specifications from
+    ``spec_texts`` (spec_doc_id, specifications). Texts are joined last, once each; positions and keys were settled on ids alone."""
+    return (entries.join(payload, "bundle_ord", "left").join(spec_texts, "spec_doc_id", "left")
+            .select("corpus_idx", "id", "name", "key", "reviews", "specifications"))
 
 
 def lookup_exact(queries: DataFrame, index: DataFrame) -> DataFrame:
@@ -175,8 +183,8 @@ def lookup_fuzzy(queries: DataFrame, corpus: DataFrame) -> DataFrame:
 
 
 def lookup_product(queries: DataFrame, index: DataFrame, corpus: DataFrame) -> DataFrame:
-    """I8: exact hit, else fuzzy on the misses only, else null."""
-    ex = lookup_exact(queries, index)
+    """I8: exact hit, else fuzzy on the misses only, else null. An index position that the corpus doesn't have (a stale index) is a miss."""
+    ex = lookup_exact(queries, index).join(corpus.select("corpus_idx"), "corpus_idx", "left_semi").select("qid", "corpus_idx")
     misses = queries.join(ex.select("qid"), "qid", "left_anti")
     fz = lookup_fuzzy(misses, corpus)
     hits = ex.withColumn("how", F.lit("exact")).unionByName(fz.withColumn("how", F.lit("fuzzy")))
@@ -184,15 +192,18 @@ def lookup_product(queries: DataFrame, index: DataFrame, corpus: DataFrame) -> D
 
 
 def corpus_append(corpus: DataFrame, new_items: DataFrame) -> DataFrame:
-    """Append new products (name, new_ord) with id = slug and dense positions after the
-    current maximum (distributed dense index over the batch, no global window)."""
+    """Append new products (name, new_ord and any payload: reviews, specifications) with id = slug and dense positions after the
+    current maximum (distributed dense index over the batch, no global window). Payload columns that one side lacks are null there;
+    the dense index sees names only, the payload is joined to the settled positions by new_ord (unique in a batch)."""
     from revidence.sources.ingest import dense_index
-    mx = corpus.agg(F.coalesce(F.max("corpus_idx"), F.lit(-1)).alias("mx"))
-    n = dense_index(new_items, ["new_ord"], out="rn")
-    n = n.join(F.broadcast(mx), how="inner", on=F.lit(True))      # one-row table
-    add = n.select((F.col("mx") + F.col("rn") + 1).alias("corpus_idx"),
-                   T.slug_id(F.col("name")).alias("id"), "name", F.lit("").alias("key"))
-    return corpus.select("corpus_idx", "id", "name", "key").unionByName(add)
+    payload = [c for c in ("reviews", "specifications") if c in new_items.columns]
+    last = corpus.agg(F.coalesce(F.max("corpus_idx"), F.lit(-1))).scalar()
+    n = dense_index(new_items.select("name", "new_ord"), ["new_ord"], out="rn")
+    if payload:
+        n = n.join(new_items.select("new_ord", *payload), "new_ord")
+    add = n.select((last + F.col("rn") + 1).alias("corpus_idx"), T.slug_id(F.col("name")).alias("id"), "name", F.lit("").alias("key"), *payload)
+    old = corpus.select("corpus_idx", "id", "name", "key", *(c for c in ("reviews", "specifications") if c in corpus.columns))
+    return old.unionByName(add, allowMissingColumns=True)
 
 
 def alias_coverage(corpus: DataFrame, index: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from revidence import dims
 from revidence.operators import catalog as cat
 from revidence.operators import specs as sp
 from revidence.plans import oracle_sql as O
+from revidence.session import cut_lineage
 from revidence.sources import ingest as ing
 from revidence.sources.bridges import land_bundles, land_pages, table, v_bundles, v_catalog, v_posts, v_spec_docs, v_spec_html
 
@@ -155,29 +156,68 @@ CORPUS_SQL = RESOLVE + f""", ce AS (SELECT (row_number() OVER (ORDER BY r.bundle
 named AS (SELECT corpus_idx,
   CASE WHEN spec_doc_id IS NOT NULL THEN coalesce(nullif(spec_name, ''), nullif(product_name, ''), 'Product_' || product_oid)
        WHEN coalesce(product_name, '') <> '' THEN product_name
-       WHEN coalesce(product_oid, '') <> '' THEN 'Product_' || product_oid ELSE 'Product_' || corpus_idx::VARCHAR END AS name,
+       WHEN coalesce(product_oid, '') <> '' THEN 'Product_' || product_oid ELSE 'Product_' || corpus_idx::VARCHAR END AS name, bundle_ord,
   CASE WHEN spec_doc_id IS NOT NULL THEN coalesce(spec_key, '')
        WHEN coalesce(product_name, '') <> '' THEN replace({O.normalize_key('product_name')}, ' ', '_')
        ELSE coalesce(product_oid, '') END AS key, product_oid, spec_doc_id FROM ce)
 """
 
 
-@register("corpus_entries", CORPUS_SQL + """SELECT corpus_idx, coalesce(nullif(key, ''), nullif(product_oid, ''), 'prod_' || corpus_idx::VARCHAR) AS id,
-  name, key, spec_doc_id FROM named""")
-def q_corpus_entries(spark, d):
-    return corpus_df(spark, d)
+def payload_columns(reviews):
+    """Checkable form of the reviews of an entry: counts and digests in order."""
+    one = lambda c: F.concat_ws("|", c["body"], c["ups"].cast("string"), F.coalesce(c["post_title"], F.lit("-")))
+    return [F.coalesce(F.size(F.filter(reviews["comments"], lambda c: c.isNotNull())), F.lit(0)).alias("n_comments"),
+            F.md5(F.array_join(F.transform(reviews["comments"], one), "\n")).alias("comments"),
+            F.md5(F.array_join(reviews["review_texts"], "\n")).alias("review_texts")]
+
 
+#: Twin of the payload, by bundle: comments in order, their count, the first turn as review text.
+PAYLOAD_SQL = """pay AS (SELECT h.conv_id AS bundle_ord, count(c.post_id)::INTEGER AS n_comments,
+  coalesce(string_agg(coalesce(c.body, '') || '|' || (CASE WHEN c.c_pos % 3 = 0 THEN c.c_pos ELSE coalesce(c.ups, 0) END)::VARCHAR || '|' ||
+    CASE WHEN c.c_pos % 2 = 0 AND c.title <> '' THEN c.title ELSE '-' END, chr(10) ORDER BY c.c_pos), '') AS comments,
+  coalesce(string_agg(coalesce(c.body, '') || '|' || (CASE WHEN c.c_pos % 3 = 0 THEN c.c_pos ELSE coalesce(c.ups, 0) END)::VARCHAR || '|-', chr(10) ORDER BY c.c_pos), '') AS untitled,
+  coalesce(any_value(h.t0), '') AS review_texts
+  FROM heads h LEFT JOIN v_comments c ON c.post_id = h.conv_id GROUP BY h.conv_id)"""
 
-@register("corpus_roundtrip", CORPUS_SQL + """SELECT corpus_idx, coalesce(nullif(key, ''), nullif(product_oid, ''), 'prod_' || corpus_idx::VARCHAR) AS id,
-  name, key FROM named""")
+
+def full_corpus(spark, d):
+    """Corpus entries with reviews and specifications."""
+    b = bundles(spark, d)
+    spec_texts = v_spec_docs(spark, d).select(F.col("corpus_idx").cast("bigint").alias("spec_doc_id"), F.col("json").alias("specifications"))
+    return cat.with_payload(corpus_df(spark, d), ing.bundle_payload(b), spec_texts)
+
+
+@register("corpus_entries", CORPUS_SQL + "," + PAYLOAD_SQL + """
+SELECT corpus_idx, coalesce(nullif(key, ''), nullif(product_oid, ''), 'prod_' || corpus_idx::VARCHAR) AS id,
+  name, key, spec_doc_id::VARCHAR AS spec_doc, n_comments, md5(comments) AS comments, md5(review_texts) AS review_texts
+  FROM named JOIN pay USING (bundle_ord)""")
+def q_corpus_entries(spark, d):
+    c = full_corpus(spark, d)
+    doc = F.try_variant_get(F.parse_json("specifications"), "$._id['$oid']", "string")
+    return c.select("corpus_idx", "id", "name", "key", doc.alias("spec_doc"), *payload_columns(F.col("reviews")))
+
+
+@register("corpus_roundtrip", CORPUS_SQL + "," + PAYLOAD_SQL + "," + O.FLAT_SPECS + f""",
+sp AS (SELECT product_id, string_agg(spec_key || '=' || spec_value, chr(10) ORDER BY spec_key) AS specs FROM flat_specs GROUP BY 1),
+ids AS (SELECT *, coalesce(nullif(key, ''), nullif(product_oid, ''), 'prod_' || corpus_idx::VARCHAR) AS id FROM named),
+al AS (SELECT alias, min(corpus_idx) AS corpus_idx FROM (SELECT corpus_idx, unnest({O.aliases_sql('name', 'key')}) AS alias FROM ids) x GROUP BY 1),
+na AS (SELECT corpus_idx, count(*) AS n FROM al GROUP BY 1)
+SELECT ids.corpus_idx, id, name, key, coalesce(na.n, 0)::BIGINT AS n_aliases, n_comments, md5(comments) AS comments, md5(review_texts) AS review_texts,
+  md5(specs) AS specifications
+FROM ids JOIN pay USING (bundle_ord) LEFT JOIN na USING (corpus_idx) LEFT JOIN sp ON sp.product_id = ids.spec_doc_id::VARCHAR""")
 def q_corpus_roundtrip(spark, d):
-    """Corpus and alias index written as JSON under the shared checkpoint dir and read back."""
-    c = corpus_df(spark, d).select("corpus_idx", "id", "name", "key")
-    idx = cat.alias_index(cat.alias_rows(c))
+    """Corpus with payload and alias index written as JSON under the shared checkpoint dir and read back; documents flattened from what was read."""
     path = ing.scratch_path(spark, "corpus")
-    ing.write_corpus(c, idx, path, fmt="json")
-    back = spark.read.schema("corpus_idx BIGINT, id STRING, name STRING, key STRING").json(f"{path}/corpus")
-    return back
+    c = cut_lineage(full_corpus(spark, d))
+    ing.write_corpus(c, cat.alias_index(cat.alias_rows(c)), path, fmt="json")
+    back, index = ing.read_corpus(spark, path, fmt="json")
+    docs = sp.parse_spec_docs(back.where(F.col("specifications").isNotNull()).select(F.col("specifications").alias("json")).distinct())
+    flat = sp.flatten_specs(docs).groupBy(F.col("product_id").alias("doc")).agg(
+        F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("spec_key", "spec_value"))), lambda x: F.concat(x["spec_key"], F.lit("="), x["spec_value"])), "\n")).alias("specs"))
+    doc = F.try_variant_get(F.parse_json("specifications"), "$._id['$oid']", "string")
+    owned = index.groupBy("corpus_idx").agg(F.count("*").alias("n"))
+    return (back.withColumn("doc", doc).join(flat, "doc", "left").join(owned, "corpus_idx", "left")
+            .select("corpus_idx", "id", "name", "key", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_aliases"), *payload_columns(F.col("reviews")), F.col("specs").alias("specifications")))
 
 
 @register("corpus_load_tolerant", O.with_(O.V_CATALOG) + """SELECT CASE WHEN corpus_idx % 50 = 0 THEN NULL ELSE corpus_idx END AS corpus_idx,
