@@ -11,6 +11,7 @@ from revidence.session import cut_lineage
 STATUS_OK = "ok"
 STATUS_INSUFFICIENT = "insufficient_review_evidence"
 STATUS_NO_REVIEWS = "no_reviews_found"
+STATUS_NO_VALID = "no_valid_reviews"      # there are reviews, but none of them is long enough once cleaned
 
 
 def evidence_gate(scored: DataFrame, relevance_thr: float = dims.RELEVANCE_THRESHOLD,

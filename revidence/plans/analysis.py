@@ -55,7 +55,7 @@ def end_to_end(spark: SparkSession, reviews: DataFrame, products: DataFrame, fla
     scorer:   "native" (deterministic stand-in, SQL-checkable) or a scorer factory for the
               Arrow-batched ``mapInPandas`` stage (see ``operators.scoring``)
 
-    Returns (analysis, status with ``no_reviews_found``, nested report rows). The relevance gate is
+    Returns (analysis, status with ``no_reviews_found`` and ``no_valid_reviews``, nested report rows). The relevance gate is
     applied before the aspect scorer runs (nothing is pushed through a Python stage), and the
     scored stage is checkpointed because every branch of the analysis reads it.
     """
@@ -78,10 +78,47 @@ def end_to_end(spark: SparkSession, reviews: DataFrame, products: DataFrame, fla
         scored = scoring.score_aspects(gated_in, "prompt", scorer).drop("prompt")
     scored = cut_lineage(scored)
     a = analyze(spark, scored, products=products.select("product_id"))
-    nrev = j.groupBy("product_id").agg(F.count("*").alias("n_rev"))
-    status = (a.status.join(nrev, "product_id", "left")
-              .withColumn("status", F.when(F.coalesce("n_rev", F.lit(0)) == 0, F.lit(report.STATUS_NO_REVIEWS))
-                          .otherwise(F.col("status"))).drop("n_rev"))
+    valid = scored.groupBy("product_id").agg(F.count("*").alias("n_valid")) if scorer == "native" else j.groupBy("product_id").agg(F.count("*").alias("n_valid"))
+    raw = reviews.groupBy("product_id").agg(F.count("*").alias("n_raw"))
+    status = a.status.join(valid, "product_id", "left").join(raw, "product_id", "left").withColumn(
+        "status", F.when(F.col("n_valid").isNotNull(), F.col("status")).when(F.col("n_raw").isNotNull(), F.lit(report.STATUS_NO_VALID))
+        .otherwise(F.lit(report.STATUS_NO_REVIEWS))).drop("n_valid", "n_raw")
     a.status = status
     rep = report.build_report(spark, a, flat_specs, names=products.select("product_id", "name"), texts=j.select("product_id", "review_id", "text"))
     return a, status, rep
+
+
+def corpus_reviews(corpus: DataFrame) -> DataFrame:
+    """(product_id, review_id, raw_text) of corpus records: comments first, then review texts; null texts are left out."""
+    from pyspark.sql import functions as F
+
+    parts = [(0, F.transform("reviews.comments", lambda c: c["body"])), (1, F.col("reviews.review_texts"))]
+    out = None
+    for origin, texts in parts:
+        one = corpus.select("corpus_idx", F.posexplode(texts).alias("pos", "raw_text")).where(F.col("raw_text").isNotNull()).select(
+            F.col("corpus_idx").alias("product_id"),
+            (F.shiftleft("corpus_idx", 32) + F.lit(origin << 31) + F.col("pos")).alias("review_id"), "raw_text")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def reports_by_name(spark: SparkSession, queries: DataFrame, index: DataFrame, corpus: DataFrame, scorer="native") -> tuple[DataFrame, DataFrame]:
+    """Product names (qid, query) -> lookup -> corpus record -> reviews and specifications -> report, for all names at once.
+
+    ``corpus`` holds records with payload (``ingest.CORPUS_SCHEMA``). Returns a row per query (qid, corpus_idx, how, status, n_gated) and the
+    nested report of every product found with enough evidence. A name that nothing matches, and a record without reviews, are
+    ``no_reviews_found``; reviews that are all too short are ``no_valid_reviews``. A product asked for many times is analysed once.
+    """
+    from pyspark.sql import functions as F
+
+    from revidence.operators import catalog, specs
+
+    hits = cut_lineage(catalog.lookup_product(queries, index, corpus))
+    found = cut_lineage(corpus.join(hits.where(F.col("corpus_idx").isNotNull()).select("corpus_idx").distinct(), "corpus_idx", "left_semi"))
+    entries = F.try_variant_get(F.try_parse_json("specifications"), "$.specification.more_specification", "array<variant>")
+    docs = found.select(F.col("corpus_idx").alias("product_id"), entries.alias("entries")).where(F.col("entries").isNotNull())
+    products = found.select(F.col("corpus_idx").alias("product_id"), "name")
+    _, status, rep = end_to_end(spark, corpus_reviews(found), products, specs.drop_spec_keys(specs.flatten_specs(docs)), scorer)
+    rows = hits.join(status.withColumnRenamed("product_id", "corpus_idx"), "corpus_idx", "left").select(
+        "qid", "corpus_idx", "how", F.coalesce("status", F.lit(report.STATUS_NO_REVIEWS)).alias("status"), F.coalesce("n_gated", F.lit(0)).cast("bigint").alias("n_gated"))
+    return rows, rep
