@@ -72,15 +72,29 @@ def test_half_even_rounding(spark):
 
 
 @settings(max_examples=15, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 2), st.floats(-1e3, 1e3, allow_nan=False, allow_infinity=False)),
+@given(st.lists(st.tuples(st.integers(0, 2), st.floats(-1e3, 1e3, allow_nan=False, allow_infinity=False, width=16)),
                 min_size=1, max_size=60))
 def test_exact_median_matches_numpy(spark, data):
     df = spark.createDataFrame(data, "g INT, x DOUBLE")
-    got = {r.g: r.median for r in exact_median(df, ["g"], "x", buckets=8, passes=2).collect()}
+    got = {r.g: r.median for r in exact_median(df, ["g"], "x", buckets=16).collect()}
     for g in {g for g, _ in data}:
         assert got[g] == pytest.approx(float(np.median([x for k, x in data if k == g])), rel=1e-12, abs=1e-12)
 
 
+def test_exact_median_of_clustered_values(spark):
+    """Outliers, clusters in one bucket, infinities, denormals: ranges shrink until they are small."""
+    import numpy as np
+    rng = np.random.default_rng(5)
+    groups = {"near": np.concatenate([1 + rng.random(2001) * 1e-12, [1e300, -1e300]]), "same": np.array([0.5] * 3000 + [7.0]),
+              "inf": np.concatenate([rng.random(900), [np.inf] * 300, [-np.inf] * 200]), "tiny": 5e-324 * np.arange(400),
+              "signs": np.concatenate([-(10.0 ** np.arange(0, 9)), 10.0 ** np.arange(0, 10)]), "one": np.array([3.0]), "two": np.array([-1.5, 2.5])}
+    rows = [(g, float(x)) for g, xs in groups.items() for x in xs] + [("none", None)]
+    df = spark.createDataFrame(rows, "g STRING, x DOUBLE").repartition(4)
+    for buckets in (64, 1 << 16):
+        got = {r.g: r.median for r in exact_median(df, ["g"], "x", buckets=buckets).collect()}
+        assert got == {g: float(np.median(xs)) for g, xs in groups.items()}, buckets
+
+
 def test_exact_median_hot_group_and_duplicates(spark):
     df = spark.range(0, 20001).select((F.col("id") % 3 == 0).cast("int").alias("g"),
                                       (F.col("id") % 97).cast("double").alias("x"))
