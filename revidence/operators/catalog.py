@@ -115,7 +115,8 @@ def contains_join(needles: DataFrame, hay: DataFrame, n_col: str = "needle", h_c
 
 def resolve_specs(items: DataFrame, specs: DataFrame) -> DataFrame:
     """I4: spec doc per review bundle: by oid, else normalised name, else key (when the bundle's
-    product field is a string). On duplicate right-side keys the last spec (highest ord) wins."""
+    product field is a string). On duplicate right-side keys the last spec (highest ord) wins.
+    The specs are shuffled, never broadcast: their size is guessed from the packed files, far below what the driver would have to hold."""
     def last_by(col: Column, name: str) -> DataFrame:
         s = specs.where(col.isNotNull() & (col != "")).select(col.alias(name), "spec_ord", "spec_doc_id")
         return s.groupBy(name).agg(F.max_by("spec_doc_id", "spec_ord").alias(f"doc_{name}"))
@@ -123,16 +124,16 @@ def resolve_specs(items: DataFrame, specs: DataFrame) -> DataFrame:
     by_name = last_by(T.normalize_key(F.col("name")), "k_name")
     by_key = last_by(F.col("key"), "k_key")
     it = items.withColumn("k_name", T.normalize_key(F.coalesce("product_name", F.lit(""))))
-    j = (it.join(by_oid, it.oid == by_oid.k_oid, "left")
-         .join(by_name, "k_name", "left")
-         .join(by_key, F.when(it.product_is_str, it.oid) == by_key.k_key, "left"))
+    j = (it.join(by_oid.hint("merge"), it.oid == by_oid.k_oid, "left")
+         .join(by_name.hint("merge"), "k_name", "left")
+         .join(by_key.hint("merge"), F.when(it.product_is_str, it.oid) == by_key.k_key, "left"))
     return j.select(*items.columns, F.coalesce("doc_k_oid", "doc_k_name", "doc_k_key").alias("spec_doc_id"))
 
 
 def corpus_entries(resolved: DataFrame, specs: DataFrame) -> DataFrame:
     """Corpus name/id per bundle (spec name/key, else own name + slug, else Product_{oid|n})."""
     s = specs.select("spec_doc_id", F.col("name").alias("spec_name"), F.col("key").alias("spec_key"))
-    j = resolved.join(s, "spec_doc_id", "left")
+    j = resolved.join(s.hint("merge"), "spec_doc_id", "left")   # as in resolve_specs
     matched = F.col("spec_doc_id").isNotNull()
     has_name = F.coalesce(F.col("product_name"), F.lit("")) != ""
     pos = F.col("corpus_idx").cast("string")
@@ -151,8 +152,10 @@ def corpus_entries(resolved: DataFrame, specs: DataFrame) -> DataFrame:
 
 def with_payload(entries: DataFrame, payload: DataFrame, spec_texts: DataFrame) -> DataFrame:
     """Entries (with bundle_ord and spec_doc_id) and their payload: reviews from ``payload`` (bundle_ord, reviews), specifications from
-    ``spec_texts`` (spec_doc_id, specifications). Texts are joined last, once each; positions and keys were settled on ids alone."""
-    return (entries.join(payload, "bundle_ord", "left").join(spec_texts, "spec_doc_id", "left")
+    ``spec_texts`` (spec_doc_id, specifications). Texts are joined last, once each; positions and keys were settled on ids alone.
+    Neither side is broadcast. Specifications come first, while entries are ids: many bundles may share a document, and the reviews
+    are then dealt out by bundle_ord, which is unique."""
+    return (entries.join(spec_texts.hint("merge"), "spec_doc_id", "left").join(payload.hint("merge"), "bundle_ord", "left")
             .select("corpus_idx", "id", "name", "key", "reviews", "specifications"))
 
 

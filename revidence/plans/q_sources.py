@@ -146,9 +146,10 @@ def q_resolve_specs(spark, d):
 
 
 def corpus_df(spark, d):
-    res = cat.resolve_specs(_items(spark, d), _specs_df(spark, d))
+    specs = cut_lineage(_specs_df(spark, d))   # read four times: documents are parsed once
+    res = cat.resolve_specs(_items(spark, d), specs)
     res = ing.dense_index(res, ["bundle_ord"])
-    return cat.corpus_entries(res, _specs_df(spark, d))
+    return cat.corpus_entries(res, specs)
 
 
 CORPUS_SQL = RESOLVE + f""", ce AS (SELECT (row_number() OVER (ORDER BY r.bundle_ord) - 1)::BIGINT AS corpus_idx, r.*, c.name AS spec_name, c.key AS spec_key

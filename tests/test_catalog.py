@@ -76,3 +76,15 @@ def test_stale_index_positions_fall_through(spark):
     q = spark.createDataFrame([(1, "Phone Alpha"), (2, "phone beta"), (3, "Gamma")], "qid INT, query STRING")
     got = {r.qid: (r.corpus_idx, r.how) for r in cat.lookup_product(q, index, corpus).collect()}
     assert got == {1: (0, "fuzzy"), 2: (1, "exact"), 3: (None, None)}
+
+
+def test_corpus_steps_broadcast_no_specs(spark):
+    from pyspark.sql import functions as F
+    items = spark.createDataFrame([(0, "1", False, "A"), (1, "k_2", True, ""), (2, None, False, "C")], "bundle_ord INT, oid STRING, product_is_str BOOLEAN, product_name STRING")
+    specs_df = spark.createDataFrame([("1", "k_1", "A", 1, 1), ("2", "k_2", "B", 2, 2)], "oid STRING, key STRING, name STRING, spec_ord INT, spec_doc_id INT")
+    res = cat.resolve_specs(items, specs_df).withColumn("corpus_idx", F.col("bundle_ord"))
+    texts = specs_df.select("spec_doc_id", F.col("name").alias("specifications"))
+    payload = items.select("bundle_ord", F.col("oid").alias("reviews"))
+    full = cat.with_payload(cat.corpus_entries(res, specs_df), payload, texts)
+    assert "Broadcast" not in full._jdf.queryExecution().toString()
+    assert sorted((r.corpus_idx, r.name, r.reviews, r.specifications) for r in full.collect()) == [(0, "A", "1", "A"), (1, "B", "k_2", "B"), (2, "C", None, None)]
