@@ -64,3 +64,15 @@ def test_keys(spark):
     import hashlib
     assert one(spark, T.product_oid, "Pixel 9") == hashlib.md5(b"pixel 9").hexdigest()[:24]
     assert one(spark, T.url_quote, 'a b/"c"~*') == "a%20b/%22c%22~%2A"
+
+
+def test_match_score_normalises_the_text_once(spark):
+    from pyspark.sql import functions as F
+
+    from revidence.functions import text as T
+    rows = [("a great phone 15 pro", "Phone 15 Pro", 1.0), ("pro phone", "Phone 15 Pro", 0.9), ("procure a phones", "Pro Phone", 0.0), ("my galaxy s", "Galaxy S24 Ultra", 0.45),
+            ("", "A", 0.0), ("x", "", 0.0), (None, "Phone", 0.0)]
+    df = spark.createDataFrame(rows, "t STRING, n STRING, want DOUBLE").repartition(2)
+    out = df.select("t", "n", "want", T.match_score(F.col("t"), F.col("n")).alias("got"))
+    assert [(r.t, r.n) for r in out.collect() if r.got != r.want] == []
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("lower(t") == 1
