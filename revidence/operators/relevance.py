@@ -63,11 +63,17 @@ def _trigrams(c):
     return F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, 3))
 
 
+#: Bytes of (token, product) pairs that are still broadcast to the reviews' tokens; with more, the tokens are shuffled.
+HITS_BYTES = 16 << 20
+
+
 def candidate_pairs(doc_tokens: DataFrame, products: DataFrame) -> DataFrame:
-    """Distinct (review_id, product_id) that may score > 0.7 (exact superset)."""
-    keys = _name_keys(products)
-    by_token = doc_tokens.join(keys, "tok").select("review_id", "product_id")
+    """Distinct (review_id, product_id) that may score > 0.7 (exact superset).
 
+    The tokens that lead to a product are settled first, on the vocabulary, and written; as long as they are few the tokens of the
+    reviews stay where they are, and only candidates are shuffled.
+    """
+    keys = _name_keys(products)
     probes = _short_name_probes(products)
     vocab = doc_tokens.select("tok").distinct()
     long_p = probes.where(F.length("probe") >= 3).withColumn("tri", F.substring("probe", 1, 3))
@@ -78,8 +84,10 @@ def candidate_pairs(doc_tokens: DataFrame, products: DataFrame) -> DataFrame:
     short_p = probes.where(F.length("probe") < 3)
     vgrams = vocab.select("tok", F.explode(short_grams(F.col("tok"))).alias("probe"))
     hits_short = vgrams.join(short_p, "probe").select("tok", "product_id")
-    by_contain = doc_tokens.join(hits_long.unionByName(hits_short), "tok").select("review_id", "product_id")
-    return by_token.unionByName(by_contain).distinct()
+    hits = cut_lineage(keys.select("tok", "product_id").unionByName(hits_long).unionByName(hits_short).distinct())
+    size = hits.agg(F.coalesce(F.sum(F.length("tok") + F.length(F.col("product_id").cast("string")) + F.lit(64)), F.lit(0))).first()[0]
+    hits = F.broadcast(hits) if size <= HITS_BYTES else hits.hint("merge")
+    return doc_tokens.join(hits, "tok").select("review_id", "product_id").distinct()
 
 
 def attribution_pairs(reviews: DataFrame, products: DataFrame, text_col: str = "text",
@@ -89,23 +97,21 @@ def attribution_pairs(reviews: DataFrame, products: DataFrame, text_col: str = "
     ``raw=True``: ``text_col`` holds raw text; its normalised cleaned form is computed with
     ``relevance_form`` (same result as cleaning then normalising, fewer regex passes).
 
-    The normalised text and its distinct tokens are computed once and written as a reliable
-    checkpoint (the regex cleaner is the dominant cost and every branch below reads the table:
-    column pruning gives each consumer a different projection, so exchanges are not reused).
+    The normalised text is computed once and written as a reliable checkpoint (the regex cleaner is the dominant cost and
+    every branch below reads the table: column pruning gives each consumer a different projection, so exchanges are not
+    reused). Its distinct tokens are split off where they are used: they would be as large again as the text.
     """
     if threshold < 0.7:
         raise ValueError("candidate generation is exact only for thresholds >= 0.7")
     norm = T.relevance_form(F.col(text_col)) if raw else T.normalize_key(F.col(text_col))
     r = computed(reviews.select("review_id", text_col), tn=norm)
-    r = cut_lineage(computed(r.where(F.col("tn") != "").select("review_id", "tn"),
-                             tt=F.array_distinct(F.split("tn", " "))))
-    doc_tokens = r.select("review_id", F.explode("tt").alias("tok"))
+    r = cut_lineage(r.where(F.col("tn") != "").select("review_id", "tn"))
+    doc_tokens = r.select("review_id", F.explode(F.array_distinct(F.split("tn", " "))).alias("tok"))
     cand = candidate_pairs(doc_tokens, products)
     p = products.select("product_id", T.normalize_key(F.col("name")).alias("nn"))
-    scored = (cand.join(r, "review_id").join(p, "product_id")
-              .select("review_id", "product_id",
-                      T.match_score_norm(F.col("tn"), F.col("nn"), F.col("tt")).alias("score")))
-    return scored.where(F.col("score") > F.lit(float(threshold)))
+    both = cand.join(r.hint("merge"), "review_id").join(p, "product_id").select("review_id", "product_id", "tn", "nn")
+    scored = computed(both, score=T.match_score_norm(F.col("tn"), F.col("nn")))   # once, also under the filter
+    return scored.select("review_id", "product_id", "score").where(F.col("score") > F.lit(float(threshold)))
 
 
 def attribute_products(reviews: DataFrame, products: DataFrame, text_col: str = "text",
