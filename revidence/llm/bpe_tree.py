@@ -7,7 +7,7 @@ bytes gives these two tokens again; a sequence of tokens all of whose neighbours
 bytes, so nothing outside the window can change. Decoding concatenates the tokens' bytes pairwise up a tree.
 
 Rows: null and empty texts have no tokens and decode to nothing. Whole texts are encoded, in pieces; memory per task is one Arrow
-batch, and caches of at most ``CACHE`` bytes (matches) and ``PARTS`` entries (short parts and pairs). Repeated rows are encoded each. An empty table gives an empty result.
+batch, and caches of at most ``CACHE`` bytes (matches) and ``PARTS`` entries (short parts and windows). Repeated rows are encoded each. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,8 +25,10 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from revidence.llm.common import released
 
-#: Bytes of matches and their ids that a worker keeps, with OVERHEAD an entry for the objects; entries of short parts and of pairs.
-CACHE, OVERHEAD, PARTS = 48 << 20, 240, 100_000
+#: Bytes of matches and their ids that a worker keeps, with OVERHEAD an entry for the objects; entries of short parts and of windows.
+CACHE, OVERHEAD, PARTS = 96 << 20, 240, 200_000
+#: Longest part that is kept, in bytes, and longest window, in tokens. Longer ones seldom come again.
+PART, WINDOW = 8, 4
 #: Longest window that is scanned for its next pair.
 SCAN = 48
 #: Bytes of output that a task gathers before it hands them on.
@@ -42,7 +44,7 @@ class Tokenizer:
         self.bytes_of = {r: t for t, r in self.ranks.items()}
         self.none = 1 + max(self.bytes_of)                       # above all ranks
         self.pattern = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-        self.compatible: dict[tuple[int, int], bool] = {}
+        self.windows: dict[tuple[int, ...], tuple[int, ...]] = {}
         self.parts: dict[bytes, tuple[int, ...]] = {}
         self.matches = _Matches(self)
 
@@ -80,40 +82,50 @@ class Tokenizer:
                 heapq.heappush(heap, (s, h))
         return [rank[p] for p in parts if p is not None]
 
-    def fit(self, a: int, b: int) -> bool:
-        known = self.compatible.get((a, b))
+    def window(self, ids: tuple[int, ...]) -> tuple[int, ...]:
+        """Encoding of the bytes of these tokens. Two tokens are compatible when it is the tokens themselves."""
+        known = self.windows.get(ids)
         if known is None:
-            if len(self.compatible) >= PARTS:
-                self.compatible.clear()
-            known = self.compatible[a, b] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            known = tuple(self.merge(b"".join(map(self.bytes_of.__getitem__, ids))))
+            if len(ids) <= WINDOW:
+                if len(self.windows) >= PARTS:
+                    self.windows.clear()
+                self.windows[ids] = known
         return known
 
     def join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
         """Encoding of the concatenation from the encodings of both sides."""
-        if not left or not right or self.fit(left[-1], right[0]):
+        if not left or not right:
             return left + right
         i = j = 1
+        ids = left[-1:] + right[:1]
+        window = self.window(ids)
+        if window == ids:
+            return left + right
         while True:
-            ids = left[len(left) - i:] + right[:j]
-            window = self.merge(b"".join(map(self.bytes_of.__getitem__, ids)))
-            left_open = i < len(left) and not self.fit(left[-i - 1], window[0])
-            right_open = j < len(right) and not self.fit(window[-1], right[j])
+            left_open = i < len(left) and self.window(pair := (left[-i - 1], window[0])) != pair
+            right_open = j < len(right) and self.window(pair := (window[-1], right[j])) != pair
             if not left_open and not right_open:
-                return left[:len(left) - i] + tuple(window) + right[j:]
+                return left[:len(left) - i] + window + right[j:]
             i, j = min(len(left), 2 * i if left_open else i), min(len(right), 2 * j if right_open else j)
+            window = self.window(left[len(left) - i:] + right[:j])
 
     def tree(self, data: bytes) -> tuple[int, ...]:
         """Encoding of one match: halves are cut at a power of two, so that long runs keep their beat."""
-        if len(data) == 1:
-            return (self.ranks[data],)
-        known = self.parts.get(data) if len(data) <= 16 else None
+        n = len(data)
+        if n > PART:
+            cut = 1 << ((n - 1).bit_length() - 1)
+            return self.join(self.tree(data[:cut]), self.tree(data[cut:]))
+        known = self.parts.get(data)
         if known is None:
-            cut = 1 << ((len(data) - 1).bit_length() - 1)
-            known = self.join(self.tree(data[:cut]), self.tree(data[cut:]))
-            if len(data) <= 16:
-                if len(self.parts) >= PARTS:
-                    self.parts.clear()
-                self.parts[data] = known
+            if n == 1:
+                known = (self.ranks[data],)
+            else:
+                cut = 1 << ((n - 1).bit_length() - 1)
+                known = self.join(self.tree(data[:cut]), self.tree(data[cut:]))
+            if len(self.parts) >= PARTS:
+                self.parts.clear()
+            self.parts[data] = known
         return known
 
     def encode(self, text: str) -> bytes:
@@ -128,22 +140,27 @@ class Tokenizer:
 
 
 class _Matches(dict):
-    """Match -> its ids; a match that is a token is that token."""
+    """Match -> its ids; a match that is a token is that token. When half of CACHE is full, what is held becomes the older half: a match found
+    there comes back, so that frequent ones stay."""
 
     def __init__(self, tokenizer: Tokenizer):
         super().__init__()
-        self.tokenizer, self.held = tokenizer, 0
+        self.tokenizer, self.held, self.older = tokenizer, 0, {}
 
     def __missing__(self, match: str) -> bytes:
-        data, t = match.encode(), self.tokenizer
-        whole = t.ranks.get(data)
-        out = np.array(t.tree(data) if whole is None else (whole,), "<u4").tobytes()
-        if len(data) <= 64:
-            if self.held >= CACHE:
-                self.clear()
-                self.held = 0
-            self[match] = out
-            self.held += OVERHEAD + len(data) + len(out)
+        out = self.older.get(match)
+        if out is None:
+            data, t = match.encode(), self.tokenizer
+            whole = t.ranks.get(data)
+            out = np.array(t.tree(data) if whole is None else (whole,), "<u4").tobytes()
+            if len(data) > 64:
+                return out
+        if self.held >= CACHE // 2:
+            self.older = dict(self)
+            self.clear()
+            self.held = 0
+        self[match] = out
+        self.held += OVERHEAD + len(match) + len(out)
         return out
 
 
