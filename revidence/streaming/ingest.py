@@ -52,6 +52,8 @@ def ingest_stream(spark: SparkSession, landing: str, schema: T.StructType = LAND
     s = r.parquet(landing)
     if event_time == ARRIVED and ARRIVED not in s.columns:
         s = s.withColumn(ARRIVED, F.current_timestamp())
+    # a landed file may be one row group, which one task reads: its rows are dealt out before they are cleaned
+    s = s.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     c = computed(s, text=TX.clean_text(F.col("raw_text"))).drop("raw_text")
     c = c.where(TX.word_count(F.col("text")) > 15)
     c = c.withColumn("text_hash", F.sha2(F.col("text"), 256))
